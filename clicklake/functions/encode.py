@@ -8,76 +8,57 @@ from pyspark.sql import types as T
 
 from .records import Field
 
-EMPTY = b""
-OCTETS = bytes(range(256))
-STRING_TYPES = (T.StringType,)
 WHOLE_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def _byte(code: Column) -> Column:
+def _byte_sql(code: str) -> str:
     """The byte with a number of 0 to 255, cut out of a constant that holds all of them."""
-    return F.substring(F.lit(OCTETS), code.cast("int") + 1, F.lit(1))
+    return f"substring(X'{bytes(range(256)).hex()}', cast({code} AS int) + 1, 1)"
 
 
-def _groups(unsigned: Column, groups: int) -> Column:
-    """Low seven bits first; the top bit of a byte says that another one follows."""
-    if groups == 1:
-        return _byte(unsigned)
-    rest = F.shiftrightunsigned(unsigned, 7)
-    first = _byte(unsigned.bitwiseAND(F.lit(127)) + 128)
-    return F.when(rest == 0, _byte(unsigned)).otherwise(F.concat(first, _groups(rest, groups - 1)))
+def _varint_sql(unsigned: str) -> str:
+    """Up to ten bytes, low seven bits first; the top bit says that another byte follows."""
+    text = _byte_sql(f"shiftrightunsigned({unsigned}, 63)")
+    for shift in range(56, -1, -7):
+        here = f"shiftrightunsigned({unsigned}, {shift})"
+        more = f"concat({_byte_sql(f'(({here} & 127) | 128)')}, {text})"
+        text = f"CASE WHEN shiftrightunsigned({here}, 7) = 0 THEN {_byte_sql(here)} ELSE {more} END"
+    return text
 
 
-def _varint(unsigned: Column, groups: int) -> Column:
-    """A varint of at most ``groups`` bytes.
-
-    Evaluated inside a lambda, which keeps it out of the generated code: written out, the
-    cases of every field would make methods too long for the JIT compiler.
-    """
-    return F.get(F.transform(F.array(unsigned), lambda bits: _groups(bits, groups)), F.lit(0))
-
-
-def avro_long(number: Column) -> Column:
-    """Zig-zag varint of a BIGINT."""
-    return _varint(F.shiftleft(number, 1).bitwiseXOR(F.shiftright(number, 63)), 10)
-
-
-def avro_string(text: Column) -> Column:
-    """Length-prefixed UTF-8 bytes; the length of a short string is one byte."""
-    size = F.octet_length(text).cast("long")
-    zigzag = F.shiftleft(size, 1)
-    prefix = F.when(size < 64, _byte(zigzag)).otherwise(_varint(zigzag, 5))
-    return F.concat(prefix, text.cast("binary"))
+def _zigzag_sql(field: Field, column: str) -> str:
+    """The unsigned number that starts a field: a length for strings, else the value."""
+    if field.kind == "string":
+        return f"shiftleft(cast(octet_length({column}) AS bigint), 1)"
+    return f"(shiftleft({column}, 1) ^ shiftright({column}, 63))"
 
 
-def _plain(field: Field, column: Column) -> Column:
-    if field.kind == "string":
-        return avro_string(column)
-    return avro_long(column.cast("long"))
+def _literal_sql(value, kind: str) -> str:
+    if value is None:
+        return "NULL"
+    if kind == "string":
+        return f"cast(X'{value.encode().hex()}' AS string)"
+    return str(int(value))
 
 
-def _value(field: Field, schema: T.StructType) -> Column | None:
-    """The column a field is written from; its default stands in for a missing column."""
-    if field.name in schema.fieldNames():
-        return F.col(f"`{field.name}`")
-    if field.has_default or field.null_branch is not None:
-        return F.lit(field.default if field.has_default else None)
-    return None
+def _wrong_type(field: Field, schema: T.StructType) -> bool:
+    if field.name not in schema.fieldNames():
+        return False
+    fitting = (T.StringType,) if field.kind == "string" else WHOLE_TYPES
+    return not isinstance(schema[field.name].dataType, fitting)
 
 
 def _misfit(field: Field, schema: T.StructType) -> Column | None:
     """An error text for rows whose field does not fit, or None when every row fits."""
     if field.name not in schema.fieldNames():
-        if _value(field, schema) is None:
-            return F.lit(f"field {field.name} is missing")
-        return None
+        if field.has_default or field.null_branch is not None:
+            return None
+        return F.lit(f"field {field.name} is missing")
     given = schema[field.name].dataType
-    if not isinstance(given, STRING_TYPES if field.kind == "string" else WHOLE_TYPES):
-        reason = f"field {field.name} is {given.simpleString()}, not {field.kind}"
-        return F.when(F.col(f"`{field.name}`").isNotNull(), F.lit(reason)) if (
-            field.null_branch is not None
-        ) else F.lit(reason)
     column = F.col(f"`{field.name}`")
+    if _wrong_type(field, schema):
+        reason = F.lit(f"field {field.name} is {given.simpleString()}, not {field.kind}")
+        return reason if field.null_branch is None else F.when(column.isNotNull(), reason)
     error = None
     if field.null_branch is None and schema[field.name].nullable:
         error = F.when(column.isNull(), F.lit(f"field {field.name} is null"))
@@ -94,26 +75,36 @@ def encode_error(fields: list[Field], schema: T.StructType) -> Column:
     return F.coalesce(*errors) if errors else F.lit(None).cast("string")
 
 
+def _column_sql(field: Field, schema: T.StructType) -> str:
+    """The column a field is written from; its default stands in for a missing column."""
+    column = "NULL"
+    if field.name not in schema.fieldNames():
+        if field.has_default:
+            column = _literal_sql(field.default, field.kind)
+    elif not _wrong_type(field, schema):
+        column = "`" + field.name.replace("`", "``") + "`"
+    return f"cast({column} AS {'string' if field.kind == 'string' else 'bigint'})"
+
+
 def avro_body(fields: list[Field], schema: T.StructType) -> Column:
-    """The Avro body of a row that fits the record (see :func:`encode_error`)."""
-    parts = []
-    for field in fields:
-        column = _value(field, schema)
-        if column is None:
-            return F.lit(None).cast("binary")
-        if field.name in schema.fieldNames():
-            given = schema[field.name].dataType
-            if not isinstance(given, STRING_TYPES if field.kind == "string" else WHOLE_TYPES):
-                column = F.lit(None)
-        column = column.cast("string" if field.kind == "string" else "long")
-        if field.null_branch is None:
-            parts.append(_plain(field, column))
-            continue
-        null_index = bytes([2 * field.null_branch])
-        value_index = bytes([2 * (1 - field.null_branch)])
-        parts.append(
-            F.when(column.isNull(), F.lit(null_index)).otherwise(
-                F.concat(F.lit(value_index), _plain(field, column))
-            )
-        )
-    return F.concat(*parts) if parts else F.lit(EMPTY)
+    """The Avro body of a row that fits the record (see :func:`encode_error`).
+
+    All numbers of a record are turned into varints by one lambda. That keeps the ten
+    cases of a varint out of the generated code, where they would make methods too long
+    for the JIT compiler; a second lambda joins the pieces without repeating them.
+    """
+    if not fields:
+        return F.lit(b"")
+    numbers, pieces = [], []
+    for place, field in enumerate(fields):
+        column = _column_sql(field, schema)
+        numbers.append(_zigzag_sql(field, column))
+        piece = f"varints[{place}]"
+        if field.kind == "string":
+            piece = f"concat({piece}, cast({column} AS binary))"
+        if field.null_branch is not None:
+            null, value = (f"X'{2 * b:02x}'" for b in (field.null_branch, 1 - field.null_branch))
+            piece = f"CASE WHEN {column} IS NULL THEN {null} ELSE concat({value}, {piece}) END"
+        pieces.append(piece)
+    varints = f"transform(array({', '.join(numbers)}), number -> {_varint_sql('number')})"
+    return F.expr(f"transform(array({varints}), varints -> concat({', '.join(pieces)}))[0]")

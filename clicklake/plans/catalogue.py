@@ -480,7 +480,7 @@ def stream_dead_letters(spark, sf_dir):
 
 @query(
     """SELECT CAST(count(*) AS BIGINT) AS events, CAST(count(*) AS BIGINT) AS total_events,
-       count_if(event_id % 10 = 0) AS bad FROM events"""
+       CAST(count_if(event_id % 10 = 0) AS BIGINT) AS bad FROM events"""
 )
 def stream_totals(spark, sf_dir):
     """Events of all batches, the last running total, and the dead letters among them."""

@@ -1,0 +1,285 @@
+import json
+
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from clicklake.functions.decode import _decode_batch, decode_bodies
+from clicklake.functions.records import (
+    CLICK_STREAM_V1,
+    DLQ_V1,
+    USER_EVENT_V1,
+    USER_EVENT_V2,
+    USER_EVENT_V3,
+    record_fields,
+)
+from clicklake.operators.codec import decode_avro, encode_avro, flatten
+from clicklake.operators.routing import split_decoded
+
+from . import samples
+
+MIXED = json.dumps(
+    {
+        "type": "record",
+        "name": "Mixed",
+        "fields": [
+            {"name": "number", "type": "long"},
+            {"name": "small", "type": ["int", "null"]},
+            {"name": "text", "type": ["null", "string"], "default": None},
+            {"name": "name", "type": "string"},
+        ],
+    }
+)
+GOLDEN = [
+    (CLICK_STREAM_V1, samples.CLICK, samples.CLICK_BODY),
+    (USER_EVENT_V1, samples.USER_EVENT, samples.USER_EVENT_BODY),
+    (USER_EVENT_V3, samples.USER_EVENT_V3, samples.USER_EVENT_V3_BODY),
+    (DLQ_V1, samples.LETTER, samples.LETTER_BODY),
+]
+SPARK_DDL = {"string": "string", "int": "int", "long": "long"}
+
+
+def ddl(schema):
+    return ", ".join(f"`{f.name}` {SPARK_DDL[f.kind]}" for f in record_fields(schema))
+
+
+def messages(spark, values):
+    return spark.createDataFrame([(v,) for v in values], "value binary")
+
+
+def java_body(spark, schema, record):
+    """The body that the Java Avro library writes."""
+    jvm = spark._jvm
+    parsed = getattr(jvm.org.apache.avro, "Schema$Parser")().parse(schema)
+    datum = getattr(jvm.org.apache.avro.generic, "GenericData$Record")(parsed)
+    for field in record_fields(schema):
+        value = record[field.name]
+        if value is not None and field.kind == "long":
+            value = jvm.java.lang.Long.valueOf(str(value))
+        datum.put(field.name, value)
+    out = jvm.java.io.ByteArrayOutputStream()
+    encoder = jvm.org.apache.avro.io.EncoderFactory.get().binaryEncoder(out, None)
+    jvm.org.apache.avro.generic.GenericDatumWriter(parsed).write(datum, encoder)
+    encoder.flush()
+    return bytes(out.toByteArray())
+
+
+@pytest.mark.parametrize(("schema", "record", "body"), GOLDEN)
+def test_golden_bodies_both_ways(spark, schema, record, body):
+    rows = spark.createDataFrame([tuple(record.values())], ddl(schema))
+    message = encode_avro(rows, schema, 7).first()
+    assert message.encode_error is None
+    assert bytes(message.value) == samples.framed(body)
+    decoded = decode_avro(messages(spark, [samples.framed(body)]), {7: schema}).first()
+    assert decoded.error is None
+    assert decoded.data.asDict() == record
+
+
+EDGES = [
+    0, -1, 1, 63, 64, -64, -65, 8191, 8192, 2**20, 2**27, 2**28, 2**31 - 1, -(2**31),
+    2**34, 2**35, 2**48 - 1, 2**55, 2**56, 2**62 - 1, 2**62, 2**63 - 1, -(2**63),
+]
+
+
+def test_bodies_equal_those_of_the_java_library(spark):
+    records = [
+        {
+            "number": n,
+            "small": n if -(2**31) <= n < 2**31 else None,
+            "text": None if i % 3 == 0 else "é" * (2 ** (i % 18) // 2),
+            "name": "x" * ((i * 7919) % 300),
+        }
+        for i, n in enumerate(EDGES)
+    ]
+    rows = spark.createDataFrame([tuple(r.values()) for r in records], ddl(MIXED))
+    framed = encode_avro(rows, MIXED, 7).collect()
+    for record, row in zip(records, framed, strict=True):
+        assert bytes(row.value)[5:] == java_body(spark, MIXED, record), record["number"]
+    decoded = decode_avro(messages(spark, [row.value for row in framed]), {7: MIXED})
+    assert [r.data.asDict() for r in decoded.collect()] == records
+
+
+def test_evolution_follows_the_reader(spark):
+    schemas = {1: USER_EVENT_V1, 2: USER_EVENT_V2, 3: USER_EVENT_V3}
+    v1 = samples.framed(samples.USER_EVENT_BODY, 1)
+    v3 = samples.framed(samples.USER_EVENT_V3_BODY, 3)
+    both = messages(spark, [v1, v3, v1])
+    newest = [r.data.asDict() for r in decode_avro(both, schemas).collect()]
+    defaulted = samples.USER_EVENT | {"user_process": "null", "route": "null"}
+    assert newest == [defaulted, samples.USER_EVENT_V3, defaulted]
+    nulls = decode_avro(both, schemas, null_string_default=True).first().data
+    assert (nulls.user_process, nulls.route) == (None, None)
+    oldest = [r.data.asDict() for r in decode_avro(both, schemas, USER_EVENT_V1).collect()]
+    assert oldest == [samples.USER_EVENT] * 3
+    wrong = decode_avro(messages(spark, [samples.framed(samples.USER_EVENT_BODY, 3)]), schemas)
+    assert wrong.first().error == "body ends inside field user_process"
+
+
+def test_reasons_of_failed_messages(spark):
+    good = samples.framed(samples.CLICK_BODY)
+    values = [
+        good, None, b"\x00\x00\x00\x00\x07", b"\x01" + good[1:], samples.framed(samples.CLICK_BODY, 9),
+        good[:9], samples.framed(b"\x01"), samples.framed(b"\xff" * 11), samples.framed(b"\x02\xff"),
+        good + b"tail",
+    ]
+    decoded = decode_avro(messages(spark, values).coalesce(1), {7: CLICK_STREAM_V1}).collect()
+    assert [r.error for r in decoded] == [
+        None,
+        "message has no value",
+        "message is too short for a header and a body",
+        "unknown magic byte",
+        "unknown schema id 9",
+        "body ends inside field event_id",
+        "string in field event_id has a negative length",
+        "number in field event_id is longer than 10 bytes",
+        "string in field event_id is not UTF-8",
+        None,
+    ]
+    assert all((r.data is None) == (r.error is not None) for r in decoded)
+
+
+def test_writer_and_reader_that_do_not_match(spark):
+    def record(*fields):
+        return json.dumps({"type": "record", "name": "R", "fields": list(fields)})
+
+    text = record({"name": "a", "type": "string"})
+    number = record({"name": "a", "type": "int"})
+    wide = record({"name": "a", "type": "long"})
+    optional = record({"name": "a", "type": ["null", "int"]})
+    more = record({"name": "a", "type": "int"}, {"name": "b", "type": "int"})
+
+    def read(body, writer, reader):
+        row = decode_avro(messages(spark, [samples.framed(body)]), {7: writer}, reader).first()
+        return (row.data and row.data.asDict()), row.error
+
+    assert read(b"\x02a", text, number) == (None, "field a was written as string, not int")
+    assert read(b"\x02", number, wide) == ({"a": 1}, None)
+    assert read(b"\x00", optional, number) == (None, "field a is null")
+    assert read(b"\x02\x02", optional, number) == ({"a": 1}, None)
+    assert read(b"\x04", optional, optional) == (None, "union in field a has no such branch")
+    assert read(b"\x02", number, more) == (None, "field b is missing and has no default")
+    assert read(b"\xfe\xff\xff\xff\x1f", number, number) == (None, "number in field a is not an int")
+
+
+def test_encoding_errors_are_per_row(spark):
+    rows = spark.createDataFrame(
+        [("a", 1, 5), (None, 2, 5), ("c", 2**31, 5), ("d", None, None)],
+        "name string, small long, number long",
+    )
+    encoded = encode_avro(rows, MIXED, 7)
+    assert [r.encode_error for r in encoded.collect()] == [
+        None,
+        "field name is null",
+        "field small is out of the int range",
+        "field number is null",
+    ]
+    assert [r.value is None for r in encoded.collect()] == [False, True, True, True]
+    missing = encode_avro(rows.drop("name"), MIXED, 7).first()
+    assert missing.encode_error == "field name is missing" and missing.value is None
+    wrong = encode_avro(rows.withColumn("number", F.lit("x")), MIXED, 7).first()
+    assert wrong.encode_error == "field number is string, not long" and wrong.value is None
+
+
+def test_missing_column_is_written_with_its_default(spark):
+    rows = spark.createDataFrame([tuple(samples.USER_EVENT.values())], ddl(USER_EVENT_V1))
+    body = bytes(encode_avro(rows, USER_EVENT_V3, 3).first().value)[5:]
+    assert body == samples.USER_EVENT_BODY + b"\x02\x08null\x02\x08null"
+
+
+def test_chosen_fields_only(spark):
+    decoded = decode_avro(
+        messages(spark, [samples.framed(samples.CLICK_BODY)]),
+        {7: CLICK_STREAM_V1},
+        fields=["timestamp", "url"],
+    )
+    assert flatten(decoded).first().asDict() == {"url": "/a", "timestamp": 1704067207179}
+    with pytest.raises(ValueError, match="no field"):
+        decode_avro(messages(spark, []), {7: CLICK_STREAM_V1}, fields=["x"])
+
+
+def test_flatten_keeps_failed_rows_as_nulls_and_coordinates_on_request(spark):
+    rows = spark.createDataFrame(
+        [(b"x", "t", 3, samples.framed(samples.CLICK_BODY)), (b"y", "t", 4, b"bad")],
+        "key binary, topic string, partition int, value binary",
+    )
+    decoded = decode_avro(rows, {7: CLICK_STREAM_V1})
+    assert [r.event_id for r in flatten(decoded).collect()] == ["event_1", None]
+    kept = flatten(decoded, keep_kafka=True)
+    assert kept.columns[-3:] == ["kafka_key", "kafka_topic", "kafka_partition"]
+    assert [r.kafka_partition for r in kept.collect()] == [3, 4]
+
+
+def test_large_arrow_types_decode_alike(spark):
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    try:
+        rows = messages(spark, [samples.framed(samples.CLICK_BODY), b"x"])
+        decoded = decode_avro(rows, {7: CLICK_STREAM_V1}).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")
+    assert decoded[0].data.asDict() == samples.CLICK and decoded[1].data is None
+
+
+def test_decoder_runs_once_and_without_a_shuffle(spark, plan_of):
+    decoded = decode_avro(messages(spark, [b""]), {7: CLICK_STREAM_V1})
+    good, _ = split_decoded(decoded)
+    plan = plan_of(flatten(good), "simple")
+    assert plan.count("ArrowEvalPython") == 1
+    assert "Exchange" not in plan and "BatchEvalPython" not in plan
+
+
+def test_spark_avro_codec_needs_its_module(spark):
+    rows = messages(spark, [samples.framed(samples.CLICK_BODY)])
+    with pytest.raises(AnalysisException, match="(?i)avro"):
+        decode_avro(rows, {7: CLICK_STREAM_V1}, codec="spark-avro")
+    with pytest.raises(ValueError, match="codec"):
+        decode_avro(rows, {7: CLICK_STREAM_V1}, codec="x")
+
+
+def test_sliced_and_empty_batches():
+    fields = record_fields(CLICK_STREAM_V1)
+    bodies = pa.array([b"zz", samples.CLICK_BODY, None, samples.CLICK_BODY], pa.binary())
+    columns, errors = decode_bodies(bodies.slice(1), fields, fields)
+    assert columns[0].to_pylist() == ["event_1", "", "event_1"]
+    assert [e is None for e in errors] == [True, False, True]
+    empty = _decode_batch(pa.array([], pa.binary()), pa.array([], pa.int64()), {7: fields}, fields)
+    assert len(empty) == 0
+    columns, errors = decode_bodies(pa.array([], pa.binary()), fields, fields)
+    assert [len(c) for c in columns] == [0] * 8
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=60), max_size=12), st.data())
+def test_random_bytes_never_raise(bodies, data):
+    fields = record_fields(MIXED)
+    cut = data.draw(st.integers(0, len(samples.USER_EVENT_V3_BODY)))
+    bodies = [*bodies, samples.USER_EVENT_V3_BODY[:cut]]
+    for schema in (MIXED, USER_EVENT_V3):
+        fields = record_fields(schema)
+        columns, errors = decode_bodies(pa.array(bodies, pa.binary()), fields, fields)
+        assert [len(c) for c in columns] == [len(bodies)] * len(fields)
+        alone = [decode_bodies(pa.array([b], pa.binary()), fields, fields) for b in bodies]
+        assert list(errors) == [e[0] for _, e in alone]
+        for row, (single, error) in enumerate(alone):
+            if error[0] is None:
+                assert [c[row].as_py() for c in columns] == [c[0].as_py() for c in single]
+
+
+def test_random_records_round_trip_through_spark(spark):
+    record = st.tuples(
+        st.integers(-(2**63), 2**63 - 1),
+        st.none() | st.integers(-(2**31), 2**31 - 1),
+        st.none() | st.text(st.characters(exclude_categories=["Cs"]), max_size=200),
+        st.text(st.characters(exclude_categories=["Cs"]), max_size=100),
+    )
+
+    @settings(max_examples=5, deadline=None, database=None)
+    @given(st.lists(record, min_size=1, max_size=50))
+    def check(records):
+        rows = spark.createDataFrame(records, ddl(MIXED))
+        decoded = decode_avro(encode_avro(rows, MIXED, 7).select("value"), {7: MIXED})
+        assert [tuple(r.data) for r in decoded.collect()] == records
+
+    check()

@@ -1,0 +1,37 @@
+from pyspark.sql import functions as F
+
+from clicklake.operators.keys import partition_by_key, to_kafka_rows, with_partition
+
+
+def test_equal_keys_share_a_partition(spark):
+    rows = with_partition(spark.range(1000).selectExpr("cast(id % 50 AS string) AS session_id"), 12)
+    per_key = rows.groupBy("session_id").agg(F.count_distinct("partition").alias("n"))
+    assert per_key.filter("n <> 1").count() == 0
+    assert rows.agg(F.min("partition"), F.max("partition")).first()[:] >= (0, 0)
+    assert rows.filter("partition NOT BETWEEN 0 AND 11").count() == 0
+
+
+def test_a_hot_key_is_spread_and_stays_in_order(spark):
+    rows = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 997) END AS session_id",
+        "(id * 7919) % 30011 AS timestamp",
+        "id AS event_id",
+    )
+    placed = partition_by_key(rows, tasks=8).select(
+        "*", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("place")
+    )
+    sizes = [r["count"] for r in placed.groupBy("task").count().collect()]
+    assert sum(sizes) == 30_000 and max(sizes) < 9_000
+    assert placed.filter("session_id = 'hot'").select("task").distinct().count() > 1
+    kept = placed.orderBy("place").select("session_id", "timestamp", "event_id").collect()
+    last = {}
+    for key, *order in kept:
+        assert last.get(key, [-1, -1]) < order
+        last[key] = order
+
+
+def test_kafka_rows_have_text_keys(spark):
+    rows = spark.createDataFrame([("s", b"v", "t", 1)], "session_id string, value binary, topic string, x int")
+    kafka = to_kafka_rows(rows)
+    assert kafka.columns == ["key", "value", "topic"]
+    assert bytes(kafka.first().key) == b"s"

@@ -1,0 +1,86 @@
+import json
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from clicklake.functions.records import USER_EVENT_V1, USER_EVENT_V2, drop_logical_types, record_fields
+from clicklake.operators.codec import decode_avro
+from clicklake.sources import schemas as s
+
+from . import samples
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    (tmp_path / "user_event-v1.avsc").write_text(USER_EVENT_V1)
+    (tmp_path / "user_event-v2.avsc").write_text(USER_EVENT_V2)
+    (tmp_path / "user_event-v10.avsc").write_text('"string"')
+    (tmp_path / "notes.txt").write_text("not a schema")
+    ids = {"user_event-v1.avsc": 1, "user_event-v2.avsc": 2}
+    return s.schemas_table(spark, str(tmp_path), ids)
+
+
+def test_files_become_a_schema_table(table):
+    rows = {(r.subject, r.version, r.schema_id) for r in table.collect()}
+    assert rows == {("user_event", 1, 1), ("user_event", 2, 2), ("user_event", 10, None)}
+    assert s.schema_text(table, "user_event", 2) == USER_EVENT_V2
+    assert s.schema_text(table, "user_event", 3) is None
+    with pytest.raises(FileNotFoundError):
+        s.schema_text(table, "user_event", 3, required=True)
+
+
+def test_latest_version_is_the_highest_number(table):
+    newest = s.latest_schema(table, "user_event").first()
+    assert (newest.subject, newest.version, newest.schema_json) == ("user_event", 10, '"string"')
+
+
+def test_schema_table_feeds_the_decoder(spark, table):
+    rows = spark.createDataFrame([(samples.framed(samples.USER_EVENT_BODY, 1),)], "value binary")
+    assert decode_avro(rows, table).first().data.user_process == "null"
+
+
+def test_oversized_schema_table_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(s, "MAX_SCHEMAS", 2)
+    rows = spark.createDataFrame([("a", i, i, "x") for i in range(3)], s.SCHEMA_TABLE)
+    with pytest.raises(ValueError, match="more than 2 schemas"):
+        s.writer_schemas(rows)
+
+
+def subject(spark, *arguments, **options):
+    return spark.range(1).select(s.subject_name(*arguments, **options).alias("s")).first().s
+
+
+def test_subject_names(spark):
+    topic, record = F.lit("t"), F.lit("a.R")
+    assert subject(spark, topic) == "t-value"
+    assert subject(spark, topic, is_key=True) == "t-key"
+    assert subject(spark, topic, record, "RecordNameStrategy") == "a.R"
+    assert subject(spark, topic, record, "TopicRecordNameStrategy") == "t-a.R-value"
+    assert subject(spark, topic, record, "TopicRecordNameStrategy", True) == "t-a.R-key"
+    for strategy in ("RecordNameStrategy", "TopicRecordNameStrategy"):
+        with pytest.raises(ValueError, match="record name"):
+            s.subject_name(topic, None, strategy)
+        for empty in (F.lit(None).cast("string"), F.lit("")):
+            with pytest.raises(PySparkException, match="record name"):
+                subject(spark, topic, empty, strategy)
+    with pytest.raises(ValueError, match="unknown"):
+        s.subject_name(topic, record, "Other")
+
+
+def test_logical_types_go_at_every_depth():
+    document = {"logicalType": "x", "fields": [{"type": {"type": "long", "logicalType": "y"}}, "z"]}
+    assert drop_logical_types(document) == {"fields": [{"type": {"type": "long"}}, "z"]}
+    assert "logicalType" in document
+    assert record_fields(USER_EVENT_V1)[0].kind == "long"
+
+
+@pytest.mark.parametrize(
+    "declared", ["double", ["int", "string"], ["null", "int", "string"], {"type": "array", "items": "int"}]
+)
+def test_types_outside_the_data_model_are_refused(declared):
+    document = {"type": "record", "name": "R", "fields": [{"name": "a", "type": declared}]}
+    with pytest.raises(ValueError, match="field a"):
+        record_fields(json.dumps(document))
+    with pytest.raises(ValueError, match="record"):
+        record_fields('"string"')
