@@ -11,26 +11,49 @@ from .records import Field
 WHOLE_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def _byte_sql(code: str) -> str:
-    """The byte with a number of 0 to 255, cut out of a constant that holds all of them."""
-    return f"substring(X'{bytes(range(256)).hex()}', cast({code} AS int) + 1, 1)"
-
-
 def _varint_sql(unsigned: str) -> str:
-    """Up to ten bytes, low seven bits first; the top bit says that another byte follows."""
-    text = _byte_sql(f"shiftrightunsigned({unsigned}, 63)")
-    for shift in range(56, -1, -7):
-        here = f"shiftrightunsigned({unsigned}, {shift})"
-        more = f"concat({_byte_sql(f'(({here} & 127) | 128)')}, {text})"
-        text = f"CASE WHEN shiftrightunsigned({here}, 7) = 0 THEN {_byte_sql(here)} ELSE {more} END"
-    return text
+    """Up to ten bytes, low seven bits first; the top bit says that another byte follows.
 
-
-def _zigzag_sql(field: Field, column: str) -> str:
-    """The unsigned number that starts a field: a length for strings, else the value."""
-    if field.kind == "string":
-        return f"shiftleft(cast(octet_length({column}) AS bigint), 1)"
-    return f"(shiftleft({column}, 1) ^ shiftright({column}, 63))"
+    The first eight groups of seven bits are moved to the bytes of one number, marked as
+    continued, and as many bytes as are needed are cut from it.
+    """
+    spread = " | ".join(
+        f"shiftleft(shiftrightunsigned({unsigned}, {7 * group}) & 127, {56 - 8 * group})"
+        for group in range(8)
+    )
+    marks, sizes = [], []
+    for size in range(1, 9):
+        fits = f"WHEN shiftrightunsigned({unsigned}, {7 * size}) = 0 THEN"
+        mark = int.from_bytes(b"\x80" * (size - 1) + b"\x00" * (9 - size), "big", signed=True)
+        marks.append(f"{fits} {mark}L")
+        sizes.append(f"{fits} {size}")
+    all_marked = int.from_bytes(b"\x80" * 8, "big", signed=True)
+    mark = f"CASE {' '.join(marks)} ELSE {all_marked}L END"
+    size = f"CASE {' '.join(sizes)} ELSE 8 END"
+    ninth, tenth = (f"shiftrightunsigned({unsigned}, {shift})" for shift in (56, 63))
+    return f"""concat(
+        substring(unhex(lpad(hex({spread} | {mark}), 16, '0')), 1, {size}),
+        CASE WHEN {ninth} = 0 THEN X''
+             WHEN {tenth} = 0 THEN unhex(lpad(hex({ninth}), 2, '0'))
+             ELSE concat(unhex(hex({ninth} & 127 | 128)), X'01') END)"""
+
+
+def _long_sql(column: str) -> str:
+    return _varint_sql(f"(shiftleft({column}, 1) ^ shiftright({column}, 63))")
+
+
+def _string_sql(column: str) -> str:
+    """The length as a varint and the UTF-8 bytes.
+
+    The length of a short string is one byte, cut out of a constant with all of them. For
+    longer ones it is computed in a lambda, which is not part of the generated code: there
+    it would make the methods of a wide record too long for the JIT compiler.
+    """
+    size = f"octet_length({column})"
+    doubled = f"array(shiftleft(cast({size} AS bigint), 1))"
+    prefix = f"""CASE WHEN {size} < 64 THEN substring(X'{bytes(range(0, 128, 2)).hex()}', {size} + 1, 1)
+                 ELSE transform({doubled}, number -> {_varint_sql("number")})[0] END"""
+    return f"concat({prefix}, cast({column} AS binary))"
 
 
 def _literal_sql(value, kind: str) -> str:
@@ -87,24 +110,13 @@ def _column_sql(field: Field, schema: T.StructType) -> str:
 
 
 def avro_body(fields: list[Field], schema: T.StructType) -> Column:
-    """The Avro body of a row that fits the record (see :func:`encode_error`).
-
-    All numbers of a record are turned into varints by one lambda. That keeps the ten
-    cases of a varint out of the generated code, where they would make methods too long
-    for the JIT compiler; a second lambda joins the pieces without repeating them.
-    """
-    if not fields:
-        return F.lit(b"")
-    numbers, pieces = [], []
-    for place, field in enumerate(fields):
+    """The Avro body of a row that fits the record (see :func:`encode_error`)."""
+    pieces = ["X''"]
+    for field in fields:
         column = _column_sql(field, schema)
-        numbers.append(_zigzag_sql(field, column))
-        piece = f"varints[{place}]"
-        if field.kind == "string":
-            piece = f"concat({piece}, cast({column} AS binary))"
+        piece = _string_sql(column) if field.kind == "string" else _long_sql(column)
         if field.null_branch is not None:
             null, value = (f"X'{2 * b:02x}'" for b in (field.null_branch, 1 - field.null_branch))
             piece = f"CASE WHEN {column} IS NULL THEN {null} ELSE concat({value}, {piece}) END"
         pieces.append(piece)
-    varints = f"transform(array({', '.join(numbers)}), number -> {_varint_sql('number')})"
-    return F.expr(f"transform(array({varints}), varints -> concat({', '.join(pieces)}))[0]")
+    return F.expr(f"concat({', '.join(pieces)})")
