@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark.storagelevel import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from ..sources.lake import BATCH_COLUMN
 from .sinks import run_batches, write_batch, write_dlq
 
 PROGRESS_SCHEMA = (
-    "events long, good long, bad long, late long, max_seen timestamp, seconds double"
+    "events long, good long, bad long, late long, max_seen long, seconds double"
 )
 
 
@@ -53,49 +53,75 @@ class Ingest:
     dlq_topic: str = DLQ_TOPIC
     dlq_schema_id: int = 1
     null_string_default: bool = False
+    cache: bool = False
 
     def start(self, messages: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         """Start the stream over messages in the Kafka row form."""
         return run_batches(messages, self.process, checkpoint, trigger)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        """Route one micro-batch; the read and the decode happen once, in the first write."""
+        """Route one micro-batch.
+
+        The first write counts what the others have to do. A batch without failed and
+        late messages, the usual one, is read and decoded once; otherwise each further
+        write reads it again, unless ``cache`` keeps the decoded batch.
+        """
         started = time.monotonic()
         spark = batch.sparkSession
         before = newest_before(spark, self.progress, batch_id) if self.late else None
         routed = self._routed(batch, before)
-        timed = "_event_time" in routed.columns
-        seen = Observation()
-        # A micro-batch is bounded by the rate limit of its source, and lost blocks are
-        # read again from it.
-        routed.persist(StorageLevel.MEMORY_AND_DISK)
+        partitions = ["dt"] if "_event_time" in routed.columns else []
+        good, late = F.col("error").isNull(), F.col("_late")
+        if self.cache:
+            routed.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            counted = routed.observe(
-                seen,
-                F.count(F.lit(1)).alias("events"),
-                F.count("error").alias("bad"),
-                F.coalesce(F.sum(F.col("_late").cast("long")), F.lit(0)).alias("late"),
-                (F.max("_event_time") if timed else F.lit(None).cast("timestamp")).alias("newest"),
-            )
-            partitions = ["dt"] if timed else []
-            good = F.col("error").isNull()
-            self._append(counted.filter(good & ~F.col("_late")), self.table, batch_id, partitions)
+            seen = Observation()
+            counted = routed.observe(seen, *self._counts(bool(partitions)))
+            self._append(counted.filter(good & ~late), self.table, batch_id, partitions)
             counts = seen.get
             if counts["bad"]:
-                write_dlq(
-                    routed.filter(~good),
-                    self.dlq_form,
-                    topic=self.dlq_topic,
-                    writer_id=self.dlq_schema_id,
-                    folder=self.dead_letters,
-                    batch_id=batch_id,
-                )
+                self._again(routed.filter(~good), counts["bad"], self._write_letters, batch_id)
             if counts["late"]:
-                self._append(routed.filter(good & F.col("_late")), self.late, batch_id, partitions)
+                self._again(routed.filter(good & late), counts["late"], self._write_late, batch_id)
         finally:
-            routed.unpersist()
+            if self.cache:
+                routed.unpersist()
         self._record(spark, batch_id, counts, before, time.monotonic() - started)
 
+    @staticmethod
+    def _counts(timed: bool) -> list:
+        newest = F.unix_micros(F.max("_event_time")) if timed else F.lit(None).cast("long")
+        return [
+            F.count(F.lit(1)).alias("events"),
+            F.count("error").alias("bad"),
+            F.count(F.when(F.col("error").isNull() & F.col("_late"), 1)).alias("late"),
+            newest.alias("newest"),
+        ]
+
+    @staticmethod
+    def _again(rows: DataFrame, expected: int, write: Callable, batch_id: int) -> None:
+        """Write a part of the batch, and check that its source still had all of it."""
+        seen = Observation()
+        write(rows.observe(seen, F.count(F.lit(1)).alias("rows")), batch_id)
+        if seen.get["rows"] != expected:
+            raise RuntimeError(
+                f"batch {batch_id} had {expected} rows to write here but {seen.get['rows']} "
+                "when read again; keep it with cache=True if its source does not last"
+            )
+
+    def _write_letters(self, rows: DataFrame, batch_id: int) -> None:
+        write_dlq(
+            rows,
+            self.dlq_form,
+            topic=self.dlq_topic,
+            writer_id=self.dlq_schema_id,
+            folder=self.dead_letters,
+            batch_id=batch_id,
+        )
+
+    def _write_late(self, rows: DataFrame, batch_id: int) -> None:
+        self._append(rows, self.late, batch_id, ["dt"])
+
     def _routed(self, batch: DataFrame, before) -> DataFrame:
         schemas = self.schemas() if callable(self.schemas) else self.schemas
         decoded = decode_avro(
@@ -106,7 +132,8 @@ class Ingest:
             time_column = event_time(F.col("data")[self.timestamp_field], self.precision)
             decoded = decoded.withColumn("_event_time", time_column)
             if before is not None:
-                late = is_late(F.col("_event_time"), F.lit(before), self.delay)
+                newest = F.timestamp_micros(F.lit(before))
+                late = is_late(F.col("_event_time"), newest, self.delay)
         return decoded.withColumn("_late", late)
 
     def _append(self, rows: DataFrame, path: str, batch_id: int, partitions: list[str]) -> None:
@@ -121,35 +148,34 @@ class Ingest:
         )
 
     def _record(self, spark, batch_id: int, counts: dict, before, seconds: float) -> None:
-        times = [t for t in (before, counts["newest"]) if t is not None]
+        newest = max((t for t in (before, counts["newest"]) if t is not None), default=None)
         good = counts["events"] - counts["bad"] - counts["late"]
-        row = (counts["events"], good, counts["bad"], counts["late"], max(times, default=None), seconds)
+        row = (counts["events"], good, counts["bad"], counts["late"], newest, seconds)
         line = spark.createDataFrame([row], PROGRESS_SCHEMA).coalesce(1)
+        line = line.withColumn("max_seen", F.timestamp_micros("max_seen"))
         write_batch(line, self.progress, batch_id, fmt="parquet")
 
 
-def newest_before(spark: SparkSession, progress: str, batch_id: int):
-    """The newest event time of all batches before ``batch_id``, or None.
+def newest_before(spark: SparkSession, progress: str, batch_id: int) -> int | None:
+    """The newest event time of all batches before ``batch_id`` in epoch microseconds.
 
     Each progress row carries the newest time so far, so the row of the batch before is
     enough; all rows are read only if that one is missing.
     """
     if batch_id == 0:
         return None
-    try:
-        return spark.read.parquet(f"{progress.rstrip('/')}/{BATCH_COLUMN}={batch_id - 1}").first()[
-            "max_seen"
-        ]
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-    try:
-        earlier = spark.read.parquet(progress).filter(F.col(BATCH_COLUMN) < batch_id)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return None
-    return earlier.agg(F.max("max_seen")).first()[0]
+    newest = F.unix_micros(F.max("max_seen"))
+    for path in (f"{progress.rstrip('/')}/{BATCH_COLUMN}={batch_id - 1}", progress):
+        try:
+            rows = spark.read.parquet(path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        if path == progress:
+            rows = rows.filter(F.col(BATCH_COLUMN) < batch_id)
+        return rows.agg(newest).first()[0]
+    return None
 
 
 def read_progress(spark: SparkSession, progress: str) -> DataFrame:

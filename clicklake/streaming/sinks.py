@@ -76,9 +76,21 @@ def await_end(query: StreamingQuery, timeout: float) -> None:
 
 
 def write_table(
-    df: DataFrame, path: str, *, fmt: str | None = None, partition_by: Sequence[str] = ()
+    df: DataFrame,
+    path: str,
+    *,
+    fmt: str | None = None,
+    partition_by: Sequence[str] = (),
+    rebalance: bool = False,
 ) -> None:
-    """Append a batch to a lake table."""
+    """Append a batch to a lake table.
+
+    Tasks write the partitions they meet, without a shuffle. For input in no order of
+    time, ``rebalance`` first brings the rows of a partition together in tasks of equal
+    size, so that a large partition is spread and a small one has few files.
+    """
+    if rebalance and partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.format(fmt or table_format(df.sparkSession)).mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 

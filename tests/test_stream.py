@@ -12,7 +12,7 @@ from clicklake.sources.lake import read_table
 from clicklake.streaming import ingest as ingest_module
 from clicklake.streaming.ingest import Ingest, newest_before, read_progress
 from clicklake.streaming.progress import EventTotal, counted, progress_table
-from clicklake.streaming.sinks import await_end, topic_rows, write_batch, write_dlq, write_kafka, write_stream
+from clicklake.streaming.sinks import await_end, topic_rows, write_dlq, write_kafka, write_stream, write_table
 
 from . import samples
 
@@ -138,15 +138,30 @@ def test_newest_time_survives_a_missing_progress_row(spark, tmp_path):
     base = str(tmp_path / "progress")
     assert newest_before(spark, base, 0) is None
     assert newest_before(spark, base, 3) is None
-    row = spark.createDataFrame(
-        [(1, 1, 0, 0, datetime(2024, 1, 1), 0.1)], ingest_module.PROGRESS_SCHEMA
-    )
-    write_batch(row, base, 1)
-    assert newest_before(spark, base, 2) == datetime(2024, 1, 1)
-    assert newest_before(spark, base, 7) == datetime(2024, 1, 1)
+    counts = {"events": 1, "bad": 0, "late": 0, "newest": 1704067200000000}
+    make(tmp_path)._record(spark, 1, counts, None, 0.1)
+    assert str(read_progress(spark, base).first().max_seen) == "2024-01-01 00:00:00"
+    assert newest_before(spark, base, 2) == 1704067200000000
+    assert newest_before(spark, base, 7) == 1704067200000000
     assert newest_before(spark, base, 1) is None
 
 
+@pytest.mark.parametrize("cache", [False, True])
+def test_a_source_that_loses_rows_between_the_writes_is_noticed(spark, tmp_path, cache):
+    ingest = make(tmp_path, cache=cache)
+    good = samples.framed(samples.CLICK_BODY)
+    ingest.process(spark.createDataFrame([(b"x",), (good,)], "value binary").transform(full_rows), 0)
+    assert read_table(spark, ingest.table).count() == 1
+    rows = spark.createDataFrame([(b"x",), (good,)], "value binary").transform(full_rows)
+    decoded = ingest._routed(rows, None).filter("error IS NOT NULL")
+    with pytest.raises(RuntimeError, match="had 2 rows to write here but 1"):
+        ingest._again(decoded, 2, ingest._write_letters, 1)
+
+
+def full_rows(df):
+    return topic_rows(df, "t")
+
+
 def test_schemas_can_be_looked_up_per_batch(spark, topic, tmp_path):
     looked_up = []
 
@@ -214,3 +229,12 @@ def test_a_stream_that_does_not_end_is_stopped(spark, topic, tmp_path):
     with pytest.raises(TimeoutError):
         await_end(stream, 3)
     assert not stream.isActive
+
+
+def test_rebalanced_table_has_few_files_and_all_rows(spark, tmp_path):
+    rows = spark.range(0, 900, numPartitions=9).selectExpr("id", "id % 3 AS dt")
+    for name, rebalance in (("plain", False), ("even", True)):
+        write_table(rows, str(tmp_path / name), partition_by=["dt"], rebalance=rebalance)
+        assert read_table(spark, str(tmp_path / name)).count() == 900
+    files = {name: len(list((tmp_path / name).rglob("*.parquet"))) for name in ("plain", "even")}
+    assert files["plain"] == 27 and files["even"] <= 9
