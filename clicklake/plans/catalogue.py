@@ -18,8 +18,8 @@ from ..operators.codec import decode_avro, encode_avro, flatten
 from ..operators.deadletter import dlq_messages, to_json_value
 from ..operators.keys import partition_by_key, to_kafka_rows
 from ..operators.late import split_late
-from ..operators.routing import split_decoded, split_encodable
-from ..operators.summary import daily_totals, ingest_totals, preview, row_count
+from ..operators.routing import require_record, split_decoded, split_encodable
+from ..operators.summary import daily_totals, ingest_totals, preview, row_count, run_summary
 from ..sources.events import read_events
 from ..sources.lake import read_table, shared_folder
 from ..sources.schemas import latest_schemas, subject_name
@@ -365,6 +365,11 @@ def unencodable_rows(spark, sf_dir):
     return bad.select("event_id", F.col("encode_error").alias("error"))
 
 
+@query(CLICKS_SQL)
+def required_records(spark, sf_dir):
+    return require_record(clicks(spark, sf_dir))
+
+
 @query(f"{CLICKS_SQL} WHERE event_id % 25 <> 0")
 def encodable_rows(spark, sf_dir):
     good, _ = split_encodable(_incomplete_clicks(spark, sf_dir), CLICK_STREAM_V1, CLICK_ID)
@@ -491,6 +496,46 @@ def stream_totals(spark, sf_dir):
     return totals.withColumn("bad", progress.agg(F.sum("bad")).scalar())
 
 
+@query("SELECT count(*) AS total_events FROM events")
+def run_events(spark, sf_dir):
+    progress = read_progress(spark, _ingested(spark, sf_dir).progress)
+    return run_summary(progress.select("seconds", "events")).select("total_events")
+
+
+@query(f"SELECT {EVENT_ID} AS event_id FROM events WHERE epoch_us(ts) // 1000000 < {_LIMIT}")
+def stream_late_rows(spark, sf_dir):
+    """The events of the last half day arrive first, then all others, many of them late."""
+    topic, base = shared_folder(spark, "topic"), shared_folder(spark, "ingest")
+    framed = encode_avro(clicks(spark, sf_dir), CLICK_STREAM_V1, CLICK_ID)
+    first = F.col("timestamp") >= F.unix_millis(F.lit("2024-01-30 12:00:00").cast("timestamp"))
+    ingest = Ingest(
+        schemas=CLICK_SCHEMAS,
+        table=f"{base}/clicks",
+        dead_letters=f"{base}/dead-letters",
+        progress=f"{base}/progress",
+        late=f"{base}/late",
+    )
+    for arriving in (first, ~first):
+        write_kafka(to_kafka_rows(framed.filter(arriving)), "clicks", folder=topic)
+        messages = read_events(spark, topic)
+        await_end(ingest.start(messages, f"{base}/checkpoint", {"availableNow": True}), TIMEOUT)
+    return read_table(spark, ingest.late).select("event_id")
+
+
+@query(
+    f"""SELECT {MILLIS} AS timestamp, user_id, {URL} AS page,
+        CASE WHEN event_id % 3 >= 1 THEN 'bypass-process' ELSE 'null' END AS user_process,
+        CASE WHEN event_id % 3 = 2 THEN 'bypass' ELSE 'null' END AS route FROM events"""
+)
+def stream_evolution(spark, sf_dir):
+    """A stream of messages in three schema versions, read as the newest."""
+    topic, path = shared_folder(spark, "topic"), shared_folder(spark, "user-events")
+    write_kafka(user_event_messages(spark, sf_dir).select("value"), "user-events", folder=topic)
+    good, _ = bronze(read_events(spark, topic, FILES_PER_TRIGGER), USER_EVENT_SCHEMAS, USER_EVENT_V3)
+    await_end(write_stream(good, path, trigger={"availableNow": True}), TIMEOUT)
+    return read_table(spark, path).select("timestamp", "user_id", "page", "user_process", "route")
+
+
 @query(f"SELECT {SESSION} AS session_id, count(*) AS rows, 1 AS partitions FROM events GROUP BY 1")
 def keyed_partitions(spark, sf_dir):
     rows = partition_by_key(clicks(spark, sf_dir).select("session_id", "timestamp", "event_id"))

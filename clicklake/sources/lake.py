@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -18,15 +19,22 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     return table.drop(BATCH_COLUMN)
 
 
+@functools.cache
+def _local_folder() -> tempfile.TemporaryDirectory:
+    """A folder of this process, removed when it ends."""
+    return tempfile.TemporaryDirectory(prefix="clicklake-", ignore_cleanup_errors=True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder path below ``spark.checkpoint.dir``, the cluster's shared folder.
 
-    A local session without that setting gets a folder of its own on this machine; a
-    cluster session without it is refused, as its executors share no local disk.
+    What is written there stays until the owner of the folder removes it. A local session
+    without that setting uses a temporary folder of this process; a cluster session
+    without it is refused, as its executors share no local disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="clicklake-")
+        base = _local_folder().name
     return f"{base.rstrip('/')}/clicklake/{name}-{uuid.uuid4().hex}"

@@ -19,10 +19,6 @@ from ..operators.late import DEFAULT_DELAY, is_late
 from ..sources.lake import BATCH_COLUMN
 from .sinks import run_batches, write_batch, write_dlq
 
-PROGRESS_SCHEMA = (
-    "events long, good long, bad long, late long, max_seen long, seconds double"
-)
-
 
 @dataclass
 class Ingest:
@@ -150,9 +146,15 @@ class Ingest:
     def _record(self, spark, batch_id: int, counts: dict, before, seconds: float) -> None:
         newest = max((t for t in (before, counts["newest"]) if t is not None), default=None)
         good = counts["events"] - counts["bad"] - counts["late"]
-        row = (counts["events"], good, counts["bad"], counts["late"], newest, seconds)
-        line = spark.createDataFrame([row], PROGRESS_SCHEMA).coalesce(1)
-        line = line.withColumn("max_seen", F.timestamp_micros("max_seen"))
+        row = {
+            "events": F.lit(counts["events"]).cast("long"),
+            "good": F.lit(good).cast("long"),
+            "bad": F.lit(counts["bad"]).cast("long"),
+            "late": F.lit(counts["late"]).cast("long"),
+            "max_seen": F.timestamp_micros(F.lit(newest).cast("long")),
+            "seconds": F.lit(seconds),
+        }
+        line = spark.range(1, numPartitions=1).select(*[c.alias(n) for n, c in row.items()])
         write_batch(line, self.progress, batch_id, fmt="parquet")
 
 
