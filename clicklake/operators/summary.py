@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PREVIEW_ROWS = 20
+BATCHES_PER_BUCKET = 10_000
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -18,28 +19,35 @@ def preview(df: DataFrame, n: int = PREVIEW_ROWS, order_by: str | None = None) -
     return (df.orderBy(order_by) if order_by else df).limit(n)
 
 
-def daily_totals(df: DataFrame, date: str = "dt") -> DataFrame:
-    """Events per day and the running total up to that day.
+def _running_total(counts: DataFrame, order: str, bucket: Column) -> DataFrame:
+    """Add ``total_events``, the sum of ``events`` up to each row by ``order``.
 
-    Events are first counted per day. The running total then adds up days within their
-    month and months before it, so no window holds more than the 31 days of a month or
-    the months of the calendar, whatever the number of events.
+    ``bucket`` grows with ``order`` and parts the rows: the total is the sum of all
+    buckets before plus the sum so far within the bucket, so that no window holds more
+    than the rows of one bucket or one row per bucket.
     """
-    month = F.trunc(date, "month")
-    days = df.groupBy(date).agg(F.count(F.lit(1)).alias("events")).withColumn("_month", month)
-    months = days.groupBy("_month").agg(F.sum("events").alias("_events"))
-    before = Window.orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
-    months = months.select("_month", F.coalesce(F.sum("_events").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_month").orderBy(date)
-    joined = days.join(months, days["_month"].eqNullSafe(months["_month"])).drop(months["_month"])
-    total = F.col("_before") + F.sum("events").over(within)
-    return joined.select(date, "events", total.alias("total_events"))
+    rows = counts.withColumn("_bucket", bucket)
+    sums = rows.groupBy("_bucket").agg(F.sum("events").alias("_events"))
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_events").over(earlier), F.lit(0))
+    sums = sums.select(F.col("_bucket").alias("_same"), before.alias("_before"))
+    so_far = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(sums, F.col("_bucket").eqNullSafe(F.col("_same"))).select(
+        *counts.columns, (F.col("_before") + F.sum("events").over(so_far)).alias("total_events")
+    )
+
+
+def daily_totals(df: DataFrame, date: str = "dt") -> DataFrame:
+    """Events per day, counted before any shuffle, and the running total of days."""
+    days = df.groupBy(date).agg(F.count(F.lit(1)).alias("events"))
+    return _running_total(days, date, F.trunc(date, "month"))
 
 
 def ingest_totals(progress: DataFrame) -> DataFrame:
     """The running event total after each batch of a progress table (one row per batch)."""
-    so_far = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    return progress.select("batch_id", "events", F.sum("events").over(so_far).alias("total_events"))
+    batches = progress.select("batch_id", "events")
+    bucket = F.call_function("div", F.col("batch_id"), F.lit(BATCHES_PER_BUCKET))
+    return _running_total(batches, "batch_id", bucket)
 
 
 def run_summary(progress: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from ..sources.events import read_events
 from ..sources.lake import read_table, shared_folder
 from ..sources.schemas import latest_schemas, subject_name
 from ..streaming.ingest import Ingest, read_progress
+from ..streaming.produce import produce
 from ..streaming.sinks import (
     await_end,
     write_dlq,
@@ -301,26 +302,19 @@ def decoded_rows(spark, sf_dir):
     return flatten(good)
 
 
+CUT_MESSAGE = "'0000000007' || printf('%02x', 2 * strlen('event_' || event_id)) || '657665'"
+
+
 @query(
     f"""SELECT 'clickstream-topic' AS topic, CAST(event_id % 12 AS INTEGER) AS partition,
-        event_id // 12 AS "offset", '{CUT_ERROR}' AS error,
-        '00000000070e' AS message_start, 18 AS message_digits
-        FROM events WHERE event_id % 10 = 0""".replace(
-        "'00000000070e'", "'0000000007' || printf('%02x', 2 * strlen('event_' || event_id))"
-    )
+        event_id // 12 AS "offset", '{CUT_ERROR}' AS error, {CUT_MESSAGE} AS raw_payload
+        FROM events WHERE event_id % 10 = 0"""
 )
 def dead_letters_avro(spark, sf_dir):
     _, bad = split_decoded(decode_avro(kafka_rows(spark, sf_dir), CLICK_SCHEMAS))
     letters = dlq_messages(bad, "avro", writer_id=DLQ_ID)
     read, _ = split_decoded(decode_avro(letters.select("value"), {DLQ_ID: DLQ_V1}))
-    return flatten(read).select(
-        "topic",
-        "partition",
-        "offset",
-        "error",
-        F.substring("raw_payload", 1, 12).alias("message_start"),
-        F.length("raw_payload").alias("message_digits"),
-    )
+    return flatten(read).drop("timestamp")
 
 
 DLQ_JSON = (
@@ -330,7 +324,7 @@ DLQ_JSON = (
 
 
 @query(
-    f"""SELECT '{CUT_ERROR}' AS error, 'consumer' AS source, 18 AS raw_digits,
+    f"""SELECT '{CUT_ERROR}' AS error, 'consumer' AS source, {CUT_MESSAGE} AS raw_value,
         'clickstream-topic' AS topic, CAST(event_id % 12 AS INTEGER) AS partition,
         event_id // 12 AS "offset", {SESSION} AS key, CAST(1 AS BIGINT) AS time_type,
         {MILLIS} AS time_ms FROM events WHERE event_id % 10 = 0"""
@@ -344,7 +338,7 @@ def dead_letters_json(spark, sf_dir):
     return letters.select(letter.alias("letter")).select(
         "letter.error",
         "letter.source",
-        F.length("letter.raw_value").alias("raw_digits"),
+        "letter.raw_value",
         "letter.topic",
         "letter.partition",
         "letter.offset",
@@ -536,6 +530,36 @@ def stream_evolution(spark, sf_dir):
     return read_table(spark, path).select("timestamp", "user_id", "page", "user_process", "route")
 
 
+def _produced(spark, sf_dir) -> tuple[str, str]:
+    topic, letters = shared_folder(spark, "topic"), shared_folder(spark, "dead-letters")
+    produce(
+        _incomplete_clicks(spark, sf_dir),
+        CLICK_STREAM_V1,
+        CLICK_ID,
+        topic="clicks",
+        dlq_topic="clicks.dlq",
+        folder=topic,
+        dlq_folder=letters,
+    )
+    return topic, letters
+
+
+@query(f"SELECT {SESSION} AS message_key, {EVENT_ID} AS event_id FROM events WHERE event_id % 25 <> 0")
+def produced_messages(spark, sf_dir):
+    messages = read_events(spark, _produced(spark, sf_dir)[0], streaming=False)
+    decoded = decode_avro(messages, CLICK_SCHEMAS, fields=["event_id"])
+    return decoded.select(F.col("key").cast("string").alias("message_key"), "data.event_id")
+
+
+@query(f"SELECT {EVENT_ID} AS event_id, {SESSION} AS session_id FROM events WHERE event_id % 25 = 0")
+def produced_letters(spark, sf_dir):
+    letters = read_events(spark, _produced(spark, sf_dir)[1], streaming=False)
+    record = F.from_json(F.col("value").cast("string"), "event_id string, session_id string, url string")
+    return letters.select(record.alias("record")).filter("record.url IS NULL").select(
+        "record.event_id", "record.session_id"
+    )
+
+
 @query(f"SELECT {SESSION} AS session_id, count(*) AS rows, 1 AS partitions FROM events GROUP BY 1")
 def keyed_partitions(spark, sf_dir):
     rows = partition_by_key(clicks(spark, sf_dir).select("session_id", "timestamp", "event_id"))
