@@ -11,7 +11,7 @@ from ..functions import wire
 from ..functions.decode import decoder
 from ..functions.encode import avro_body, encode_error
 from ..functions.records import Field, drop_logical_types, record_fields, struct_type
-from ..sources.schemas import writer_schemas
+from ..sources.schemas import load_schemas
 
 KAFKA_COORDINATES = ("key", "topic", "partition", "offset", "timestamp", "timestampType")
 
@@ -32,18 +32,15 @@ def decode_avro(
     record; no row is dropped and no message fails the job.
 
     ``schemas`` is a schema table or ``{schema_id: schema_json}``. ``reader`` is the
-    record to produce, the one with the highest schema id by default. ``fields`` limits
-    the reader to the named fields, so unneeded ones are skipped and never leave the
+    record to produce; by default the highest version of the table, which must then hold
+    one subject only, or the highest id of the mapping. ``fields`` limits the reader to the named fields, so unneeded ones are skipped and never leave the
     decoder. ``null_string_default`` reads a default of the text ``null`` as NULL.
 
     ``codec="arrow"`` decodes Arrow batches. ``codec="spark-avro"`` uses Spark's own
     ``from_avro`` and needs the spark-avro module; it stays in the JVM but cannot say
     why a body was refused.
     """
-    by_id = schemas if isinstance(schemas, dict) else writer_schemas(schemas)
-    if not by_id:
-        raise ValueError("no writer schema to decode with")
-    reader_json = reader if reader is not None else by_id[max(by_id)]
+    by_id, reader_json = _schemas(schemas, reader)
     wanted = record_fields(reader_json)
     if fields is not None:
         unknown = set(fields) - {f.name for f in wanted}
@@ -74,6 +71,22 @@ def decode_avro(
     )
 
 
+def _schemas(schemas: DataFrame | dict[int, str], reader: str | None) -> tuple[dict, str]:
+    """The writer schemas by id, and the reader schema."""
+    if isinstance(schemas, dict):
+        by_id = schemas
+        newest = by_id[max(by_id)] if by_id else None
+    else:
+        rows = load_schemas(schemas)
+        by_id = {row["schema_id"]: row["schema_json"] for row in rows}
+        newest = max(rows, key=lambda row: row["version"])["schema_json"] if rows else None
+        if reader is None and len({row["subject"] for row in rows}) > 1:
+            raise ValueError("the schema table has several subjects; filter it or give a reader")
+    if not by_id:
+        raise ValueError("no writer schema to decode with")
+    return by_id, newest if reader is None else reader
+
+
 def _from_avro(body, writer_id, by_id, reader_json, wanted: list[Field]) -> Column:
     from pyspark.sql.avro.functions import from_avro
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_TABLE = "subject string, version int, schema_id bigint, schema_json string"
@@ -54,12 +54,12 @@ def latest_schema(schemas: DataFrame, subject: str) -> DataFrame:
     return latest_schemas(schemas.filter(F.col("subject") == subject))
 
 
-def writer_schemas(schemas: DataFrame) -> dict[int, str]:
-    """``{schema_id: schema_json}`` for the decoder; stops above ``MAX_SCHEMAS`` rows."""
+def load_schemas(schemas: DataFrame) -> list[Row]:
+    """The rows of a schema table that have an id; stops above ``MAX_SCHEMAS`` of them."""
     rows = schemas.filter("schema_id IS NOT NULL").limit(MAX_SCHEMAS + 1).collect()
     if len(rows) > MAX_SCHEMAS:
         raise ValueError(f"more than {MAX_SCHEMAS} schemas; filter the table by subject")
-    return {row["schema_id"]: row["schema_json"] for row in rows}
+    return rows
 
 
 def subject_name(

@@ -17,7 +17,7 @@ from ..functions.records import DLQ_TOPIC
 from ..operators.codec import decode_avro, flatten
 from ..operators.late import DEFAULT_DELAY, is_late
 from ..sources.lake import BATCH_COLUMN
-from .sinks import run_batches, write_batch, write_dlq
+from .sinks import has_batch, run_batches, write_batch, write_dlq
 
 
 @dataclass
@@ -75,9 +75,9 @@ class Ingest:
             counted = routed.observe(seen, *self._counts(bool(partitions)))
             self._append(counted.filter(good & ~late), self.table, batch_id, partitions)
             counts = seen.get
-            if counts["bad"]:
+            if self._due(spark, self.dead_letters, batch_id, counts["bad"]):
                 self._again(routed.filter(~good), counts["bad"], self._write_letters, batch_id)
-            if counts["late"]:
+            if self._due(spark, self.late, batch_id, counts["late"]):
                 self._again(routed.filter(good & late), counts["late"], self._write_late, batch_id)
         finally:
             if self.cache:
@@ -94,6 +94,13 @@ class Ingest:
             newest.alias("newest"),
         ]
 
+    def _due(self, spark: SparkSession, folder: str | None, batch_id: int, rows: int) -> bool:
+        """Whether there are rows to write, or rows of an earlier try to replace.
+
+        A second try can find fewer failed messages, if their schema came in between.
+        """
+        return rows > 0 or (folder is not None and has_batch(spark, folder, batch_id))
+
     @staticmethod
     def _again(rows: DataFrame, expected: int, write: Callable, batch_id: int) -> None:
         """Write a part of the batch, and check that its source still had all of it."""

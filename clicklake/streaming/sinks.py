@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.records import DLQ_TOPIC
 from ..operators.deadletter import dlq_messages
 from ..operators.keys import TOPIC_PARTITIONS
-from ..functions.records import DLQ_TOPIC
 from ..sources.events import KAFKA_SCHEMA
 from ..sources.lake import BATCH_COLUMN
 from ..sources.settings import kafka_options, table_format
@@ -117,7 +118,20 @@ def write_batch(
         options = {"txnAppId": app_id, "txnVersion": batch_id}
         writer.mode("append").options(**options).save(path)
     else:
-        writer.mode("overwrite").save(f"{path.rstrip('/')}/{BATCH_COLUMN}={batch_id}")
+        # The whole folder is replaced, also where the session overwrites partitions one by one.
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "static")
+        writer.save(f"{path.rstrip('/')}/{BATCH_COLUMN}={batch_id}")
+
+
+def has_batch(spark: SparkSession, path: str, batch_id: int) -> bool:
+    """Whether a file table has the folder of a micro-batch, from this or an earlier try."""
+    try:
+        spark.read.parquet(f"{path.rstrip('/')}/{BATCH_COLUMN}={batch_id}")
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+    return True
 
 
 def topic_rows(df: DataFrame, topic: str | None = None, n: int = TOPIC_PARTITIONS) -> DataFrame:

@@ -44,7 +44,20 @@ def test_oversized_schema_table_is_refused(spark, monkeypatch):
     monkeypatch.setattr(s, "MAX_SCHEMAS", 2)
     rows = spark.createDataFrame([("a", i, i, "x") for i in range(3)], s.SCHEMA_TABLE)
     with pytest.raises(ValueError, match="more than 2 schemas"):
-        s.writer_schemas(rows)
+        s.load_schemas(rows)
+
+
+def test_default_reader_is_the_highest_version_of_one_subject(spark):
+    versions = [("u", 2, 1, USER_EVENT_V2), ("u", 1, 5, USER_EVENT_V1)]
+    rows = spark.createDataFrame([(samples.framed(samples.USER_EVENT_BODY, 5),)], "value binary")
+    table = spark.createDataFrame(versions, s.SCHEMA_TABLE)
+    assert decode_avro(rows, table).first().data.user_process == "null"
+    both = table.union(spark.createDataFrame([("v", 1, 9, USER_EVENT_V1)], s.SCHEMA_TABLE))
+    with pytest.raises(ValueError, match="several subjects"):
+        decode_avro(rows, both)
+    assert decode_avro(rows, both, USER_EVENT_V1).first().error is None
+    with pytest.raises(ValueError, match="no writer schema"):
+        decode_avro(rows, table.limit(0))
 
 
 def subject(spark, *arguments, **options):

@@ -114,6 +114,18 @@ def test_failure_between_the_two_writes_loses_and_doubles_nothing(spark, topic,
     assert {r.error for r in read.collect()} == {"unknown magic byte"}
 
 
+def test_second_try_replaces_letters_whose_schema_came_in_between(spark, tmp_path):
+    ingest = make(tmp_path)
+    batch = topic_rows(spark.createDataFrame([(samples.framed(samples.CLICK_BODY),)], "value binary"), "t")
+    ingest.schemas = {8: CLICK_STREAM_V1}
+    ingest.process(batch, 0)
+    assert read_events(spark, ingest.dead_letters, streaming=False).count() == 1
+    ingest.schemas = SCHEMAS
+    ingest.process(batch, 0)
+    assert read_events(spark, ingest.dead_letters, streaming=False).count() == 0
+    assert read_table(spark, ingest.table).count() == 1
+
+
 LATE = ["2024-01-10T00:00:00", "2024-01-10T01:00:00", "2024-01-10T02:00:00", "2024-01-01T00:00:00", "2024-01-10T03:00:00"]
 
 
