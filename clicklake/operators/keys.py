@@ -39,7 +39,8 @@ def partition_by_key(
     Rows are range partitioned by (partition, key, order), so a key that holds much of
     the data is spread over several tasks, each with a consecutive part of it: read in
     task order, every key is in order, however large. ``order_by`` should tell the rows
-    of a key apart, as equal rows cannot be spread.
+    of a key apart, as equal rows cannot be spread. Spark sorts no streams: on a stream,
+    call it on each batch of ``run_batches``.
     """
     order = ["partition", key, *order_by]
     keyed = with_partition(df, n, key)

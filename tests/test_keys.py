@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
 from clicklake.operators.keys import partition_by_key, to_kafka_rows, with_partition
+from clicklake.sources.lake import read_table
+from clicklake.streaming.sinks import await_end, run_batches, write_batch
 
 
 def test_equal_keys_share_a_partition(spark):
@@ -30,6 +32,20 @@ def test_a_hot_key_is_spread_and_stays_in_order(spark):
         last[key] = order
 
 
+def test_the_batches_of_a_stream_can_be_put_in_order(spark, tmp_path):
+    rows = spark.range(100).selectExpr("concat('s', id % 7) AS session_id", "100 - id AS timestamp", "id AS event_id")
+    rows.write.parquet(f"{tmp_path}/in")
+
+    def keyed(batch, batch_id):
+        write_batch(partition_by_key(batch), f"{tmp_path}/out", batch_id, fmt="parquet")
+
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    await_end(run_batches(stream, keyed, f"{tmp_path}/c", {"availableNow": True}), 120)
+    out = read_table(spark, f"{tmp_path}/out")
+    assert out.count() == 100
+    assert out.select("session_id", "partition").distinct().count() == 7
+
+
 def test_kafka_rows_have_text_keys(spark):
     rows = spark.createDataFrame([("s", b"v", "t", 1)], "session_id string, value binary, topic string, x int")
     kafka = to_kafka_rows(rows)
