@@ -159,11 +159,15 @@ def _decode_batch(bodies, ids, writers, reader) -> pa.StructArray:
     for writer_id in np.unique(id_values):
         rows = np.flatnonzero(id_values == writer_id)
         part = bodies if len(rows) == len(bodies) else bodies.take(pa.array(rows))
-        if int(writer_id) in writers:
-            columns, reason = decode_bodies(part, writers[int(writer_id)], reader)
+        writer = writers.get(int(writer_id))
+        if isinstance(writer, list):
+            columns, reason = decode_bodies(part, writer, reader)
         else:
+            why = f"unknown schema id {writer_id}"
+            if writer is not None:
+                why = f"schema id {writer_id} is not supported: {writer}"
             columns = [pa.nulls(len(rows), ARROW_TYPES[f.kind]) for f in reader]
-            reason = np.full(len(rows), f"unknown schema id {writer_id}", object)
+            reason = np.full(len(rows), why, object)
         pieces.append(columns)
         places.append(rows)
         errors.append(reason)
@@ -182,9 +186,11 @@ def _decode_batch(bodies, ids, writers, reader) -> pa.StructArray:
     return pa.StructArray.from_arrays([data, error], ["data", "error"])
 
 
-def decoder(writers: dict[int, list[Field]], reader: list[Field]):
+def decoder(writers: dict[int, list[Field] | str], reader: list[Field]):
     """An Arrow UDF ``(body, schema id) -> struct<data, error>``.
 
+    A writer given as text is one that cannot be read, and the text says why.
+
     It is marked non-deterministic so that Catalyst neither copies it into the filters
     above it nor runs it twice per row.
     """

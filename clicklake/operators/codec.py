@@ -56,7 +56,7 @@ def decode_avro(
     body, writer_id = wire.strip_header(message), wire.schema_id(message)
     header = wire.header_error(message)
     if codec == "arrow":
-        writers = {int(key): record_fields(text) for key, text in by_id.items()}
+        writers = {int(key): _writer(text) for key, text in by_id.items()}
         usable = F.when(header.isNull(), body)
         result = decoder(writers, wanted)(usable, F.when(header.isNull(), writer_id))
     elif codec == "spark-avro":
@@ -87,6 +87,14 @@ def _schemas(schemas: DataFrame | dict[int, str], reader: str | None) -> tuple[d
     return by_id, newest if reader is None else reader
 
 
+def _writer(schema_json: str) -> list[Field] | str:
+    """The fields of a writer schema, or why its messages cannot be read."""
+    try:
+        return record_fields(schema_json)
+    except (KeyError, TypeError, ValueError) as unreadable:
+        return str(unreadable)
+
+
 def _from_avro(body, writer_id, by_id, reader_json, wanted: list[Field]) -> Column:
     from pyspark.sql.avro.functions import from_avro
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PREVIEW_ROWS = 20
 BATCHES_PER_BUCKET = 10_000
 
+# The lower 33 bits of a monotonically increasing id count the rows of its task.
+ROWS_OF_TASK = 2**33 - 1
+
 
 def row_count(df: DataFrame) -> DataFrame:
     """The number of rows, as one row."""
@@ -50,6 +55,27 @@ def ingest_totals(progress: DataFrame) -> DataFrame:
     return _running_total(batches, "batch_id", bucket)
 
 
+def event_totals(df: DataFrame, order_by: Sequence[str], folder: str) -> DataFrame:
+    """Every event with the running total up to it, in the order of ``order_by``.
+
+    The events are sorted over all tasks and written to ``folder`` with their place in
+    their task; the total before a task comes from the counts of the tasks. No window
+    holds the events, and the written table fixes which task each of them was in.
+    ``order_by`` should tell all events apart.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(ROWS_OF_TASK))
+    ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    placed = ordered.withColumns({"_task": F.spark_partition_id(), "_place": place})
+    placed.write.parquet(folder)
+    events = df.sparkSession.read.parquet(folder)
+    tasks = events.groupBy("_task").agg(F.count(F.lit(1)).alias("events"))
+    bucket = F.call_function("div", F.col("_task"), F.lit(BATCHES_PER_BUCKET))
+    totals = _running_total(tasks, "_task", bucket)
+    before = totals.select("_task", (F.col("total_events") - F.col("events")).alias("_before"))
+    total = F.col("_before") + F.col("_place") + 1
+    return events.join(before, "_task").select(*df.columns, total.alias("total_events"))
+
+
 def run_summary(progress: DataFrame) -> DataFrame:
     """Total seconds and total events of a progress table."""
     return progress.agg(

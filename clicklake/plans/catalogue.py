@@ -19,7 +19,14 @@ from ..operators.deadletter import dlq_messages, to_json_value
 from ..operators.keys import partition_by_key, to_kafka_rows
 from ..operators.late import split_late
 from ..operators.routing import require_record, split_decoded, split_encodable
-from ..operators.summary import daily_totals, ingest_totals, preview, row_count, run_summary
+from ..operators.summary import (
+    daily_totals,
+    event_totals,
+    ingest_totals,
+    preview,
+    row_count,
+    run_summary,
+)
 from ..sources.events import read_events
 from ..sources.lake import read_table, shared_folder
 from ..sources.schemas import latest_schemas, subject_name
@@ -293,6 +300,16 @@ def running_totals(spark, sf_dir):
     return totals.withColumn("dt", F.col("dt").cast("string"))
 
 
+@query(
+    f"""SELECT {EVENT_ID} AS event_id, row_number() OVER (ORDER BY {MILLIS}, {EVENT_ID}) AS total_events
+        FROM events"""
+)
+def running_total_of_each_event(spark, sf_dir):
+    rows = clicks(spark, sf_dir).select("event_id", "timestamp")
+    totals = event_totals(rows, ["timestamp", "event_id"], shared_folder(spark, "event-totals"))
+    return totals.select("event_id", "total_events")
+
+
 # --- Routing and dead letters -----------------------------------------------------------
 
 

@@ -13,10 +13,18 @@ from .settings import table_format
 BATCH_COLUMN = "batch_id"
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """A lake table; the folders of single ingest batches do not show as a column."""
-    table = spark.read.format(fmt or table_format(spark)).load(path)
-    return table.drop(BATCH_COLUMN)
+def read_table(
+    spark: SparkSession, path: str, fmt: str | None = None, *, merge_schema: bool = False
+) -> DataFrame:
+    """A lake table; the folders of single ingest batches do not show as a column.
+
+    ``merge_schema`` looks into all files for columns, as is needed for a file table whose
+    reader record has grown.
+    """
+    reader = spark.read.format(fmt or table_format(spark))
+    if merge_schema:
+        reader = reader.option("mergeSchema", "true")
+    return reader.load(path).drop(BATCH_COLUMN)
 
 
 @functools.cache

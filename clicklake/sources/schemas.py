@@ -23,14 +23,12 @@ def schemas_table(
         F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"),
         F.col("value").alias("schema_json"),
     )
+    known = spark.createDataFrame(list((ids or {}).items()), "file string, schema_id bigint")
     pattern = r"^(.+)-v(\d+)\.avsc$"
-    schema_id = F.lit(None).cast("bigint")
-    for name, number in (ids or {}).items():
-        schema_id = F.when(F.col("file") == name, F.lit(number).cast("bigint")).otherwise(schema_id)
-    return files.select(
+    return files.join(known, "file", "left").select(
         F.regexp_extract("file", pattern, 1).alias("subject"),
         F.nullif(F.regexp_extract("file", pattern, 2), F.lit("")).cast("int").alias("version"),
-        schema_id.alias("schema_id"),
+        "schema_id",
         "schema_json",
     )
 

@@ -31,7 +31,8 @@ class Ingest:
 
     Every output of a batch replaces what an earlier try of the same batch wrote, so a
     restart neither loses nor doubles rows. ``schemas`` may be a function, called once
-    per batch, so that schemas registered later are found without a restart.
+    per batch, so that schemas registered later are found without a restart; a ``reader``
+    then keeps the columns of the table the same.
     """
 
     schemas: DataFrame | dict[int, str] | Callable[[], DataFrame | dict[int, str]]

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from clicklake.functions.records import CLICK_STREAM_V1, DLQ_V1
+from clicklake.functions.records import CLICK_STREAM_V1, DLQ_V1, USER_EVENT_V1, USER_EVENT_V3
 from clicklake.operators.codec import decode_avro, encode_avro, flatten
 from clicklake.operators.late import split_late, with_watermark
 from clicklake.plans.bronze import bronze
@@ -187,6 +187,19 @@ def test_schemas_can_be_looked_up_per_batch(spark, topic, tmp_path):
     assert len(looked_up) == 4
 
 
+def test_table_of_a_grown_record_shows_all_columns(spark, tmp_path):
+    ingest = make(tmp_path)
+    versions = {101: USER_EVENT_V1, 103: USER_EVENT_V3}
+    for batch_id, (writer_id, body) in enumerate(
+        [(101, samples.USER_EVENT_BODY), (103, samples.USER_EVENT_V3_BODY)]
+    ):
+        ingest.schemas, ingest.reader = versions, versions[writer_id]
+        rows = spark.createDataFrame([(samples.framed(body, writer_id),)], "value binary")
+        ingest.process(topic_rows(rows, "t"), batch_id)
+    table = read_table(spark, ingest.table, merge_schema=True)
+    assert {r.user_process for r in table.collect()} == {None, "bypass-process"}
+
+
 def test_record_without_a_time_field(spark, tmp_path):
     folder = str(tmp_path / "topic")
     schema = '{"type": "record", "name": "R", "fields": [{"name": "a", "type": "string"}]}'

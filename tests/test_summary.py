@@ -1,6 +1,13 @@
 from datetime import date, timedelta
 
-from clicklake.operators.summary import daily_totals, ingest_totals, preview, row_count, run_summary
+from clicklake.operators.summary import (
+    daily_totals,
+    event_totals,
+    ingest_totals,
+    preview,
+    row_count,
+    run_summary,
+)
 
 
 def test_running_totals_over_months_and_unknown_dates(spark):
@@ -28,3 +35,15 @@ def test_count_and_preview(spark):
     assert row_count(rows).first().rows == 100
     assert preview(rows).count() == 20
     assert [r.id for r in preview(rows, 3, "id").collect()] == [0, 1, 2]
+
+
+def test_running_total_of_each_event_over_all_tasks(spark, tmp_path):
+    rows = spark.range(0, 5000, numPartitions=7).selectExpr("(id * 7919) % 5003 AS at", "'hot' AS key")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        totals = event_totals(rows, ["at"], f"{tmp_path}/placed")
+        assert [r.total_events for r in totals.orderBy("at").collect()] == list(range(1, 5001))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(f"{tmp_path}/placed").select("_task").distinct().count() == 4
+    assert totals.columns == ["at", "key", "total_events"]
