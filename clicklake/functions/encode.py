@@ -46,8 +46,7 @@ def _string_sql(column: str) -> str:
     """The length as a varint and the UTF-8 bytes.
 
     The length of a short string is one byte, cut out of a constant with all of them. For
-    longer ones it is computed in a lambda, which is not part of the generated code: there
-    it would make the methods of a wide record too long for the JIT compiler.
+    longer ones it is computed in a lambda, which keeps it out of the generated code.
     """
     size = f"octet_length({column})"
     doubled = f"array(shiftleft(cast({size} AS bigint), 1))"
@@ -110,8 +109,13 @@ def _column_sql(field: Field, schema: T.StructType) -> str:
 
 
 def avro_body(fields: list[Field], schema: T.StructType) -> Column:
-    """The Avro body of a row that fits the record (see :func:`encode_error`)."""
-    pieces = ["X''"]
+    """The Avro body of a row that fits the record (see :func:`encode_error`).
+
+    The body starts with nothing, from a lambda. Spark generates code for a projection
+    with a lambda in many small methods, and otherwise one method for all of it, which
+    the JIT compiler refuses from about five numbers on (twelve numbers: five times slower).
+    """
+    pieces = ["transform(array(X''), nothing -> nothing)[0]"]
     for field in fields:
         column = _column_sql(field, schema)
         piece = _string_sql(column) if field.kind == "string" else _long_sql(column)

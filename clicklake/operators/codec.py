@@ -33,8 +33,9 @@ def decode_avro(
 
     ``schemas`` is a schema table or ``{schema_id: schema_json}``. ``reader`` is the
     record to produce; by default the highest version of the table, which must then hold
-    one subject only, or the highest id of the mapping. ``fields`` limits the reader to the named fields, so unneeded ones are skipped and never leave the
-    decoder. ``null_string_default`` reads a default of the text ``null`` as NULL.
+    one subject only, or the highest id of the mapping. ``fields`` limits the reader to
+    the named fields, so that unneeded ones are skipped and never leave the decoder.
+    ``null_string_default`` reads a default of the text ``null`` as NULL.
 
     ``codec="arrow"`` decodes Arrow batches. ``codec="spark-avro"`` uses Spark's own
     ``from_avro`` and needs the spark-avro module; it stays in the JVM but cannot say

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pyarrow as pa
 import pytest
@@ -241,6 +242,17 @@ def test_decoder_runs_once_and_without_a_shuffle(spark, plan_of):
     assert "Exchange" not in plan and "BatchEvalPython" not in plan
 
 
+def test_generated_methods_of_wide_records_can_be_compiled(spark, plan_of):
+    names = [f"a{i}" for i in range(12)]
+    wide = json.dumps({"type": "record", "name": "R", "fields": [{"name": n, "type": "long"} for n in names]})
+    numbers = spark.range(10).selectExpr(*[f"id + {i} AS {n}" for i, n in enumerate(names)])
+    clicks = spark.range(10).selectExpr(*[f"cast(id AS {SPARK_DDL[f.kind]}) AS {f.name}" for f in record_fields(CLICK_STREAM_V1)])
+    for rows, schema in ((numbers, wide), (clicks, CLICK_STREAM_V1)):
+        code = plan_of(encode_avro(rows, schema, 7).select("value"), "codegen")
+        sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+        assert sizes and max(sizes) < 8000
+
+
 def test_spark_avro_codec_needs_its_module(spark):
     rows = messages(spark, [samples.framed(samples.CLICK_BODY)])
     with pytest.raises(AnalysisException, match="(?i)avro"):
