@@ -49,8 +49,8 @@ def daily_totals(df: DataFrame, date: str = "dt") -> DataFrame:
 
 
 def ingest_totals(progress: DataFrame) -> DataFrame:
-    """The running event total after each batch of a progress table (one row per batch)."""
-    batches = progress.select("batch_id", "events")
+    """The running event total after each batch; streams that share a table are added up."""
+    batches = progress.groupBy("batch_id").agg(F.sum("events").alias("events"))
     bucket = F.call_function("div", F.col("batch_id"), F.lit(BATCHES_PER_BUCKET))
     return _running_total(batches, "batch_id", bucket)
 

@@ -10,13 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .settings import table_format
 
-BATCH_COLUMN = "batch_id"
+QUERY_COLUMN, BATCH_COLUMN = "query_id", "batch_id"
+
+
+def stream_id(spark: SparkSession) -> str:
+    """The id of the stream whose batch is being processed; it lasts with the checkpoint."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+
+
+def stream_folder(spark: SparkSession, path: str) -> str:
+    """Where the present stream keeps its batches of a file table.
+
+    Streams that share a table, or a stream that was started anew, count their batches
+    from 0, so each has a folder of its own.
+    """
+    return f"{path.rstrip('/')}/{QUERY_COLUMN}={stream_id(spark)}"
+
+
+def batch_folder(spark: SparkSession, path: str, batch_id: int) -> str:
+    """Where the present stream keeps one micro-batch of a file table."""
+    return f"{stream_folder(spark, path)}/{BATCH_COLUMN}={batch_id}"
 
 
 def read_table(
     spark: SparkSession, path: str, fmt: str | None = None, *, merge_schema: bool = False
 ) -> DataFrame:
-    """A lake table; the folders of single ingest batches do not show as a column.
+    """A lake table; the folders of streams and batches do not show as columns.
 
     ``merge_schema`` looks into all files for columns, as is needed for a file table whose
     reader record has grown.
@@ -24,7 +43,7 @@ def read_table(
     reader = spark.read.format(fmt or table_format(spark))
     if merge_schema:
         reader = reader.option("mergeSchema", "true")
-    return reader.load(path).drop(BATCH_COLUMN)
+    return reader.load(path).drop(QUERY_COLUMN, BATCH_COLUMN)
 
 
 @functools.cache

@@ -16,7 +16,7 @@ from ..functions.derive import event_time, with_dt
 from ..functions.records import DLQ_TOPIC
 from ..operators.codec import decode_avro, flatten
 from ..operators.late import DEFAULT_DELAY, is_late
-from ..sources.lake import BATCH_COLUMN
+from ..sources.lake import BATCH_COLUMN, batch_folder, stream_folder
 from .sinks import has_batch, run_batches, write_batch, write_dlq
 
 
@@ -30,7 +30,7 @@ class Ingest:
     ``progress`` keeps one row per batch: its counts and the newest time so far.
 
     Every output of a batch replaces what an earlier try of the same batch wrote, so a
-    restart neither loses nor doubles rows. ``schemas`` may be a function, called once
+    restart neither loses nor doubles rows. Several streams may share their outputs. ``schemas`` may be a function, called once
     per batch, so that schemas registered later are found without a restart; a ``reader``
     then keeps the columns of the table the same.
     """
@@ -147,9 +147,7 @@ class Ingest:
         records = flatten(rows, keep_kafka=self.keep_kafka)
         if partitions:
             records = with_dt(records)
-        write_batch(
-            records, path, batch_id, fmt=self.fmt, partition_by=partitions, app_id=path
-        )
+        write_batch(records, path, batch_id, fmt=self.fmt, partition_by=partitions)
 
     def _record(self, spark, batch_id: int, counts: dict, before, seconds: float) -> None:
         newest = max((t for t in (before, counts["newest"]) if t is not None), default=None)
@@ -167,27 +165,28 @@ class Ingest:
 
 
 def newest_before(spark: SparkSession, progress: str, batch_id: int) -> int | None:
-    """The newest event time of all batches before ``batch_id`` in epoch microseconds.
+    """The newest event time of the stream's batches before ``batch_id``, in epoch microseconds.
 
     Each progress row carries the newest time so far, so the row of the batch before is
-    enough; all rows are read only if that one is missing.
+    enough; all rows of the stream are read only if that one is missing.
     """
     if batch_id == 0:
         return None
     newest = F.unix_micros(F.max("max_seen"))
-    for path in (f"{progress.rstrip('/')}/{BATCH_COLUMN}={batch_id - 1}", progress):
+    every = stream_folder(spark, progress)
+    for path in (batch_folder(spark, progress, batch_id - 1), every):
         try:
             rows = spark.read.parquet(path)
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
-        if path == progress:
+        if path == every:
             rows = rows.filter(F.col(BATCH_COLUMN) < batch_id)
         return rows.agg(newest).first()[0]
     return None
 
 
 def read_progress(spark: SparkSession, progress: str) -> DataFrame:
-    """The progress table: ``batch_id`` and the counts of every batch."""
+    """The progress table: the counts of every batch, by ``query_id`` and ``batch_id``."""
     return spark.read.parquet(progress)

@@ -13,7 +13,7 @@ from ..functions.records import DLQ_TOPIC
 from ..operators.deadletter import dlq_messages
 from ..operators.keys import TOPIC_PARTITIONS
 from ..sources.events import KAFKA_SCHEMA
-from ..sources.lake import BATCH_COLUMN
+from ..sources.lake import batch_folder, stream_id
 from ..sources.settings import kafka_options, table_format
 
 CHECKPOINT_IN_TABLE = "_checkpoints/streaming-queries"
@@ -31,7 +31,9 @@ def write_stream(
 ) -> StreamingQuery:
     """Append a stream to a lake table, exactly once.
 
-    The checkpoint is kept inside the table folder unless another one is given.
+    The checkpoint is kept inside the table folder unless another one is given. A file
+    table keeps a log of the stream's files there as well, and readers follow it: let one
+    stream alone write to the folder, always with the same checkpoint.
     ``trigger`` holds the arguments of ``DataStreamWriter.trigger``, such as
     ``{"processingTime": "5 seconds"}`` or ``{"availableNow": True}``.
     """
@@ -103,30 +105,30 @@ def write_batch(
     *,
     fmt: str | None = None,
     partition_by: Sequence[str] = (),
-    app_id: str = "clicklake",
 ) -> None:
-    """Write one micro-batch so that writing it again changes nothing.
+    """Write one micro-batch of a stream so that writing it again changes nothing.
 
-    A file table has a folder per batch, which a retry overwrites; Delta skips a batch
-    that its transaction log already has.
+    A file table has a folder per stream and batch, which a retry overwrites; Delta skips
+    a batch that its transaction log already has.
     """
-    fmt = fmt or table_format(df.sparkSession)
+    spark = df.sparkSession
+    fmt = fmt or table_format(spark)
     writer = df.write.format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "delta":
-        options = {"txnAppId": app_id, "txnVersion": batch_id}
+        options = {"txnAppId": stream_id(spark), "txnVersion": batch_id}
         writer.mode("append").options(**options).save(path)
     else:
         # The whole folder is replaced, also where the session overwrites partitions one by one.
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "static")
-        writer.save(f"{path.rstrip('/')}/{BATCH_COLUMN}={batch_id}")
+        writer.save(batch_folder(spark, path, batch_id))
 
 
 def has_batch(spark: SparkSession, path: str, batch_id: int) -> bool:
     """Whether a file table has the folder of a micro-batch, from this or an earlier try."""
     try:
-        spark.read.parquet(f"{path.rstrip('/')}/{BATCH_COLUMN}={batch_id}")
+        spark.read.parquet(batch_folder(spark, path, batch_id))
     except AnalysisException as missing:
         if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
@@ -170,27 +172,29 @@ def write_kafka(
     A streaming frame needs a checkpoint and gives back its query. ``options`` are passed
     through, so ``kafka.*`` sets batching, compression and idempotence of the client.
     """
-    if folder is None:
-        fmt, rows, target = "kafka", df, None
-        connection = {
-            key: text
-            for key, text in kafka_options().items()
-            if key.startswith("kafka.") and key != "kafka.client.id"
-        }
-        chosen = connection | {"topic": topic} | (options or {})
-    else:
-        fmt, rows, target, chosen = "parquet", topic_rows(df, topic), folder, options or {}
+    if df.isStreaming and checkpoint is None:
+        raise ValueError("a streaming topic sink needs a checkpoint")
+    if folder is not None:
+        if df.isStreaming:
+
+            def append(batch: DataFrame, batch_id: int) -> None:
+                write_batch(topic_rows(batch, topic), folder, batch_id, fmt="parquet")
+
+            return run_batches(df, append, checkpoint, trigger)
+        topic_rows(df, topic).write.mode("append").parquet(folder)
+        return None
+    connection = {
+        key: text
+        for key, text in kafka_options().items()
+        if key.startswith("kafka.") and key != "kafka.client.id"
+    }
+    chosen = connection | {"topic": topic} | (options or {})
     if not df.isStreaming:
-        writer = rows.write.format(fmt).mode("append").options(**chosen)
-        writer.save(target) if target else writer.save()
+        df.write.format("kafka").options(**chosen).save()
         return None
-    if checkpoint is None:
-        raise ValueError("a streaming topic sink needs a checkpoint")
-    stream = rows.writeStream.format(fmt).outputMode("append").options(**chosen)
+    stream = df.writeStream.format("kafka").outputMode("append").options(**chosen)
     stream = stream.option("checkpointLocation", checkpoint)
-    if trigger:
-        stream = stream.trigger(**trigger)
-    return stream.start(target) if target else stream.start()
+    return (stream.trigger(**trigger) if trigger else stream).start()
 
 
 def write_dlq(

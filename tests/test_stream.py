@@ -126,6 +126,24 @@ def test_second_try_replaces_letters_whose_schema_came_in_between(spark, tmp_pat
     assert read_table(spark, ingest.table).count() == 1
 
 
+def test_streams_that_share_their_outputs_do_not_replace_each_other(spark, topic, tmp_path):
+    ingest = make(tmp_path)
+    for name in ("one", "two"):
+        messages = read_events(spark, topic, ONE_FILE)
+        await_end(ingest.start(messages, f"{tmp_path}/checkpoint-{name}", ONCE), 120)
+    assert read_table(spark, ingest.table).count() == 24
+    assert read_events(spark, ingest.dead_letters, streaming=False).count() == 4
+    assert read_progress(spark, ingest.progress).select("query_id").distinct().count() == 2
+    copy = str(tmp_path / "copy")
+    for name in ("three", "four"):
+        stream = write_kafka(
+            read_events(spark, topic), "t", folder=copy, checkpoint=f"{tmp_path}/checkpoint-{name}", trigger=ONCE
+        )
+        await_end(stream, 120)
+    write_kafka(read_events(spark, topic, streaming=False), "t", folder=copy)
+    assert read_events(spark, copy, streaming=False).count() == 3 * 14
+
+
 LATE = ["2024-01-10T00:00:00", "2024-01-10T01:00:00", "2024-01-10T02:00:00", "2024-01-01T00:00:00", "2024-01-10T03:00:00"]
 
 

@@ -23,7 +23,7 @@ def test_running_totals_over_months_and_unknown_dates(spark):
 
 
 def test_totals_of_batches(spark):
-    progress = spark.createDataFrame([(0, 5, 1.5), (2, 4, 1.0), (1, 0, 0.5)], "batch_id long, events long, seconds double")
+    progress = spark.createDataFrame([(0, 2, 1.0), (0, 3, 0.5), (2, 4, 1.0), (1, 0, 0.5)], "batch_id long, events long, seconds double")
     totals = ingest_totals(progress).orderBy("batch_id").collect()
     assert [r.total_events for r in totals] == [5, 5, 9]
     assert tuple(run_summary(progress).first()) == (3.0, 9)
