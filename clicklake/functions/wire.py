@@ -48,3 +48,24 @@ def frame(body: Column, writer_id: int) -> Column:
 def message_key(column: Column) -> Column:
     """A message key: the UTF-8 bytes of the column's text."""
     return column.cast("string").cast("binary")
+
+
+def bytes_text(value: Column) -> Column:
+    r"""A message as Python writes bytes: ``b'\x00abc'``, or ``None`` for a NULL message.
+
+    Letters, digits and marks stand for themselves; the rest is looked up by its number.
+    Double quotes are used around a text with single quotes only.
+    """
+    shown = F.array(*[F.lit(str(bytes([octet]))[2:-1]) for octet in range(256)])
+    quote, other = F.lit(b"'"), F.lit(b'"')
+    has_quote, has_other = F.contains(value, quote), F.contains(value, other)
+    pairs = F.regexp_extract_all(F.hex(value), F.lit("(..)"), F.lit(1))
+    letters = F.transform(pairs, lambda pair: F.get(shown, F.conv(pair, 16, 10).cast("int")))
+    # The table shows a single quote as it is; between single quotes it needs a backslash.
+    letters = F.when(
+        has_quote & has_other, F.transform(letters, lambda x: F.when(x == "'", "\\'").otherwise(x))
+    ).otherwise(letters)
+    mark = F.when(has_quote & ~has_other, F.lit('"')).otherwise(F.lit("'"))
+    return F.when(value.isNull(), F.lit("None")).otherwise(
+        F.concat(F.lit("b"), mark, F.array_join(letters, ""), mark)
+    )

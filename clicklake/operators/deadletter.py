@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.derive import now_millis
 from ..functions.records import DLQ_SOURCE, DLQ_TOPIC, DLQ_V1
+from ..functions.wire import bytes_text
 from .codec import encode_avro
 
 
@@ -21,13 +22,13 @@ def to_json_value(df: DataFrame) -> DataFrame:
     return df.select(json_bytes(df).alias("value"))
 
 
-def dlq_payload(df: DataFrame, form: str = "json") -> DataFrame:
+def dlq_payload(df: DataFrame, form: str = "json", *, raw_as: str = "hex") -> DataFrame:
     """The dead-letter record of each message in ``df`` (Kafka columns and ``error``).
 
     ``form="json"`` keeps the message in lowercase hex, its key as text (NULL when empty
     or not UTF-8) and its timestamp as ``[type, epoch ms]``, with types counted from 0 for
     "not available". ``form="avro"`` has the fields of the Avro dead letter: the message
-    in hex and the time of failure.
+    in hex and the time of failure; ``raw_as="python"`` writes the message as Python does.
     """
     raw = F.lower(F.hex("value"))
     if form == "json":
@@ -44,9 +45,12 @@ def dlq_payload(df: DataFrame, form: str = "json") -> DataFrame:
             F.array(kind, F.unix_millis("timestamp")).alias("timestamp"),
         )
     if form == "avro":
+        if raw_as not in ("hex", "python"):
+            raise ValueError(f"raw_as is 'hex' or 'python', not {raw_as!r}")
+        text = bytes_text(F.col("value")) if raw_as == "python" else F.coalesce(raw, F.lit(""))
         return df.select(
             "error",
-            F.coalesce(raw, F.lit("")).alias("raw_payload"),
+            text.alias("raw_payload"),
             "topic",
             "partition",
             "offset",
@@ -56,14 +60,19 @@ def dlq_payload(df: DataFrame, form: str = "json") -> DataFrame:
 
 
 def dlq_messages(
-    df: DataFrame, form: str = "json", *, topic: str = DLQ_TOPIC, writer_id: int = 1
+    df: DataFrame,
+    form: str = "json",
+    *,
+    topic: str = DLQ_TOPIC,
+    writer_id: int = 1,
+    raw_as: str = "hex",
 ) -> DataFrame:
     """Keyless messages for the dead-letter topic: JSON text, or framed Avro.
 
     An Avro letter needs all of its fields, so a message without an offset (one read from
     a topic folder that never had one) is given -1 for it.
     """
-    payload = dlq_payload(df, form)
+    payload = dlq_payload(df, form, raw_as=raw_as)
     if form == "json":
         message = to_json_value(payload)
     else:

@@ -49,6 +49,7 @@ class Ingest:
     dlq_form: str = "json"
     dlq_topic: str = DLQ_TOPIC
     dlq_schema_id: int = 1
+    dlq_raw_as: str = "hex"
     null_string_default: bool = False
     cache: bool = False
 
@@ -119,6 +120,7 @@ class Ingest:
             self.dlq_form,
             topic=self.dlq_topic,
             writer_id=self.dlq_schema_id,
+            raw_as=self.dlq_raw_as,
             folder=self.dead_letters,
             batch_id=batch_id,
         )

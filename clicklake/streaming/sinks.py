@@ -203,14 +203,16 @@ def write_dlq(
     *,
     topic: str = DLQ_TOPIC,
     writer_id: int = 1,
+    raw_as: str = "hex",
     folder: str | None = None,
     batch_id: int | None = None,
 ) -> None:
     """Send failed messages (Kafka columns and ``error``) to the dead-letter topic.
 
-    In a topic folder, ``batch_id`` makes the write repeatable (see :func:`write_batch`).
+    In a topic folder, ``batch_id`` makes the write repeatable (see :func:`write_batch`);
+    in Kafka, the letters of a batch that is tried again are there twice.
     """
-    letters = dlq_messages(df, form, topic=topic, writer_id=writer_id)
+    letters = dlq_messages(df, form, topic=topic, writer_id=writer_id, raw_as=raw_as)
     if folder is not None and batch_id is not None:
         write_batch(topic_rows(letters), folder, batch_id, fmt="parquet")
     else:

@@ -8,8 +8,9 @@ from clicklake.functions.records import CLICK_STREAM_V1, DLQ_V1
 from clicklake.operators.codec import decode_avro, flatten
 from clicklake.operators.deadletter import dlq_messages, dlq_payload, to_json_value
 from clicklake.operators.routing import require_record, split_decoded, split_encodable
-from clicklake.sources.events import KAFKA_SCHEMA
+from clicklake.operators.late import with_watermark
 from clicklake.plans.bronze import bronze
+from clicklake.sources.events import KAFKA_SCHEMA, read_events
 
 from . import samples
 
@@ -65,6 +66,10 @@ def test_avro_letter(spark):
     assert [tuple(x) for x in letters] == [("why", "00ff", "t", 3, 40), ("why", "", "t", 3, 41)]
     age = dlq_payload(bad, "avro").select((F.unix_millis(F.current_timestamp()) - F.col("timestamp")))
     assert 0 <= age.first()[0] < 60_000
+    as_python = flatten(decode_avro(dlq_messages(bad, "avro", raw_as="python"), {1: DLQ_V1}))
+    assert [r.raw_payload for r in as_python.collect()] == [str(b"\x00\xff"), "None"]
+    with pytest.raises(ValueError, match="raw_as"):
+        dlq_payload(bad, "avro", raw_as="x")
     with pytest.raises(ValueError, match="form"):
         dlq_payload(bad, "xml")
 
@@ -94,3 +99,19 @@ def test_an_empty_record_stops_the_job(spark):
     empty = rows.union(spark.createDataFrame([(None, None)], "a int, b string"))
     with pytest.raises(PySparkException, match="expected a record"):
         require_record(empty).collect()
+
+
+def test_ingest_plan_is_a_map_that_reads_the_message_only(spark, tmp_path, plan_of):
+    body = samples.framed(samples.CLICK_BODY)
+    kafka_rows(spark, (b"k", body, 0)).write.parquet(f"{tmp_path}/topic")
+    records, _ = bronze(read_events(spark, f"{tmp_path}/topic", streaming=False), {7: CLICK_STREAM_V1})
+    plan = plan_of(records)
+    assert "Exchange" not in plan and plan.count("Arguments: [decode(") == 1
+    assert "ReadSchema: struct<value:binary>" in plan
+
+
+def test_watermark_is_declared_on_a_stream(spark, tmp_path):
+    stream = read_events(spark, str(tmp_path))
+    records, _ = bronze(stream, {7: CLICK_STREAM_V1})
+    marked = with_watermark(records, "24 hours")
+    assert "EventTimeWatermark" in marked._jdf.queryExecution().analyzed().toString()

@@ -1,3 +1,5 @@
+from random import Random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +44,12 @@ def test_message_key_is_utf8_text(spark):
         wire.message_key(F.col("s")).alias("k")
     )
     assert [r.k if r.k is None else bytes(r.k) for r in key.collect()] == ["é".encode(), None]
+
+
+def test_bytes_text_is_what_python_writes(spark):
+    random = Random(7)
+    values = [bytes([n]) for n in range(256)] + [b"", b"it's", b'"', b"'\"", b"\\'", bytes(range(256))]
+    values += [bytes(random.choices(b"ab'\"\\\n\x00\xff", k=random.randrange(9))) for _ in range(300)]
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "value binary")
+    found = [r.text for r in rows.select(wire.bytes_text(F.col("value")).alias("text")).collect()]
+    assert found == [str(v) for v in [*values, None]]
