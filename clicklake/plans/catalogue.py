@@ -334,6 +334,18 @@ def dead_letters_avro(spark, sf_dir):
     return flatten(read).drop("timestamp")
 
 
+@query(
+    r"""SELECT event_id // 12 AS "offset", 'b''\x00\x00\x00\x00\x07\x'
+        || printf('%02x', 2 * strlen('event_' || event_id)) || 'eve''' AS raw_payload
+        FROM events WHERE event_id % 10 = 0"""
+)
+def dead_letters_as_python_text(spark, sf_dir):
+    _, bad = split_decoded(decode_avro(kafka_rows(spark, sf_dir), CLICK_SCHEMAS))
+    letters = dlq_messages(bad, "avro", writer_id=DLQ_ID, raw_as="python")
+    read = decode_avro(letters.select("value"), {DLQ_ID: DLQ_V1}, fields=["offset", "raw_payload"])
+    return flatten(read)
+
+
 DLQ_JSON = (
     "error string, source string, raw_value string, topic string, partition int, offset bigint, "
     "key string, timestamp array<bigint>"
