@@ -64,12 +64,11 @@ def decode_avro(
         result = _from_avro(body, writer_id, by_id, reader_json, wanted)
     else:
         raise ValueError(f"unknown codec {codec!r}")
-    decoded = df.withColumn("_decoded", result)
-    return decoded.select(
-        *df.columns,
-        F.when(header.isNull(), F.col("_decoded.data")).alias("data"),
-        F.coalesce(header, F.col("_decoded.error")).alias("error"),
-    )
+    columns = {
+        "data": F.when(header.isNull(), F.col("_decoded.data")),
+        "error": F.coalesce(header, F.col("_decoded.error")),
+    }
+    return df.withColumn("_decoded", result).withColumns(columns).drop("_decoded")
 
 
 def _schemas(schemas: DataFrame | dict[int, str], reader: str | None) -> tuple[dict, str]:

@@ -224,6 +224,14 @@ def test_flatten_keeps_failed_rows_as_nulls_and_coordinates_on_request(spark):
     assert [r.kafka_partition for r in kept.collect()] == [3, 4]
 
 
+def test_names_with_dots_and_quotes_are_kept(spark):
+    schema = '{"type": "record", "name": "R", "fields": [{"name": "a.b", "type": "string"}]}'
+    rows = spark.createDataFrame([("x", 1)], "`a.b` string, `c``.d` int")
+    decoded = decode_avro(encode_avro(rows, schema, 7), {7: schema})
+    assert decoded.columns == ["a.b", "c`.d", "value", "encode_error", "data", "error"]
+    assert flatten(decoded).first()[0] == "x"
+
+
 def test_large_arrow_types_decode_alike(spark):
     spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
     try:
