@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -19,6 +20,8 @@ from ..operators.late import DEFAULT_DELAY, is_late
 from ..sources.lake import BATCH_COLUMN, batch_folder, stream_folder
 from .sinks import has_batch, run_batches, write_batch, write_dlq
 
+logger = logging.getLogger(__name__)
+
 
 @dataclass
 class Ingest:
@@ -30,9 +33,10 @@ class Ingest:
     ``progress`` keeps one row per batch: its counts and the newest time so far.
 
     Every output of a batch replaces what an earlier try of the same batch wrote, so a
-    restart neither loses nor doubles rows. Several streams may share their outputs. ``schemas`` may be a function, called once
-    per batch, so that schemas registered later are found without a restart; a ``reader``
-    then keeps the columns of the table the same.
+    restart neither loses nor doubles rows. Several streams may share their outputs.
+
+    ``schemas`` may be a function, called once per batch, so that schemas registered later
+    are found without a restart; a ``reader`` then keeps the columns of the table the same.
     """
 
     schemas: DataFrame | dict[int, str] | Callable[[], DataFrame | dict[int, str]]
@@ -62,11 +66,12 @@ class Ingest:
 
         The first write counts what the others have to do. A batch without failed and
         late messages, the usual one, is read and decoded once; otherwise each further
-        write reads it again, unless ``cache`` keeps the decoded batch.
+        write reads it again, unless ``cache`` keeps the decoded batch. Should the source
+        no longer have all of it then, the progress row says how many rows were ``lost``.
         """
         started = time.monotonic()
         spark = batch.sparkSession
-        before = newest_before(spark, self.progress, batch_id) if self.late else None
+        before = newest_before(spark, self.progress, batch_id)
         routed = self._routed(batch, before)
         partitions = ["dt"] if "_event_time" in routed.columns else []
         good, late = F.col("error").isNull(), F.col("_late")
@@ -76,15 +81,19 @@ class Ingest:
             seen = Observation()
             counted = routed.observe(seen, *self._counts(bool(partitions)))
             self._append(counted.filter(good & ~late), self.table, batch_id, partitions)
-            counts = seen.get
+            counts, lost = seen.get, 0
             if self._due(spark, self.dead_letters, batch_id, counts["bad"]):
-                self._again(routed.filter(~good), counts["bad"], self._write_letters, batch_id)
+                written = self._again(routed.filter(~good), self._write_letters, batch_id)
+                lost += counts["bad"] - written
             if self._due(spark, self.late, batch_id, counts["late"]):
-                self._again(routed.filter(good & late), counts["late"], self._write_late, batch_id)
+                written = self._again(routed.filter(good & late), self._write_late, batch_id)
+                lost += counts["late"] - written
         finally:
             if self.cache:
                 routed.unpersist()
-        self._record(spark, batch_id, counts, before, time.monotonic() - started)
+        if lost:
+            logger.warning("batch %d: the source lost %d rows before they were written", batch_id, lost)
+        self._record(spark, batch_id, counts | {"lost": lost}, before, time.monotonic() - started)
 
     @staticmethod
     def _counts(timed: bool) -> list:
@@ -104,15 +113,11 @@ class Ingest:
         return rows > 0 or (folder is not None and has_batch(spark, folder, batch_id))
 
     @staticmethod
-    def _again(rows: DataFrame, expected: int, write: Callable, batch_id: int) -> None:
-        """Write a part of the batch, and check that its source still had all of it."""
+    def _again(rows: DataFrame, write: Callable, batch_id: int) -> int:
+        """Write a further part of the batch; gives the rows that its source still had."""
         seen = Observation()
         write(rows.observe(seen, F.count(F.lit(1)).alias("rows")), batch_id)
-        if seen.get["rows"] != expected:
-            raise RuntimeError(
-                f"batch {batch_id} had {expected} rows to write here but {seen.get['rows']} "
-                "when read again; keep it with cache=True if its source does not last"
-            )
+        return seen.get["rows"]
 
     def _write_letters(self, rows: DataFrame, batch_id: int) -> None:
         write_dlq(
@@ -137,7 +142,7 @@ class Ingest:
         if self.timestamp_field in decoded.schema["data"].dataType.names:
             time_column = event_time(F.col("data")[self.timestamp_field], self.precision)
             decoded = decoded.withColumn("_event_time", time_column)
-            if before is not None:
+            if self.late and before is not None:
                 newest = F.timestamp_micros(F.lit(before))
                 late = is_late(F.col("_event_time"), newest, self.delay)
         return decoded.withColumn("_late", late)
@@ -159,6 +164,7 @@ class Ingest:
             "good": F.lit(good).cast("long"),
             "bad": F.lit(counts["bad"]).cast("long"),
             "late": F.lit(counts["late"]).cast("long"),
+            "lost": F.lit(counts["lost"]).cast("long"),
             "max_seen": F.timestamp_micros(F.lit(newest).cast("long")),
             "seconds": F.lit(seconds),
         }
