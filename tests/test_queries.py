@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from clicklake.plans import catalogue
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = sorted(Path(SF_DIR).glob("*.parquet"))
@@ -26,7 +27,7 @@ def in_order(names, rows):
     return sorted(tuple(repr(row[place]) for place in places) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query_equals_its_sql(spark, database, name):
     found = entry_points.queries()[name](spark, SF_DIR)
     cursor = database.execute(entry_points.oracle_sql()[name])
