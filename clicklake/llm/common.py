@@ -18,6 +18,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores after them until no column of ``df`` has them."""
+    taken = {column.lower() for column in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def word_count(text: Column) -> Column:
     """The number of words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -42,12 +53,13 @@ def running_sum(df: DataFrame, group: list[str], bucket: str, order: list, value
     bucket, and rows only within their bucket, so that no task holds a whole group. The
     columns of ``group`` and ``bucket`` must not be null.
     """
-    valued = df.withColumn("_value", value)
-    sums = valued.groupBy(*group, bucket).agg(F.sum("_value").alias("_sum"))
+    held, before_, within_ = unused(df, "_value", "_before", "_within")
+    valued = df.withColumn(held, value)
+    sums = valued.groupBy(*group, bucket).agg(F.sum(held).alias("_sum"))
     over_buckets = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*group, bucket, F.coalesce(F.sum("_sum").over(over_buckets), F.lit(0)).alias("_before"))
+    before = sums.select(*group, bucket, F.coalesce(F.sum("_sum").over(over_buckets), F.lit(0)).alias(before_))
     in_bucket = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    within = valued.withColumn("_within", F.coalesce(F.sum("_value").over(in_bucket), F.lit(0)))
+    within = valued.withColumn(within_, F.coalesce(F.sum(held).over(in_bucket), F.lit(0)))
     return within.join(before, [*group, bucket]).select(
-        *[F.col(c) for c in df.columns], (F.col("_before") + F.col("_within")).cast("long").alias(name)
+        *[F.col(c) for c in df.columns], (F.col(before_) + F.col(within_)).cast("long").alias(name)
     )

@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, documents, running_sum
+from .common import buckets_for, documents, running_sum, unused
 
 SHARDS = 8
 
@@ -87,17 +87,17 @@ def sharded(docs: DataFrame, tree: Sequence[Leaf], key: str = "doc_id", text: st
     each has a place of its own. An empty table gives an empty result. Slots come from
     counts of hash buckets, so no task holds a shard.
     """
+    kept = [name for name in docs.columns if name not in ("_size", "_shard", "_slot")]
+    size, shard, bucket, order, slot = unused(docs.select(*kept), "_size", "_shard", "_bucket", "_order", "_slot")
     buckets = buckets_for(docs.count())
     placed = docs.select(
-        F.struct("*").alias("_row"),
-        shard_of(F.col(key), tree).alias("_shard"),
-        F.pmod(F.xxhash64(F.lit("slot"), F.col(key), F.col(text)), F.lit(buckets)).alias("_bucket"),
-        F.col(key).alias("_order"),
+        *kept,
+        (F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1).alias(size),
+        shard_of(F.col(key), tree).alias(shard),
+        F.pmod(F.xxhash64(F.lit("slot"), F.col(key), F.col(text)), F.lit(buckets)).alias(bucket),
+        F.col(key).alias(order),
     )
-    size = F.coalesce(F.octet_length(F.col("_row")[text]), F.lit(0)).cast("long") + 1
-    kept = [F.col("_row")[name].alias(name) for name in docs.columns if name not in ("_size", "_shard", "_slot")]
-    slotted = running_sum(placed, ["_shard"], "_bucket", ["_order"], F.lit(1), "_slot")
-    return slotted.select(*kept, size.alias("_size"), "_shard", "_slot")
+    return running_sum(placed, [shard], bucket, [order], F.lit(1), slot).select(*kept, size, shard, slot)
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
