@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, neighbours, packing, secrets, sharding
+from . import mixing, neighbours, packing, quality, secrets, sharding
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_secrets": secrets.op3_secrets,
     "op5_mixing": mixing.op5_mixing,
+    "op6_quality": quality.op6_quality,
     "op8_sharding": sharding.op8_sharding,
     "op9_neighbours": neighbours.op9_neighbours,
 }
