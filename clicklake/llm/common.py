@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def literal_rows(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
+    """A few given rows as a frame of constants; ``fields`` is like ``name:string,n:int``."""
+    held = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
+    return spark.range(1, numPartitions=1).select(F.inline(held))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: read again, not computed again."""
     path = shared_folder(df.sparkSession, name)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, neighbours, packing, quality, secrets, sharding
+from . import chat, mixing, neighbours, packing, quality, secrets, sharding
 
 QUERIES = {
+    "op1_chat": chat.op1_chat,
     "op2_packing": packing.op2_packing,
     "op3_secrets": secrets.op3_secrets,
     "op5_mixing": mixing.op5_mixing,
@@ -13,6 +14,7 @@ QUERIES = {
     "op9_neighbours": neighbours.op9_neighbours,
 }
 ORACLES = {
+    "op1_chat": chat.OP1_SQL,
     "op3_secrets": secrets.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
 }

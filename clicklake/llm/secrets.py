@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, literal_rows
 
 
 class Rule(NamedTuple):
@@ -90,12 +90,12 @@ def candidates(index: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """
     spark = index.sparkSession
     rows = [
-        (rule.kind, number, trigram, len(group))
+        {"kind": rule.kind, "part": number, "trigram": trigram, "needed": len(group)}
         for rule in rules
         for number, group in enumerate(trigram_query(rule))
         for trigram in group
     ]
-    queries = spark.createDataFrame(rows, "kind string, part int, trigram string, needed int")
+    queries = literal_rows(spark, rows, "kind:string,part:int,trigram:string,needed:int")
     met = (
         index.join(F.broadcast(queries), "trigram")
         .groupBy("_key", "kind", "part", "needed")
