@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, neighbours, packing, quality, secrets, sharding
+from . import chat, jaccard, mixing, neighbours, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_quality": quality.op6_quality,
     "op8_sharding": sharding.op8_sharding,
+    "op10_jaccard": jaccard.op10_jaccard,
     "op9_neighbours": neighbours.op9_neighbours,
 }
 ORACLES = {
     "op1_chat": chat.OP1_SQL,
     "op3_secrets": secrets.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op10_jaccard": jaccard.OP10_SQL,
 }
