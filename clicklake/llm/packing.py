@@ -27,8 +27,8 @@ VOCABULARY = "word_bpe_49k.json"
 PIECES_PER_PART = 16384
 # How many partitions exchange pieces with each other, and how many sequences each opens.
 MERGED, OPENED = 16, 256
-TEXT_AT_ONCE = 32 * 2**20
-WORDS_KEPT = 2**20
+TEXT_AT_ONCE = 8 * 2**20
+WORDS_KEPT, WORDS_AT_ONCE = 2**20, 2**15
 
 
 class WordIds:
@@ -57,6 +57,18 @@ class WordIds:
         self.ids = np.concatenate([self.ids, flat])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
 
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of distinct words are; new words are learnt."""
+        if len(self.words) > WORDS_KEPT:
+            self.forget()
+        known = pc.index_in(words, value_set=self.words)
+        places = known.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(places < 0)
+        places[new] = len(self.words) + np.arange(len(new))
+        for start in range(0, len(new), WORDS_AT_ONCE):
+            self._learn(words.take(pa.array(new[start : start + WORDS_AT_ONCE])))
+        return places
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text ended by ``END``, and where each text starts."""
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
@@ -64,22 +76,18 @@ class WordIds:
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
         distinct = words.dictionary_encode()
+        del lists, words
+        places = self._places(distinct.dictionary)
         codes = distinct.indices.to_numpy(zero_copy_only=False)
-        if len(self.words) > WORDS_KEPT:
-            self.forget()
-        known = pc.index_in(distinct.dictionary, value_set=self.words)
-        if known.null_count:
-            self._learn(distinct.dictionary.filter(known.is_null()))
-            known = pc.index_in(distinct.dictionary, value_set=self.words)
-        places = known.to_numpy(zero_copy_only=False).astype(np.int64)[codes]
-        lengths = np.where(empty, 0, self.starts[places + 1] - self.starts[places])
-        word_ends = np.concatenate([[0], np.cumsum(lengths)])
+        lengths = np.diff(self.starts)[places].astype(np.int32)[codes]
+        lengths[empty] = 0
+        word_ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         text_words = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         starts = word_ends[text_words] + np.arange(len(text_words))
-        out = np.full(int(starts[-1]), END, np.uint32)
-        flat = np.repeat(self.starts[places] - word_ends[:-1], lengths) + np.arange(word_ends[-1])
-        text_of = np.repeat(np.arange(len(counts)), np.diff(word_ends[text_words]))
-        out[np.arange(word_ends[-1]) + text_of] = self.ids[flat]
+        # Each id stands as far from its word's first place here as in the list of known words.
+        flat = np.repeat(self.starts[places][codes] - word_ends[:-1], lengths)
+        flat += np.arange(word_ends[-1])
+        out = np.insert(self.ids[flat], word_ends[text_words[1:]], np.uint32(END))
         return out, starts
 
 
