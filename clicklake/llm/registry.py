@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, mixing, neighbours, packing, quality, secrets, sharding
+from . import chat, jaccard, mixing, neighbours, packing, quality, secrets, sharding, substrings
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_packing": packing.op2_packing,
     "op3_secrets": secrets.op3_secrets,
+    "op4_substrings": substrings.op4_substrings,
     "op5_mixing": mixing.op5_mixing,
     "op6_quality": quality.op6_quality,
     "op8_sharding": sharding.op8_sharding,
@@ -17,6 +18,7 @@ QUERIES = {
 ORACLES = {
     "op1_chat": chat.OP1_SQL,
     "op3_secrets": secrets.OP3_SQL,
+    "op4_substrings": substrings.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
 }
