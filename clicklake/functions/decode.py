@@ -95,6 +95,20 @@ class _Cursor:
             self.fail(broken, f"string in field {name} is not UTF-8")
             return pc.if_else(pa.array(broken), b"", cut).cast(pa.string())
 
+    def skip(self, field: Field) -> None:
+        """Move past the next field of every message; of a string only the length is read."""
+        rows = np.flatnonzero(~self.failed)
+        if field.null_branch is not None:
+            branch = self.whole(rows, field.name, "long")
+            self.fail((branch < 0) | (branch > 1), f"union in field {field.name} has no such branch")
+            rows = np.flatnonzero(~self.failed & (branch != field.null_branch))
+        size = self.whole(rows, field.name, "long" if field.kind == "string" else field.kind)
+        if field.kind == "string":
+            self.fail(size < 0, f"string in field {field.name} has a negative length")
+            self.fail(size > self.end - self.at, f"body ends inside field {field.name}")
+            size[self.failed] = 0
+            self.at += size
+
     def field(self, field: Field) -> tuple[pa.Array, np.ndarray]:
         """The next field of every message, with a mask of nulls."""
         rows = np.flatnonzero(~self.failed)
@@ -132,10 +146,11 @@ def decode_bodies(bodies: pa.Array, writer: list[Field], reader: list[Field]) ->
     cursor = _Cursor(bodies.cast(pa.large_binary()))
     found, wanted = {}, {field.name: field for field in reader}
     for field in writer:
-        column, nulls = cursor.field(field)
         target = wanted.get(field.name)
         if target is None:
+            cursor.skip(field)
             continue
+        column, nulls = cursor.field(field)
         if target.kind != field.kind and (field.kind, target.kind) != ("int", "long"):
             reason = f"field {field.name} was written as {field.kind}, not {target.kind}"
             cursor.fail(slice(None), reason)
@@ -159,7 +174,7 @@ def _decode_batch(bodies, ids, writers, reader) -> pa.StructArray:
     for writer_id in np.unique(id_values):
         rows = np.flatnonzero(id_values == writer_id)
         part = bodies if len(rows) == len(bodies) else bodies.take(pa.array(rows))
-        writer = writers.get(int(writer_id))
+        writer = writers(int(writer_id), rows)
         if isinstance(writer, list):
             columns, reason = decode_bodies(part, writer, reader)
         else:
@@ -186,10 +201,19 @@ def _decode_batch(bodies, ids, writers, reader) -> pa.StructArray:
     return pa.StructArray.from_arrays([data, error], ["data", "error"])
 
 
-def decoder(writers: dict[int, list[Field] | str], reader: list[Field]):
-    """An Arrow UDF ``(body, schema id) -> struct<data, error>``.
+def _writer(schema_json: str) -> list[Field] | str:
+    """The fields of a writer schema, or why its messages cannot be read."""
+    try:
+        return records.record_fields(schema_json)
+    except (KeyError, TypeError, ValueError) as unreadable:
+        return str(unreadable)
+
 
-    A writer given as text is one that cannot be read, and the text says why.
+def decoder(by_id: dict[int, str] | None, reader: list[Field]):
+    """An Arrow UDF ``(body, schema id[, schema text]) -> struct<data, error>``.
+
+    ``by_id`` has the writer schemas; with None, each message brings its own, which is parsed
+    once per batch and id. A schema that cannot be read fails its messages and says why.
 
     It is marked non-deterministic so that Catalyst neither copies it into the filters
     above it nor runs it twice per row.
@@ -201,7 +225,19 @@ def decoder(writers: dict[int, list[Field] | str], reader: list[Field]):
         ]
     )
 
-    def decode(bodies: pa.Array, ids: pa.Array) -> pa.Array:
-        return _decode_batch(bodies, ids, writers, reader)
+    if by_id is None:
+
+        def decode(bodies: pa.Array, ids: pa.Array, texts: pa.Array) -> pa.Array:
+            def brought(_, rows):
+                text = texts[int(rows[0])].as_py()
+                return None if text is None else _writer(text)
+
+            return _decode_batch(bodies, ids, brought, reader)
+
+    else:
+        writers = {int(key): _writer(text) for key, text in by_id.items()}
+
+        def decode(bodies: pa.Array, ids: pa.Array) -> pa.Array:
+            return _decode_batch(bodies, ids, lambda writer_id, _: writers.get(writer_id), reader)
 
     return F.arrow_udf(decode, returnType=result).asNondeterministic()

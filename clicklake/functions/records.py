@@ -60,7 +60,7 @@ USER_EVENT_V3 = """
   {"name": "route", "type": ["null", "string"], "default": "null"}]}
 """
 DLQ_V1 = """
-{"type": "record", "name": "DeadLetter", "namespace": "clicklake", "fields": [
+{"type": "record", "name": "userEventsDLQ", "namespace": "clicklake", "fields": [
   {"name": "error", "type": "string"},
   {"name": "raw_payload", "type": "string"},
   {"name": "topic", "type": "string"},

@@ -4,14 +4,37 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import wire
 from ..functions.decode import decoder
 from ..functions.encode import avro_body, encode_error
 from ..functions.records import Field, drop_logical_types, record_fields, struct_type
-from ..sources.schemas import load_schemas
+from ..sources.schemas import newest_reader, texts_by_id
+
+CODECS = ("auto", "arrow", "spark-avro")
+AVRO_CLASS = "org.apache.spark.sql.avro.AvroDataToCatalyst"
+
+
+def has_spark_avro(spark: SparkSession) -> bool:
+    """Whether the session can load Spark's own Avro functions."""
+    try:
+        spark._jvm.org.apache.spark.util.Utils.classForName(AVRO_CLASS, True, False)
+    except Py4JError:
+        return False
+    return True
+
+
+def chosen_codec(spark: SparkSession, codec: str) -> str:
+    """``auto`` is Spark's own codec where its module can be loaded, and the engine's otherwise."""
+    if codec not in CODECS:
+        raise ValueError(f"unknown codec {codec!r}")
+    if codec == "auto":
+        return "spark-avro" if has_spark_avro(spark) else "arrow"
+    return codec
+
 
 KAFKA_COORDINATES = ("key", "topic", "partition", "offset", "timestamp", "timestampType")
 
@@ -24,7 +47,7 @@ def decode_avro(
     fields: list[str] | None = None,
     value: str = "value",
     null_string_default: bool = False,
-    codec: str = "arrow",
+    codec: str = "auto",
 ) -> DataFrame:
     """Add ``data`` (the decoded record) and ``error`` (why there is none) to messages.
 
@@ -37,11 +60,25 @@ def decode_avro(
     the named fields, so that unneeded ones are skipped and never leave the decoder.
     ``null_string_default`` reads a default of the text ``null`` as NULL.
 
+    The texts of a schema table are joined to the messages by id and parsed once per batch;
+    none is collected but the reader's.
+
     ``codec="arrow"`` decodes Arrow batches. ``codec="spark-avro"`` uses Spark's own
     ``from_avro`` and needs the spark-avro module; it stays in the JVM but cannot say
-    why a body was refused.
+    why a body was refused, and its expressions name every schema of the table, which is
+    therefore collected. ``codec="auto"`` takes it where the module can be loaded.
     """
-    by_id, reader_json = _schemas(schemas, reader)
+    codec = chosen_codec(df.sparkSession, codec)
+    by_id = schemas if isinstance(schemas, dict) else None
+    if by_id is None:
+        newest = newest_reader(schemas, check_subject=reader is None)
+        if codec == "spark-avro":
+            by_id = {row["schema_id"]: row["schema_json"] for row in texts_by_id(schemas).collect()}
+    else:
+        newest = by_id[max(by_id)] if by_id else None
+    if newest is None:
+        raise ValueError("no writer schema to decode with")
+    reader_json = newest if reader is None else reader
     wanted = record_fields(reader_json)
     if fields is not None:
         unknown = set(fields) - {f.name for f in wanted}
@@ -56,43 +93,22 @@ def decode_avro(
     message = F.col(f"`{value}`")
     body, writer_id = wire.strip_header(message), wire.schema_id(message)
     header = wire.header_error(message)
-    if codec == "arrow":
-        writers = {int(key): _writer(text) for key, text in by_id.items()}
-        usable = F.when(header.isNull(), body)
-        result = decoder(writers, wanted)(usable, F.when(header.isNull(), writer_id))
-    elif codec == "spark-avro":
+    if codec == "spark-avro":
         result = _from_avro(body, writer_id, by_id, reader_json, wanted)
     else:
-        raise ValueError(f"unknown codec {codec!r}")
+        usable = [F.when(header.isNull(), body), F.when(header.isNull(), writer_id)]
+        if by_id is None:
+            texts = texts_by_id(schemas).select(
+                F.col("schema_id").alias("_writer_id"), F.col("schema_json").alias("_writer")
+            )
+            df = df.join(texts, usable[1] == F.col("_writer_id"), "left").drop("_writer_id")
+            usable.append(F.col("_writer"))
+        result = decoder(by_id, wanted)(*usable)
     columns = {
         "data": F.when(header.isNull(), F.col("_decoded.data")),
         "error": F.coalesce(header, F.col("_decoded.error")),
     }
-    return df.withColumn("_decoded", result).withColumns(columns).drop("_decoded")
-
-
-def _schemas(schemas: DataFrame | dict[int, str], reader: str | None) -> tuple[dict, str]:
-    """The writer schemas by id, and the reader schema."""
-    if isinstance(schemas, dict):
-        by_id = schemas
-        newest = by_id[max(by_id)] if by_id else None
-    else:
-        rows = load_schemas(schemas)
-        by_id = {row["schema_id"]: row["schema_json"] for row in rows}
-        newest = max(rows, key=lambda row: row["version"])["schema_json"] if rows else None
-        if reader is None and len({row["subject"] for row in rows}) > 1:
-            raise ValueError("the schema table has several subjects; filter it or give a reader")
-    if not by_id:
-        raise ValueError("no writer schema to decode with")
-    return by_id, newest if reader is None else reader
-
-
-def _writer(schema_json: str) -> list[Field] | str:
-    """The fields of a writer schema, or why its messages cannot be read."""
-    try:
-        return record_fields(schema_json)
-    except (KeyError, TypeError, ValueError) as unreadable:
-        return str(unreadable)
+    return df.withColumn("_decoded", result).withColumns(columns).drop("_decoded", "_writer")
 
 
 def _from_avro(body, writer_id, by_id, reader_json, wanted: list[Field]) -> Column:
@@ -135,14 +151,25 @@ def flatten(df: DataFrame, *, keep_kafka: bool = False) -> DataFrame:
 
 
 def encode_avro(
-    df: DataFrame, schema_json: str, writer_id: int, *, output: str = "value"
+    df: DataFrame, schema_json: str, writer_id: int, *, output: str = "value", codec: str = "auto"
 ) -> DataFrame:
     """Add the framed Avro message of each row, and ``encode_error`` where none fits.
 
+    ``codec`` is as in :func:`decode_avro`; both ways make the same bytes in the JVM.
+
     The record's fields are taken from the columns of the same name. A missing column
     takes the field's default; a NULL in a required field is an error on that row.
     """
     fields = record_fields(schema_json)
     error = encode_error(fields, df.schema)
-    message = wire.frame(avro_body(fields, df.schema), writer_id)
+    if chosen_codec(df.sparkSession, codec) == "spark-avro":
+        from pyspark.sql.avro.functions import to_avro
+
+        kinds = {f.name: f.dataType for f in struct_type(fields).fields}
+        held = {f.name: F.col(f"`{f.name}`") if f.name in df.columns else F.lit(f.default) for f in fields}
+        record = F.struct(*[held[f.name].cast(kinds[f.name]).alias(f.name) for f in fields])
+        body = to_avro(record, json.dumps(drop_logical_types(json.loads(schema_json))))
+    else:
+        body = avro_body(fields, df.schema)
+    message = wire.frame(body, writer_id)
     return df.withColumns({output: F.when(error.isNull(), message), "encode_error": error})

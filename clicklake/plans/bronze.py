@@ -17,12 +17,13 @@ def bronze(
     precision: str = "s",
     keep_kafka: bool = False,
     null_string_default: bool = False,
+    codec: str = "auto",
 ) -> tuple[DataFrame, DataFrame]:
     """Flat good rows and failed messages of a topic; a map without any shuffle.
 
     Good rows get ``event_time`` and ``dt`` when the record has a timestamp field.
     """
-    decoded = decode_avro(messages, schemas, reader, null_string_default=null_string_default)
+    decoded = decode_avro(messages, schemas, reader, null_string_default=null_string_default, codec=codec)
     good, bad = split_decoded(decoded)
     records = with_event_time(flatten(good, keep_kafka=keep_kafka), precision=precision)
     if "event_time" in records.columns:

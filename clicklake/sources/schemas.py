@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_TABLE = "subject string, version int, schema_id bigint, schema_json string"
 
-# A schema lookup is job set-up, like a registry request. More versions than this mean
-# that the table holds something else, so the job stops instead of loading it.
-MAX_SCHEMAS = 10_000
-
 
 def schemas_table(
     spark: SparkSession, directory: str, ids: dict[str, int] | None = None
@@ -52,12 +48,23 @@ def latest_schema(schemas: DataFrame, subject: str) -> DataFrame:
     return latest_schemas(schemas.filter(F.col("subject") == subject))
 
 
-def load_schemas(schemas: DataFrame) -> list[Row]:
-    """The rows of a schema table that have an id; stops above ``MAX_SCHEMAS`` of them."""
-    rows = schemas.filter("schema_id IS NOT NULL").limit(MAX_SCHEMAS + 1).collect()
-    if len(rows) > MAX_SCHEMAS:
-        raise ValueError(f"more than {MAX_SCHEMAS} schemas; filter the table by subject")
-    return rows
+def newest_reader(schemas: DataFrame, check_subject: bool = True) -> str | None:
+    """The text of the highest version that has an id; the table must have one subject only."""
+    version = F.struct("version", "schema_id")
+    row = (
+        schemas.filter("schema_id IS NOT NULL")
+        .agg(F.max_by("schema_json", version).alias("newest"), F.min("subject").alias("a"), F.max("subject").alias("z"))
+        .first()
+    )
+    if check_subject and row["a"] != row["z"]:
+        raise ValueError("the schema table has several subjects; filter it or give a reader")
+    return row["newest"]
+
+
+def texts_by_id(schemas: DataFrame) -> DataFrame:
+    """One text per schema id, of its highest version: ``schema_id``, ``schema_json``."""
+    known = schemas.filter("schema_id IS NOT NULL").groupBy("schema_id")
+    return known.agg(F.max_by("schema_json", F.struct("version", "subject")).alias("schema_json"))
 
 
 def subject_name(

@@ -90,9 +90,10 @@ def session_conf(env: Mapping[str, str] | None = None) -> dict[str, str]:
         conf |= {
             "spark.sql.extensions": DELTA_EXTENSION,
             "spark.sql.catalog.spark_catalog": "org.apache.spark.sql.delta.catalog.DeltaCatalog",
-            "spark.delta.logStore.class": "org.apache.spark.sql.delta.storage.S3SingleDriverLogStore",
-            "delta.enable-non-concurrent-writes": "true",
         }
+        # The default log store is safe for several writers; another one is a choice of the operator.
+        if env.get("DELTA_LOG_STORE"):
+            conf["spark.delta.logStore.class"] = env["DELTA_LOG_STORE"]
     return conf
 
 

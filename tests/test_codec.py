@@ -314,3 +314,15 @@ def test_random_records_round_trip_through_spark(spark):
         assert [tuple(r.data) for r in decoded.collect()] == records
 
     check()
+
+
+def test_unneeded_fields_are_skipped_unread(spark):
+    """A broken string that the reader does not want does no harm; its length still counts."""
+    body = samples.CLICK_BODY
+    broken = body.replace(b"/a", b"\xff\xfe")
+    rows = spark.createDataFrame([(samples.framed(b),) for b in (body, broken, body[:12])], "value binary")
+    whole = decode_avro(rows, {7: CLICK_STREAM_V1}).collect()
+    assert [r.error for r in whole][1] == "string in field url is not UTF-8"
+    some = decode_avro(rows, {7: CLICK_STREAM_V1}, fields=["event_id", "timestamp"]).collect()
+    assert [r.error is None for r in some] == [True, True, False]
+    assert some[1].data == some[0].data

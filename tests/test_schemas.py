@@ -40,11 +40,17 @@ def test_schema_table_feeds_the_decoder(spark, table):
     assert decode_avro(rows, table).first().data.user_process == "null"
 
 
-def test_oversized_schema_table_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(s, "MAX_SCHEMAS", 2)
-    rows = spark.createDataFrame([("a", i, i, "x") for i in range(3)], s.SCHEMA_TABLE)
-    with pytest.raises(ValueError, match="more than 2 schemas"):
-        s.load_schemas(rows)
+def test_large_schema_tables_are_joined(spark):
+    versions = spark.range(1, 20_001).selectExpr("'u' AS subject", "CAST(id AS INT) AS version", "id AS schema_id")
+    text = F.when(F.col("schema_id") % 2 == 0, USER_EVENT_V2).otherwise(USER_EVENT_V1)
+    table = versions.withColumn("schema_json", text)
+    bodies = [(samples.framed(samples.USER_EVENT_BODY, i),) for i in (1, 19_999, 20_001)] + [(None,)]
+    rows = decode_avro(spark.createDataFrame(bodies, "value binary"), table, USER_EVENT_V1).collect()
+    assert [r.error for r in rows].count(None) == 2
+    assert "unknown schema id 20001" in [r.error for r in rows]
+    assert s.newest_reader(table) == USER_EVENT_V2
+    twice = table.limit(1).union(table.limit(1))
+    assert s.texts_by_id(twice).count() == 1
 
 
 def test_default_reader_is_the_highest_version_of_one_subject(spark):
