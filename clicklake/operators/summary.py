@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 PREVIEW_ROWS = 20
 BATCHES_PER_BUCKET = 10_000
+MOST_BROADCAST = 1_000_000
 
 # The lower 33 bits of a monotonically increasing id count the rows of its task.
 ROWS_OF_TASK = 2**33 - 1
@@ -24,20 +25,22 @@ def preview(df: DataFrame, n: int = PREVIEW_ROWS, order_by: str | None = None) -
     return (df.orderBy(order_by) if order_by else df).limit(n)
 
 
-def _running_total(counts: DataFrame, order: str, bucket: Column) -> DataFrame:
-    """Add ``total_events``, the sum of ``events`` up to each row by ``order``.
+def _running_total(counts: DataFrame, order: str, bucket: Column, group: Sequence[str] = ()) -> DataFrame:
+    """Add ``total_events``, the sum of ``events`` up to each row by ``order``, in each group.
 
     ``bucket`` grows with ``order`` and parts the rows: the total is the sum of all
     buckets before plus the sum so far within the bucket, so that no window holds more
     than the rows of one bucket or one row per bucket.
     """
     rows = counts.withColumn("_bucket", bucket)
-    sums = rows.groupBy("_bucket").agg(F.sum("events").alias("_events"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*group, "_bucket").agg(F.sum("events").alias("_events"))
+    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_events").over(earlier), F.lit(0))
-    sums = sums.select(F.col("_bucket").alias("_same"), before.alias("_before"))
-    so_far = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(sums, F.col("_bucket").eqNullSafe(F.col("_same"))).select(
+    same = {name: f"_same_{name}" for name in (*group, "_bucket")}
+    sums = sums.select(*[F.col(name).alias(other) for name, other in same.items()], before.alias("_before"))
+    so_far = Window.partitionBy(*group, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    matches = [F.col(name).eqNullSafe(F.col(other)) for name, other in same.items()]
+    return rows.join(sums, matches).select(
         *counts.columns, (F.col("_before") + F.sum("events").over(so_far)).alias("total_events")
     )
 
@@ -49,29 +52,43 @@ def daily_totals(df: DataFrame, date: str = "dt") -> DataFrame:
 
 
 def ingest_totals(progress: DataFrame) -> DataFrame:
-    """The running event total after each batch; streams that share a table are added up."""
-    batches = progress.groupBy("batch_id").agg(F.sum("events").alias("events"))
+    """The running event total of each stream after each of its batches.
+
+    Batches of one number of two streams are not of the same moment, so streams
+    (``query_id``, where the table has it) are counted apart.
+    """
+    group = [name for name in ("query_id",) if name in progress.columns]
+    batches = progress.groupBy(*group, "batch_id").agg(F.sum("events").alias("events"))
     bucket = F.call_function("div", F.col("batch_id"), F.lit(BATCHES_PER_BUCKET))
-    return _running_total(batches, "batch_id", bucket)
+    return _running_total(batches, "batch_id", bucket, group)
 
 
-def event_totals(df: DataFrame, order_by: Sequence[str], folder: str) -> DataFrame:
+def event_totals(
+    df: DataFrame, order_by: Sequence[str], folder: str, tasks: int | None = None
+) -> DataFrame:
     """Every event with the running total up to it, in the order of ``order_by``.
 
-    The events are sorted over all tasks and written to ``folder`` with their place in
-    their task; the total before a task comes from the counts of the tasks. No window
-    holds the events, and the written table fixes which task each of them was in.
-    ``order_by`` should tell all events apart.
+    The events are sorted over all tasks (``tasks`` of them, if given) and written to
+    ``folder`` with their place in their task; the total before a task comes from the
+    counts of the tasks. No window holds the events, the written table fixes which task
+    each of them was in, and they are shuffled once: the totals, a row of two numbers for
+    each of at most ``MOST_BROADCAST`` tasks, go to where the events are. Above that many
+    tasks, events and totals are joined as Spark chooses. ``order_by`` should tell all
+    events apart.
     """
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(ROWS_OF_TASK))
-    ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    numbers = [tasks] if tasks else []
+    ordered = df.repartitionByRange(*numbers, *order_by).sortWithinPartitions(*order_by)
     placed = ordered.withColumns({"_task": F.spark_partition_id(), "_place": place})
     placed.write.parquet(folder)
     events = df.sparkSession.read.parquet(folder)
-    tasks = events.groupBy("_task").agg(F.count(F.lit(1)).alias("events"))
+    of_tasks = events.groupBy("_task").agg(F.count(F.lit(1)).alias("events"))
     bucket = F.call_function("div", F.col("_task"), F.lit(BATCHES_PER_BUCKET))
-    totals = _running_total(tasks, "_task", bucket)
+    totals = _running_total(of_tasks, "_task", bucket)
     before = totals.select("_task", (F.col("total_events") - F.col("events")).alias("_before"))
+    highest = events.agg(F.max("_task")).first()[0] or 0
+    if highest < MOST_BROADCAST:
+        before = F.broadcast(before)
     total = F.col("_before") + F.col("_place") + 1
     return events.join(before, "_task").select(*df.columns, total.alias("total_events"))
 

@@ -6,9 +6,11 @@ of the session (see ``shared_folder``).
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import wire
@@ -17,9 +19,10 @@ from ..functions.records import CLICK_STREAM_V1, DLQ_V1, USER_EVENT_V1, USER_EVE
 from ..operators.codec import decode_avro, encode_avro, flatten
 from ..operators.deadletter import dlq_messages, to_json_value
 from ..operators.keys import partition_by_key, to_kafka_rows
-from ..operators.late import split_late
+from ..operators.late import split_late, with_watermark
 from ..operators.routing import require_record, split_decoded, split_encodable
 from ..operators.summary import (
+    ROWS_OF_TASK,
     daily_totals,
     event_totals,
     ingest_totals,
@@ -56,7 +59,6 @@ ORACLES: dict[str, str] = {}
 
 FILES_PER_TRIGGER = {"maxFilesPerTrigger": "1000"}
 DLQ_ID = 1
-TIMEOUT = 3600
 
 # --- SQL of the fixtures ----------------------------------------------------------------
 EVENT_ID = "'event_' || event_id"
@@ -182,7 +184,7 @@ def avro_two_fields(spark, sf_dir):
 
 @query(f"SELECT CASE WHEN event_id % 10 <> 0 THEN {EVENT_ID} END AS event_id FROM events")
 def undecoded_rows_are_null(spark, sf_dir):
-    return flatten(decode_avro(kafka_rows(spark, sf_dir), CLICK_SCHEMAS)).select("event_id")
+    return flatten(decode_avro(kafka_rows(spark, sf_dir), CLICK_SCHEMAS, fields=["event_id"]))
 
 
 # --- Schema versions --------------------------------------------------------------------
@@ -328,7 +330,7 @@ CUT_MESSAGE = "'0000000007' || printf('%02x', 2 * strlen('event_' || event_id))
         FROM events WHERE event_id % 10 = 0"""
 )
 def dead_letters_avro(spark, sf_dir):
-    _, bad = split_decoded(decode_avro(kafka_rows(spark, sf_dir), CLICK_SCHEMAS))
+    _, bad = split_decoded(decode_avro(kafka_rows(spark, sf_dir), CLICK_SCHEMAS, fields=["event_id"]))
     letters = dlq_messages(bad, "avro", writer_id=DLQ_ID)
     read, _ = split_decoded(decode_avro(letters.select("value"), {DLQ_ID: DLQ_V1}))
     return flatten(read).drop("timestamp")
@@ -340,7 +342,7 @@ def dead_letters_avro(spark, sf_dir):
         FROM events WHERE event_id % 10 = 0"""
 )
 def dead_letters_as_python_text(spark, sf_dir):
-    _, bad = split_decoded(decode_avro(kafka_rows(spark, sf_dir), CLICK_SCHEMAS))
+    _, bad = split_decoded(decode_avro(kafka_rows(spark, sf_dir), CLICK_SCHEMAS, fields=["event_id"]))
     letters = dlq_messages(bad, "avro", writer_id=DLQ_ID, raw_as="python")
     read = decode_avro(letters.select("value"), {DLQ_ID: DLQ_V1}, fields=["offset", "raw_payload"])
     return flatten(read)
@@ -359,7 +361,7 @@ DLQ_JSON = (
         {MILLIS} AS time_ms FROM events WHERE event_id % 10 = 0"""
 )
 def dead_letters_json(spark, sf_dir):
-    _, bad = split_decoded(decode_avro(kafka_rows(spark, sf_dir), CLICK_SCHEMAS))
+    _, bad = split_decoded(decode_avro(kafka_rows(spark, sf_dir), CLICK_SCHEMAS, fields=["event_id"]))
     folder = shared_folder(spark, "dead-letters")
     write_dlq(bad, "json", folder=folder)
     letters = read_events(spark, folder, streaming=False)
@@ -418,7 +420,7 @@ def unencodable_letters(spark, sf_dir):
 def _clicks_table(spark, sf_dir) -> str:
     path = shared_folder(spark, "clicks")
     good, _ = bronze(_framed(spark, sf_dir), CLICK_SCHEMAS)
-    write_table(good, path, partition_by=["dt"])
+    write_table(good, path, partition_by=["dt"], rebalance=True)
     return path
 
 
@@ -459,12 +461,12 @@ def stream_append(spark, sf_dir):
     good, _ = bronze(messages, CLICK_SCHEMAS)
     path = shared_folder(spark, "stream")
     stream = write_stream(
-        good.withWatermark("event_time", "24 hours"),
+        with_watermark(good),
         path,
         partition_by=["dt"],
         trigger={"availableNow": True},
     )
-    await_end(stream, TIMEOUT)
+    await_end(stream)
     table = read_table(spark, path).drop("event_time")
     return table.withColumn("dt", F.col("dt").cast("string"))
 
@@ -479,7 +481,7 @@ def _ingested(spark, sf_dir, runs: int = 1) -> Ingest:
     )
     for _ in range(runs):
         messages = read_events(spark, topic, FILES_PER_TRIGGER)
-        await_end(ingest.start(messages, f"{base}/checkpoint", {"availableNow": True}), TIMEOUT)
+        await_end(ingest.start(messages, f"{base}/checkpoint", {"availableNow": True}))
     return ingest
 
 
@@ -519,6 +521,109 @@ def stream_totals(spark, sf_dir):
     return totals.withColumn("bad", progress.agg(F.sum("bad")).scalar())
 
 
+_GOOD_LIMIT = "(SELECT max(epoch_us(ts)) // 1000000 - 86400 FROM events WHERE event_id % 10 <> 0)"
+
+
+@query(
+    f"""SELECT route, count(*) AS rows FROM (
+          SELECT CASE WHEN event_id % 10 = 0 THEN 'bad'
+            WHEN epoch_us(ts) // 1000000 < {_GOOD_LIMIT} THEN 'late' ELSE 'good' END AS route FROM events)
+        GROUP BY route"""
+)
+def stream_accounts(spark, sf_dir):
+    """Good, failed and late messages as they were written: together they are the input."""
+    topic, base = shared_folder(spark, "topic"), shared_folder(spark, "ingest")
+    messages = kafka_rows(spark, sf_dir)
+    newest = messages.agg(F.max("timestamp")).scalar()
+    first = F.col("timestamp") >= newest - F.expr("INTERVAL 12 HOURS")
+    ingest = Ingest(
+        schemas=CLICK_SCHEMAS,
+        table=f"{base}/clicks",
+        dead_letters=f"{base}/dead-letters",
+        progress=f"{base}/progress",
+        late=f"{base}/late",
+    )
+    for arriving in (first, ~first):
+        write_kafka(messages.filter(arriving), "clickstream-topic", folder=topic)
+        stream = ingest.start(read_events(spark, topic), f"{base}/checkpoint", {"availableNow": True})
+        await_end(stream)
+    written = {
+        "good": read_table(spark, ingest.table),
+        "bad": read_events(spark, ingest.dead_letters, streaming=False),
+        "late": read_table(spark, ingest.late),
+    }
+    routes = [rows.select(F.lit(name).alias("route")) for name, rows in written.items()]
+    return routes[0].unionByName(routes[1]).unionByName(routes[2]).groupBy("route").agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+
+
+FILES = 4
+
+
+@query(f"SELECT CAST({FILES} AS BIGINT) AS batches, count(*) AS events FROM events")
+def stream_rate_limited(spark, sf_dir):
+    """A topic of several files, of which each batch takes one."""
+    topic, base = shared_folder(spark, "topic"), shared_folder(spark, "ingest")
+    write_kafka(kafka_rows(spark, sf_dir).repartition(FILES), "clickstream-topic", folder=topic)
+    ingest = Ingest(CLICK_SCHEMAS, f"{base}/clicks", f"{base}/dead-letters", f"{base}/progress")
+    messages = read_events(spark, topic, {"maxFilesPerTrigger": "1"})
+    await_end(ingest.start(messages, f"{base}/checkpoint", {"availableNow": True}))
+    progress = read_progress(spark, ingest.progress)
+    return progress.agg(F.count(F.lit(1)).alias("batches"), F.sum("events").alias("events"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 2 = 1")
+def messages_from_latest(spark, sf_dir):
+    """A start at the latest position: what was there before is left out."""
+    topic = shared_folder(spark, "topic")
+    framed = encode_avro(clicks(spark, sf_dir, "event_id AS number"), CLICK_STREAM_V1, CLICK_ID)
+    odd = F.col("number") % 2 == 1
+    write_kafka(to_kafka_rows(framed.filter(~odd)), "clicks", folder=topic)
+    time.sleep(1.5)  # file times are whole seconds
+    since = datetime.now()
+    time.sleep(1.5)
+    write_kafka(to_kafka_rows(framed.filter(odd)), "clicks", folder=topic)
+    later = read_events(spark, topic, streaming=False, latest_since=since)
+    read = flatten(decode_avro(later, CLICK_SCHEMAS, fields=["event_id"]))
+    return read.select(F.expr("CAST(substr(event_id, 7) AS BIGINT)").alias("event_id"))
+
+
+@query(
+    """SELECT CAST(event_id % 12 AS INTEGER) AS partition, event_id // 12 AS "offset", TRUE AS timely
+       FROM events WHERE event_id % 10 = 0"""
+)
+def letter_times(spark, sf_dir):
+    """Avro letters carry the time of the failure: after the start of the query, before its end."""
+    started, folder = time.time() * 1000, shared_folder(spark, "dead-letters")
+    _, bad = split_decoded(decode_avro(kafka_rows(spark, sf_dir), CLICK_SCHEMAS, fields=["event_id"]))
+    write_dlq(bad, "avro", folder=folder, writer_id=DLQ_ID)
+    letters = flatten(decode_avro(read_events(spark, folder, streaming=False), {DLQ_ID: DLQ_V1}))
+    timely = F.col("timestamp").between(int(started) - 1, int(time.time() * 1000) + 1)
+    return letters.select("partition", "offset", timely.alias("timely"))
+
+
+@query("SELECT count(*) AS total_events, TRUE AS took_time FROM events")
+def run_times(spark, sf_dir):
+    summary = run_summary(read_progress(spark, _ingested(spark, sf_dir).progress))
+    return summary.select("total_events", (F.col("total_seconds") > 0).alias("took_time"))
+
+
+@query(
+    f"""SELECT {EVENT_ID} AS event_id, 'event_id,session_id' AS without_time,
+        'event_id,timestamp,event_time,dt' AS with_time FROM events"""
+)
+def projection_by_schema(spark, sf_dir):
+    """Event time and date come only with a record that has a time."""
+    rows = encode_avro(clicks(spark, sf_dir), CLICK_STREAM_V1, CLICK_ID).select("value")
+    columns = {}
+    for name, fields in (("without_time", ["event_id", "session_id"]), ("with_time", ["event_id", "timestamp"])):
+        good = with_event_time(flatten(decode_avro(rows, CLICK_SCHEMAS, fields=fields)))
+        columns[name] = with_dt(good) if "event_time" in good.columns else good
+    shown = {name: F.lit(",".join(table.columns)) for name, table in columns.items()}
+    return columns["without_time"].select("event_id", *[text.alias(name) for name, text in shown.items()])
+
+
 @query("SELECT count(*) AS total_events FROM events")
 def run_events(spark, sf_dir):
     progress = read_progress(spark, _ingested(spark, sf_dir).progress)
@@ -530,7 +635,8 @@ def stream_late_rows(spark, sf_dir):
     """The events of the last half day arrive first, then all others, many of them late."""
     topic, base = shared_folder(spark, "topic"), shared_folder(spark, "ingest")
     framed = encode_avro(clicks(spark, sf_dir), CLICK_STREAM_V1, CLICK_ID)
-    first = F.col("timestamp") >= F.unix_millis(F.lit("2024-01-30 12:00:00").cast("timestamp"))
+    newest = clicks(spark, sf_dir).agg(F.max("timestamp")).scalar()
+    first = F.col("timestamp") >= newest - 12 * 3600 * 1000
     ingest = Ingest(
         schemas=CLICK_SCHEMAS,
         table=f"{base}/clicks",
@@ -541,7 +647,7 @@ def stream_late_rows(spark, sf_dir):
     for arriving in (first, ~first):
         write_kafka(to_kafka_rows(framed.filter(arriving)), "clicks", folder=topic)
         messages = read_events(spark, topic)
-        await_end(ingest.start(messages, f"{base}/checkpoint", {"availableNow": True}), TIMEOUT)
+        await_end(ingest.start(messages, f"{base}/checkpoint", {"availableNow": True}))
     return read_table(spark, ingest.late).select("event_id")
 
 
@@ -555,7 +661,7 @@ def stream_evolution(spark, sf_dir):
     topic, path = shared_folder(spark, "topic"), shared_folder(spark, "user-events")
     write_kafka(user_event_messages(spark, sf_dir).select("value"), "user-events", folder=topic)
     good, _ = bronze(read_events(spark, topic, FILES_PER_TRIGGER), USER_EVENT_SCHEMAS, USER_EVENT_V3)
-    await_end(write_stream(good, path, trigger={"availableNow": True}), TIMEOUT)
+    await_end(write_stream(good, path, trigger={"availableNow": True}))
     return read_table(spark, path).select("timestamp", "user_id", "page", "user_process", "route")
 
 
@@ -598,6 +704,25 @@ def keyed_partitions(spark, sf_dir):
     )
 
 
+@query(
+    f"""SELECT {EVENT_ID} AS event_id, row_number() OVER (PARTITION BY {SESSION}
+        ORDER BY {MILLIS}, {EVENT_ID}) AS place FROM events"""
+)
+def keyed_order(spark, sf_dir):
+    """Where each event comes out among those of its session, task by task."""
+    path = shared_folder(spark, "keyed")
+    rows = partition_by_key(clicks(spark, sf_dir).select("session_id", "timestamp", "event_id"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(ROWS_OF_TASK))
+    rows.withColumns({"task": F.spark_partition_id(), "at": place}).write.parquet(path)
+    placed = spark.read.parquet(path)
+    # A session's rows stand together in each of its tasks; only their counts are numbered.
+    parts = placed.groupBy("session_id", "task").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("session_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    joined = placed.join(parts, ["session_id", "task"])
+    return joined.select("event_id", (F.col("before") + F.col("at") - F.col("first") + 1).alias("place"))
+
+
 @query(f"SELECT {SESSION} AS message_key, {EVENT_ID} AS event_id, 'clicks' AS topic FROM events")
 def keyed_messages(spark, sf_dir):
     framed = encode_avro(clicks(spark, sf_dir), CLICK_STREAM_V1, CLICK_ID)

@@ -2,20 +2,51 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .settings import table_format
 
 QUERY_COLUMN, BATCH_COLUMN = "query_id", "batch_id"
+OWN_ID = "clicklake.stream.id"
+# Set to "true" where the file system of a local-looking checkpoint folder is shared by all hosts.
+SHARED_SETTING = "spark.clicklake.checkpointDirIsShared"
 
 
 def stream_id(spark: SparkSession) -> str:
-    """The id of the stream whose batch is being processed; it lasts with the checkpoint."""
-    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+    """The id of the stream whose batch is being processed; it lasts with the checkpoint.
+
+    Without one, streams would replace each other's batches, so that is an error: inside a
+    stream it means that Python threads are not pinned to those of the JVM.
+    """
+    context = spark.sparkContext
+    name = context.getLocalProperty("sql.streaming.queryId") or context.getLocalProperty(OWN_ID)
+    if not name:
+        raise ValueError(
+            "no stream id: a batch is processed outside a stream (see as_stream), or PYSPARK_PIN_THREAD is off"
+        )
+    return name
+
+
+@contextlib.contextmanager
+def as_stream(spark: SparkSession, name: str) -> Iterator[None]:
+    """Process batches outside a stream, under an id of the caller's own.
+
+    Batches of one id and number replace each other, as a retry should.
+    """
+    context = spark.sparkContext
+    before = context.getLocalProperty(OWN_ID)
+    context.setLocalProperty(OWN_ID, name)
+    try:
+        yield
+    finally:
+        context.setLocalProperty(OWN_ID, before)
 
 
 def stream_folder(spark: SparkSession, path: str) -> str:
@@ -52,16 +83,42 @@ def _local_folder() -> tempfile.TemporaryDirectory:
     return tempfile.TemporaryDirectory(prefix="clicklake-", ignore_cleanup_errors=True)
 
 
+def shared_base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; on a cluster, a folder that executors would not share is refused."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if context.master.startswith("local"):
+        return base or _local_folder().name
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    scheme = urlsplit(base).scheme
+    if not scheme:
+        scheme = urlsplit(context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")).scheme
+    if scheme == "file" and spark.conf.get(SHARED_SETTING, None) != "true":
+        raise ValueError(
+            f"spark.checkpoint.dir is on a local file system ({base}); name a shared one, "
+            f"or set {SHARED_SETTING}=true if all hosts mount it"
+        )
+    return base
+
+
+@functools.cache
+def _session_folder(base: str, application: str, spark: SparkSession) -> str:
+    """This session's part of the shared folder, removed when its JVM ends."""
+    path = f"{base.rstrip('/')}/clicklake/{application}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.mkdirs(hadoop):
+        files.deleteOnExit(hadoop)
+    return path
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder path below ``spark.checkpoint.dir``, the cluster's shared folder.
 
-    What is written there stays until the owner of the folder removes it. A local session
-    without that setting uses a temporary folder of this process; a cluster session
-    without it is refused, as its executors share no local disk.
+    What is written there is removed when the session's JVM ends. A local session without
+    that setting uses a temporary folder of this process. A cluster session without it, or
+    with one on a local file system, is refused, as its executors share no local disk.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local_folder().name
-    return f"{base.rstrip('/')}/clicklake/{name}-{uuid.uuid4().hex}"
+    folder = _session_folder(shared_base(spark), spark.sparkContext.applicationId, spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"

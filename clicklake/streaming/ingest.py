@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import logging
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.storagelevel import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,7 +19,9 @@ from ..operators.late import DEFAULT_DELAY, is_late
 from ..sources.lake import BATCH_COLUMN, batch_folder, stream_folder
 from .sinks import has_batch, run_batches, write_batch, write_dlq
 
-logger = logging.getLogger(__name__)
+
+class RowsLost(RuntimeError):
+    """The source no longer had all rows of a batch while it was written."""
 
 
 @dataclass
@@ -34,6 +35,8 @@ class Ingest:
 
     Every output of a batch replaces what an earlier try of the same batch wrote, so a
     restart neither loses nor doubles rows. Several streams may share their outputs.
+    ``rebalance`` brings the rows of a date together before they are written, which takes a
+    shuffle and leaves few files. ``env`` has the connection of the dead-letter topic.
 
     ``schemas`` may be a function, called once per batch, so that schemas registered later
     are found without a restart; a ``reader`` then keeps the columns of the table the same.
@@ -55,7 +58,9 @@ class Ingest:
     dlq_schema_id: int = 1
     dlq_raw_as: str = "hex"
     null_string_default: bool = False
-    cache: bool = False
+    codec: str = "auto"
+    rebalance: bool = False
+    env: Mapping[str, str] | None = None
 
     def start(self, messages: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         """Start the stream over messages in the Kafka row form."""
@@ -64,10 +69,11 @@ class Ingest:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Route one micro-batch.
 
-        The first write counts what the others have to do. A batch without failed and
-        late messages, the usual one, is read and decoded once; otherwise each further
-        write reads it again, unless ``cache`` keeps the decoded batch. Should the source
-        no longer have all of it then, the progress row says how many rows were ``lost``.
+        The batch is read and decoded once and kept on the executors, in memory or on
+        their disks. It is counted first, by an action of its own, as a write that a
+        transaction log already has runs nothing. Kept rows of a lost executor are read
+        again, and the source may no longer have them (``failOnDataLoss=false``): the batch
+        is counted again after the writes, and if rows are gone, it fails and stays uncommitted.
         """
         started = time.monotonic()
         spark = batch.sparkSession
@@ -75,25 +81,23 @@ class Ingest:
         routed = self._routed(batch, before)
         partitions = ["dt"] if "_event_time" in routed.columns else []
         good, late = F.col("error").isNull(), F.col("_late")
-        if self.cache:
-            routed.persist(StorageLevel.MEMORY_AND_DISK)
+        routed.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            seen = Observation()
-            counted = routed.observe(seen, *self._counts(bool(partitions)))
-            self._append(counted.filter(good & ~late), self.table, batch_id, partitions)
-            counts, lost = seen.get, 0
+            counts = self._count(routed, bool(partitions))
+            self._append(routed.filter(good & ~late), self.table, batch_id, partitions)
             if self._due(spark, self.dead_letters, batch_id, counts["bad"]):
-                written = self._again(routed.filter(~good), self._write_letters, batch_id)
-                lost += counts["bad"] - written
+                self._write_letters(routed.filter(~good), batch_id)
             if self._due(spark, self.late, batch_id, counts["late"]):
-                written = self._again(routed.filter(good & late), self._write_late, batch_id)
-                lost += counts["late"] - written
+                self._append(routed.filter(good & late), self.late, batch_id, ["dt"])
+            now = self._count(routed, bool(partitions))
         finally:
-            if self.cache:
-                routed.unpersist()
-        if lost:
-            logger.warning("batch %d: the source lost %d rows before they were written", batch_id, lost)
-        self._record(spark, batch_id, counts | {"lost": lost}, before, time.monotonic() - started)
+            routed.unpersist()
+        if now != counts:
+            raise RowsLost(f"batch {batch_id} had {counts} before it was written and {now} after")
+        self._record(spark, batch_id, counts, before, time.monotonic() - started)
+
+    def _count(self, routed: DataFrame, timed: bool) -> dict:
+        return routed.agg(*self._counts(timed)).first().asDict()
 
     @staticmethod
     def _counts(timed: bool) -> list:
@@ -112,13 +116,6 @@ class Ingest:
         """
         return rows > 0 or (folder is not None and has_batch(spark, folder, batch_id))
 
-    @staticmethod
-    def _again(rows: DataFrame, write: Callable, batch_id: int) -> int:
-        """Write a further part of the batch; gives the rows that its source still had."""
-        seen = Observation()
-        write(rows.observe(seen, F.count(F.lit(1)).alias("rows")), batch_id)
-        return seen.get["rows"]
-
     def _write_letters(self, rows: DataFrame, batch_id: int) -> None:
         write_dlq(
             rows,
@@ -128,15 +125,13 @@ class Ingest:
             raw_as=self.dlq_raw_as,
             folder=self.dead_letters,
             batch_id=batch_id,
+            env=self.env,
         )
 
-    def _write_late(self, rows: DataFrame, batch_id: int) -> None:
-        self._append(rows, self.late, batch_id, ["dt"])
-
     def _routed(self, batch: DataFrame, before) -> DataFrame:
         schemas = self.schemas() if callable(self.schemas) else self.schemas
         decoded = decode_avro(
-            batch, schemas, self.reader, null_string_default=self.null_string_default
+            batch, schemas, self.reader, null_string_default=self.null_string_default, codec=self.codec
         )
         late = F.lit(False)
         if self.timestamp_field in decoded.schema["data"].dataType.names:
@@ -154,7 +149,9 @@ class Ingest:
         records = flatten(rows, keep_kafka=self.keep_kafka)
         if partitions:
             records = with_dt(records)
-        write_batch(records, path, batch_id, fmt=self.fmt, partition_by=partitions)
+        write_batch(
+            records, path, batch_id, fmt=self.fmt, partition_by=partitions, rebalance=self.rebalance
+        )
 
     def _record(self, spark, batch_id: int, counts: dict, before, seconds: float) -> None:
         newest = max((t for t in (before, counts["newest"]) if t is not None), default=None)
@@ -164,7 +161,6 @@ class Ingest:
             "good": F.lit(good).cast("long"),
             "bad": F.lit(counts["bad"]).cast("long"),
             "late": F.lit(counts["late"]).cast("long"),
-            "lost": F.lit(counts["lost"]).cast("long"),
             "max_seen": F.timestamp_micros(F.lit(newest).cast("long")),
             "seconds": F.lit(seconds),
         }

@@ -14,6 +14,13 @@ Kafka and security variables are those of ``kafka_options``. Besides them:
 ``DLQ_PATH``              dead-letter topic folder (default: the Kafka topic)
 ``LATE_PATH``             table for late rows (default: they stay in the lake table)
 ``WATERMARK_DELAY``       when a row counts as late (default ``24 hours``)
+``DLQ_FORM``              ``json`` (default) or ``avro``
+``DLQ_SUBJECT``           subject of the Avro letters' schema in the schema table (default:
+                          ``<dead-letter topic>-value``); ``DLQ_SCHEMA_ID`` overrides its id
+``CODEC``                 ``auto`` (default), ``arrow`` or ``spark-avro``
+``REBALANCE``             ``true`` to bring the rows of a date together before a write
+``SINK_MODE``             ``batches`` (default), or ``append``: a plain append stream with a
+                          watermark of ``WATERMARK_DELAY``, without letters and progress
 ``TRIGGER_SEC``           seconds between batches (default 5); 0 reads what is there and ends
 ========================  ==============================================================
 """
@@ -28,12 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.records import DLQ_TOPIC
-from ..operators.late import DEFAULT_DELAY
+from ..operators.late import DEFAULT_DELAY, with_watermark
+from ..plans.bronze import bronze
 from ..sources.events import read_events
-from ..sources.schemas import latest_schemas, subject_name
+from ..sources.schemas import latest_schema, latest_schemas, subject_name
 from ..sources.settings import DEFAULT_TOPIC, kafka_options, session_conf
 from .ingest import Ingest
-from .sinks import CHECKPOINT_IN_TABLE
+from .sinks import CHECKPOINT_IN_TABLE, write_stream
 
 
 def subject_schemas(spark: SparkSession, env: Mapping[str, str]) -> DataFrame:
@@ -47,6 +55,17 @@ def subject_schemas(spark: SparkSession, env: Mapping[str, str]) -> DataFrame:
     return spark.read.parquet(env["SCHEMA_TABLE"]).filter(F.col("subject") == subject)
 
 
+def letter_schema_id(spark: SparkSession, env: Mapping[str, str]) -> int:
+    """The id under which Avro letters are written: the newest of their subject."""
+    if env.get("DLQ_SCHEMA_ID"):
+        return int(env["DLQ_SCHEMA_ID"])
+    subject = env.get("DLQ_SUBJECT", f"{env.get('TOPIC_NAME_DLQ', DLQ_TOPIC)}-value")
+    newest = latest_schema(spark.read.parquet(env["SCHEMA_TABLE"]), subject).first()
+    if newest is None or newest["schema_id"] is None:
+        raise ValueError(f"the schema table has no id for {subject}; set DLQ_SUBJECT or DLQ_SCHEMA_ID")
+    return newest["schema_id"]
+
+
 def start(spark: SparkSession, env: Mapping[str, str] | None = None) -> StreamingQuery:
     """Start the stream: every version is read, the newest one is what is written."""
     env = os.environ if env is None else env
@@ -54,6 +73,8 @@ def start(spark: SparkSession, env: Mapping[str, str] | None = None) -> Streamin
     if newest is None:
         raise ValueError(f"the schema table has no version for topic {env.get('TOPIC_NAME', DEFAULT_TOPIC)}")
     table = env["SINK_PATH"].rstrip("/")
+    form, codec = env.get("DLQ_FORM", "json"), env.get("CODEC", "auto")
+    delay = env.get("WATERMARK_DELAY", DEFAULT_DELAY)
     ingest = Ingest(
         lambda: subject_schemas(spark, env),
         table,
@@ -61,15 +82,31 @@ def start(spark: SparkSession, env: Mapping[str, str] | None = None) -> Streamin
         env.get("PROGRESS_PATH", f"{table}-progress"),
         reader=newest["schema_json"],
         late=env.get("LATE_PATH"),
-        delay=env.get("WATERMARK_DELAY", DEFAULT_DELAY),
+        delay=delay,
         dlq_topic=env.get("TOPIC_NAME_DLQ", DLQ_TOPIC),
+        dlq_form=form,
+        dlq_schema_id=letter_schema_id(spark, env) if form == "avro" else 1,
+        codec=codec,
+        rebalance=env.get("REBALANCE", "false") == "true",
+        env=env,
     )
     source = env.get("SOURCE", "kafka")
     options = kafka_options(env) if source == "kafka" else None
     seconds = int(env.get("TRIGGER_SEC", "5"))
     trigger = {"processingTime": f"{seconds} seconds"} if seconds else {"availableNow": True}
     checkpoint = env.get("CHK_PATH", f"{table}/{CHECKPOINT_IN_TABLE}")
-    return ingest.start(read_events(spark, source, options), checkpoint, trigger)
+    messages = read_events(spark, source, options)
+    if env.get("SINK_MODE", "batches") == "append":
+        rows, _ = bronze(messages, subject_schemas(spark, env), newest["schema_json"], codec=codec)
+        timed = "event_time" in rows.columns
+        return write_stream(
+            with_watermark(rows, delay) if timed else rows,
+            table,
+            checkpoint,
+            partition_by=["dt"] if timed else [],
+            trigger=trigger,
+        )
+    return ingest.start(messages, checkpoint, trigger)
 
 
 def main() -> None:

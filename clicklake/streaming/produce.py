@@ -9,7 +9,7 @@ from ..operators.codec import encode_avro
 from ..operators.deadletter import json_bytes
 from ..operators.keys import to_kafka_rows
 from ..operators.routing import require_record
-from .sinks import topic_rows, write_batch, write_kafka
+from .sinks import has_batch, topic_rows, write_batch, write_kafka
 
 
 def produce(
@@ -39,7 +39,8 @@ def produce(
     fits = F.col("encode_error").isNull()
     _send(to_kafka_rows(counted.filter(fits), key), topic, folder, batch_id)
     counts = seen.get
-    if counts["misfits"]:
+    again = dlq_folder is not None and batch_id is not None and has_batch(records.sparkSession, dlq_folder, batch_id)
+    if counts["misfits"] or again:  # letters of an earlier try are replaced, if only by none
         value = json_bytes(encoded, records.columns).alias("value")
         letters = encoded.filter(~fits).select(F.lit(None).cast("binary").alias("key"), value)
         _send(letters, dlq_topic, dlq_folder, batch_id)

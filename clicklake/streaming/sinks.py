@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,7 @@ from ..functions.records import DLQ_TOPIC
 from ..operators.deadletter import dlq_messages
 from ..operators.keys import TOPIC_PARTITIONS
 from ..sources.events import KAFKA_SCHEMA
-from ..sources.lake import batch_folder, stream_id
+from ..sources.lake import batch_folder, read_table, stream_id
 from ..sources.settings import kafka_options, table_format
 
 CHECKPOINT_IN_TABLE = "_checkpoints/streaming-queries"
@@ -71,9 +71,11 @@ def run_batches(
     return writer.start()
 
 
-def await_end(query: StreamingQuery, timeout: float) -> None:
-    """Wait for a stream; stop it and raise when it has not ended in time."""
-    if not query.awaitTermination(timeout):
+def await_end(query: StreamingQuery, timeout: float | None = None) -> None:
+    """Wait for a stream; with a ``timeout``, stop it and raise when it has not ended in time."""
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"the stream did not end within {timeout} seconds")
 
@@ -98,6 +100,25 @@ def write_table(
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def compact(spark: SparkSession, path: str, target: str, until: str, by: str = "dt") -> None:
+    """Rewrite the closed days of a batch table, those before ``until``, into few files.
+
+    ``target`` has a folder per day, each written whole and replaced if it is written again;
+    days without rows stay as they are. What ``path`` has of these days is left there, so
+    read the two by :func:`read_compacted`.
+    """
+    closed = read_table(spark, path, "parquet").filter(F.col(by) < F.lit(until).cast("date"))
+    writer = closed.hint("rebalance", by).write.mode("overwrite").partitionBy(by)
+    writer.option("partitionOverwriteMode", "dynamic").parquet(target)
+
+
+def read_compacted(spark: SparkSession, path: str, target: str, until: str, by: str = "dt") -> DataFrame:
+    """The days before ``until`` from the compacted table, and the others from the batches."""
+    limit = F.lit(until).cast("date")
+    newer = read_table(spark, path, "parquet").filter(F.col(by) >= limit)
+    return read_table(spark, target, "parquet").filter(F.col(by) < limit).unionByName(newer, allowMissingColumns=True)
+
+
 def write_batch(
     df: DataFrame,
     path: str,
@@ -105,14 +126,18 @@ def write_batch(
     *,
     fmt: str | None = None,
     partition_by: Sequence[str] = (),
+    rebalance: bool = False,
 ) -> None:
     """Write one micro-batch of a stream so that writing it again changes nothing.
 
     A file table has a folder per stream and batch, which a retry overwrites; Delta skips
-    a batch that its transaction log already has.
+    a batch that its transaction log already has. A skipped write runs nothing, so counts
+    must not be taken from it. ``rebalance`` is that of :func:`write_table`.
     """
     spark = df.sparkSession
     fmt = fmt or table_format(spark)
+    if rebalance and partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -158,6 +183,18 @@ def topic_rows(df: DataFrame, topic: str | None = None, n: int = TOPIC_PARTITION
     )
 
 
+def sink_options(
+    topic: str, options: Mapping[str, str] | None = None, env: Mapping[str, str] | None = None
+) -> dict[str, str]:
+    """The options of a Kafka sink: the connection of ``env``, the topic, and further ones."""
+    connection = {
+        key: text
+        for key, text in kafka_options(env).items()
+        if key.startswith("kafka.") and key != "kafka.client.id"
+    }
+    return connection | {"topic": topic} | dict(options or {})
+
+
 def write_kafka(
     df: DataFrame,
     topic: str,
@@ -166,11 +203,13 @@ def write_kafka(
     options: dict[str, str] | None = None,
     checkpoint: str | None = None,
     trigger: dict | None = None,
+    env: Mapping[str, str] | None = None,
 ) -> StreamingQuery | None:
     """Append keyed messages to a topic: Kafka, or a topic folder when one is given.
 
-    A streaming frame needs a checkpoint and gives back its query. ``options`` are passed
-    through, so ``kafka.*`` sets batching, compression and idempotence of the client.
+    A streaming frame needs a checkpoint and gives back its query. The connection is that
+    of ``env`` (the process's environment by default). ``options`` are passed through, so
+    ``kafka.*`` sets batching, compression and idempotence of the client.
     """
     if df.isStreaming and checkpoint is None:
         raise ValueError("a streaming topic sink needs a checkpoint")
@@ -183,12 +222,7 @@ def write_kafka(
             return run_batches(df, append, checkpoint, trigger)
         topic_rows(df, topic).write.mode("append").parquet(folder)
         return None
-    connection = {
-        key: text
-        for key, text in kafka_options().items()
-        if key.startswith("kafka.") and key != "kafka.client.id"
-    }
-    chosen = connection | {"topic": topic} | (options or {})
+    chosen = sink_options(topic, options, env)
     if not df.isStreaming:
         df.write.format("kafka").options(**chosen).save()
         return None
@@ -206,6 +240,7 @@ def write_dlq(
     raw_as: str = "hex",
     folder: str | None = None,
     batch_id: int | None = None,
+    env: Mapping[str, str] | None = None,
 ) -> None:
     """Send failed messages (Kafka columns and ``error``) to the dead-letter topic.
 
@@ -216,4 +251,4 @@ def write_dlq(
     if folder is not None and batch_id is not None:
         write_batch(topic_rows(letters), folder, batch_id, fmt="parquet")
     else:
-        write_kafka(letters, topic, folder=folder)
+        write_kafka(letters, topic, folder=folder, env=env)

@@ -3,11 +3,15 @@ import json
 import pytest
 from pyspark.errors import PySparkException
 
-from clicklake.functions.records import CLICK_STREAM_V1, USER_EVENT_V1, USER_EVENT_V3
+from clicklake.functions.records import CLICK_STREAM_V1, DLQ_V1, USER_EVENT_V1, USER_EVENT_V3
+from clicklake.operators import codec
 from clicklake.operators.codec import decode_avro, encode_avro
 from clicklake.sources.events import read_events
-from clicklake.sources.lake import read_table
+from clicklake.operators.late import with_watermark
+from clicklake.sources.lake import as_stream, read_table
 from clicklake.sources.schemas import SCHEMA_TABLE
+from clicklake.streaming import ingest as ingest_module
+from clicklake.streaming import job
 from clicklake.streaming.job import start
 from clicklake.streaming.produce import produce
 from clicklake.streaming.sinks import await_end, run_batches, write_kafka
@@ -86,3 +90,59 @@ def test_message_kafka_sink_needs_its_connector(spark):
     rows = encode_avro(spark.createDataFrame([CLICK], DDL), CLICK_STREAM_V1, 7)
     with pytest.raises(Exception, match="(?i)kafka"):
         write_kafka(rows.select("value"), "clicks")
+
+
+def test_job_options_reach_the_sinks(spark, tmp_path, monkeypatch):
+    schemas = [
+        ("users-value", 1, 101, USER_EVENT_V1),
+        ("letters-value", 1, 40, DLQ_V1),
+        ("letters-value", 2, 41, DLQ_V1),
+    ]
+    spark.createDataFrame(schemas, SCHEMA_TABLE).write.parquet(f"{tmp_path}/schemas")
+    values = [(samples.framed(samples.USER_EVENT_BODY, 101),), (b"broken",)]
+    write_kafka(spark.createDataFrame(values, "value binary"), "users", folder=f"{tmp_path}/topic")
+    env = {
+        "SOURCE": f"{tmp_path}/topic",
+        "TOPIC_NAME": "users",
+        "TOPIC_NAME_DLQ": "letters",
+        "DLQ_FORM": "avro",
+        "SCHEMA_TABLE": f"{tmp_path}/schemas",
+        "SINK_PATH": f"{tmp_path}/table",
+        "DLQ_PATH": f"{tmp_path}/dead",
+        "REBALANCE": "true",
+        "BOOTSTRAP_SERVERS": "broker:1",
+        "TRIGGER_SEC": "0",
+    }
+    sent = []
+    monkeypatch.setattr(ingest_module, "write_dlq", lambda rows, form, **options: sent.append((form, options)))
+    await_end(start(spark, env), 120)
+    ((form, options),) = sent
+    assert form == "avro" and options["writer_id"] == 41 and options["env"] is env
+    assert job.letter_schema_id(spark, env | {"DLQ_SCHEMA_ID": "5"}) == 5
+    with pytest.raises(ValueError, match="no id for x"):
+        job.letter_schema_id(spark, env | {"DLQ_SUBJECT": "x"})
+    appended = env | {"SINK_MODE": "append", "SINK_PATH": f"{tmp_path}/appended", "WATERMARK_DELAY": "7 minutes"}
+    delays = []
+    monkeypatch.setattr(job, "with_watermark", lambda rows, delay: delays.append(delay) or with_watermark(rows, delay))
+    await_end(start(spark, appended), 120)
+    assert delays == ["7 minutes"]
+    assert read_table(spark, f"{tmp_path}/appended").count() == 1
+
+
+def test_choice_of_the_codec(spark, monkeypatch):
+    assert not codec.has_spark_avro(spark) and codec.chosen_codec(spark, "auto") == "arrow"
+    monkeypatch.setattr(codec, "has_spark_avro", lambda session: True)
+    assert codec.chosen_codec(spark, "auto") == "spark-avro"
+    assert codec.chosen_codec(spark, "arrow") == "arrow"
+    with pytest.raises(ValueError, match="unknown codec"):
+        codec.chosen_codec(spark, "other")
+
+
+def test_second_try_of_produce_replaces_old_letters(spark, tmp_path):
+    places = {"folder": f"{tmp_path}/topic", "dlq_folder": f"{tmp_path}/dead", "batch_id": 0}
+    names = {"topic": "clicks", "dlq_topic": "dead"}
+    with as_stream(spark, "own"):
+        for url, letters in ((None, 1), ("/a", 0)):
+            rows = spark.createDataFrame([(*CLICK[:3], url, *CLICK[4:])], DDL)
+            assert produce(rows, CLICK_STREAM_V1, 7, **names, **places)["dead_letters"] == letters
+            assert read_events(spark, f"{tmp_path}/dead", streaming=False).count() == letters

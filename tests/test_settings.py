@@ -1,9 +1,11 @@
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 
 from clicklake.sources.events import read_events
-from clicklake.sources.lake import shared_folder
+from clicklake.sources.lake import shared_base, shared_folder
+from clicklake.streaming.sinks import sink_options
 from clicklake.sources.settings import kafka_options, session_conf, table_format
 
 
@@ -75,9 +77,23 @@ def session(setting, master="yarn", context_dir=None):
 
 
 def test_shared_folder_comes_from_the_session(spark):
-    first, second = shared_folder(session("hdfs://shared/dir/"), "x"), shared_folder(session("hdfs://shared/dir/"), "x")
-    assert first.startswith("hdfs://shared/dir/clicklake/x-") and first != second
-    assert shared_folder(session(None, context_dir="hdfs://c"), "x").startswith("hdfs://c/clicklake/x-")
+    assert shared_base(session("hdfs://shared/dir/")) == "hdfs://shared/dir/"
+    assert shared_base(session(None, context_dir="hdfs://c")) == "hdfs://c"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(session(None), "x")
-    assert "/clicklake/x-" in shared_folder(spark, "x")
+        shared_base(session(None))
+    with pytest.raises(ValueError, match="local file system"):
+        shared_base(session("file:///tmp/shared"))
+    assert shared_base(session("file:///tmp/shared", master="local-cluster[2,1,1024]")) == "file:///tmp/shared"
+    first, second = shared_folder(spark, "x"), shared_folder(spark, "x")
+    assert "/clicklake/" in first and first != second and Path(first).parent == Path(second).parent
+    assert Path(first).parent.is_dir()
+
+
+def test_log_store_is_a_choice():
+    assert "spark.delta.logStore.class" not in session_conf({"TABLE_FORMAT": "delta"})
+    assert session_conf({"TABLE_FORMAT": "delta", "DELTA_LOG_STORE": "x.Y"})["spark.delta.logStore.class"] == "x.Y"
+
+
+def test_sinks_use_the_connection_of_their_job():
+    options = sink_options("dead", {"kafka.acks": "all"}, {"BOOTSTRAP_SERVERS": "broker:1", "SECURITY_PROTOCOL": "SSL"})
+    assert options == {"kafka.bootstrap.servers": "broker:1", "kafka.security.protocol": "SSL", "topic": "dead", "kafka.acks": "all"}

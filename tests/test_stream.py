@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,11 +9,11 @@ from clicklake.operators.codec import decode_avro, encode_avro, flatten
 from clicklake.operators.late import split_late, with_watermark
 from clicklake.plans.bronze import bronze
 from clicklake.sources.events import KAFKA_SCHEMA, read_events
-from clicklake.sources.lake import read_table
+from clicklake.sources.lake import as_stream, read_table, stream_id
 from clicklake.streaming import ingest as ingest_module
-from clicklake.streaming.ingest import Ingest, newest_before, read_progress
+from clicklake.streaming.ingest import Ingest, RowsLost, newest_before, read_progress
 from clicklake.streaming.progress import EventTotal, counted, progress_table
-from clicklake.streaming.sinks import await_end, topic_rows, write_dlq, write_kafka, write_stream, write_table
+from clicklake.streaming.sinks import await_end, compact, read_compacted, topic_rows, write_dlq, write_kafka, write_stream, write_table
 
 from . import samples
 
@@ -118,10 +119,12 @@ def test_second_try_replaces_letters_whose_schema_came_in_between(spark, tmp_pat
     ingest = make(tmp_path)
     batch = topic_rows(spark.createDataFrame([(samples.framed(samples.CLICK_BODY),)], "value binary"), "t")
     ingest.schemas = {8: CLICK_STREAM_V1}
-    ingest.process(batch, 0)
+    with as_stream(spark, "own"):
+        ingest.process(batch, 0)
     assert read_events(spark, ingest.dead_letters, streaming=False).count() == 1
     ingest.schemas = SCHEMAS
-    ingest.process(batch, 0)
+    with as_stream(spark, "own"):
+        ingest.process(batch, 0)
     assert read_events(spark, ingest.dead_letters, streaming=False).count() == 0
     assert read_table(spark, ingest.table).count() == 1
 
@@ -167,28 +170,90 @@ def test_late_rows_are_split_off_only_on_request(spark, tmp_path):
 def test_newest_time_survives_a_missing_progress_row(spark, tmp_path):
     base = str(tmp_path / "progress")
     assert newest_before(spark, base, 0) is None
-    assert newest_before(spark, base, 3) is None
-    counts = {"events": 1, "bad": 0, "late": 0, "lost": 0, "newest": 1704067200000000}
-    make(tmp_path)._record(spark, 1, counts, None, 0.1)
-    assert str(read_progress(spark, base).first().max_seen) == "2024-01-01 00:00:00"
-    assert newest_before(spark, base, 2) == 1704067200000000
-    assert newest_before(spark, base, 7) == 1704067200000000
-    assert newest_before(spark, base, 1) is None
-
-
-@pytest.mark.parametrize("cache", [False, True])
-def test_rows_that_the_source_loses_between_the_writes_are_counted(spark, tmp_path, monkeypatch, cache):
-    ingest, again = make(tmp_path, cache=cache), Ingest._again
+    with as_stream(spark, "own"):
+        assert newest_before(spark, base, 3) is None
+    counts = {"events": 1, "bad": 0, "late": 0, "newest": 1704067200000000}
+    with as_stream(spark, "own"):
+        make(tmp_path)._record(spark, 1, counts, None, 0.1)
+        assert str(read_progress(spark, base).first().max_seen) == "2024-01-01 00:00:00"
+        assert newest_before(spark, base, 2) == 1704067200000000
+        assert newest_before(spark, base, 7) == 1704067200000000
+        assert newest_before(spark, base, 1) is None
+
+
+def test_a_batch_whose_rows_the_source_loses_is_not_committed(spark, tmp_path, monkeypatch):
+    ingest, count = make(tmp_path), Ingest._count
     values = [(b"x",), (b"y",), (samples.framed(samples.CLICK_BODY),)]
     batch = spark.createDataFrame(values, "value binary").transform(full_rows)
-    ingest.process(batch, 0)
-    shorter = staticmethod(lambda rows, write, batch_id: again(rows.limit(1), write, batch_id))
-    monkeypatch.setattr(Ingest, "_again", shorter)
-    ingest.process(batch, 1)
-    progress = read_progress(spark, ingest.progress).orderBy("batch_id").collect()
-    assert [(r.good, r.bad, r.lost) for r in progress] == [(1, 2, 0), (1, 2, 1)]
+    calls = []
+
+    def shorter(self, routed, timed):
+        calls.append(1)
+        return count(self, routed.limit(2) if len(calls) == 4 else routed, timed)
+
+    monkeypatch.setattr(Ingest, "_count", shorter)
+    with as_stream(spark, "own"):
+        ingest.process(batch, 0)
+        with pytest.raises(RowsLost):
+            ingest.process(batch, 1)
+        progress = read_progress(spark, ingest.progress)
+        assert [(r.batch_id, r.good, r.bad) for r in progress.collect()] == [(0, 1, 2)]
+        ingest.process(batch, 1)
     assert read_table(spark, ingest.table).count() == 2
-    assert read_events(spark, ingest.dead_letters, streaming=False).count() == 3
+    assert read_events(spark, ingest.dead_letters, streaming=False).count() == 4
+    assert [(r.good, r.bad) for r in read_progress(spark, ingest.progress).collect()] == [(1, 2)] * 2
+
+
+def test_a_batch_is_read_and_decoded_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for rows in batches:
+            read.add(rows.num_rows)
+            yield rows
+
+    values = [(b"x",), (samples.framed(samples.CLICK_BODY),)] * 3
+    batch = spark.createDataFrame(values, "value binary").coalesce(1).mapInArrow(seen, "value binary")
+    with as_stream(spark, "own"):
+        make(tmp_path, late=f"{tmp_path}/late").process(full_rows(batch), 0)
+    assert read.value == 6
+
+
+def test_a_write_that_a_transaction_log_skips_does_not_block(spark, tmp_path, monkeypatch):
+    ingest = make(tmp_path)
+    write = ingest_module.write_batch
+    skips = lambda df, path, *a, **k: None if path == ingest.table else write(df, path, *a, **k)
+    monkeypatch.setattr(ingest_module, "write_batch", skips)
+    batch = full_rows(spark.createDataFrame([(b"x",), (samples.framed(samples.CLICK_BODY),)], "value binary"))
+    with as_stream(spark, "own"):
+        ingest.process(batch, 0)
+    assert [(r.events, r.good, r.bad) for r in read_progress(spark, ingest.progress).collect()] == [(2, 1, 1)]
+
+
+def test_a_batch_without_a_stream_id_is_refused(spark, tmp_path):
+    batch = full_rows(spark.createDataFrame([(b"x",)], "value binary"))
+    with pytest.raises(ValueError, match="no stream id"):
+        make(tmp_path).process(batch, 0)
+    with as_stream(spark, "one"):
+        assert stream_id(spark) == "one"
+    with pytest.raises(ValueError, match="PYSPARK_PIN_THREAD"):
+        stream_id(spark)
+
+
+def test_closed_days_are_compacted(spark, tmp_path, plan_of):
+    folder, ingest = str(tmp_path / "topic"), make(tmp_path)
+    for n in range(6):
+        add_file(spark, folder, [(f"e{n}{d}", f"2024-01-0{d}T00:00:00") for d in range(1, 5)])
+    run(spark, ingest, folder, tmp_path)
+    target = str(tmp_path / "days")
+    for _ in range(2):
+        compact(spark, ingest.table, target, "2024-01-04")
+    files = lambda path: len(list(Path(path).rglob("*.parquet")))
+    assert files(ingest.table) == 24 and files(target) == 3
+    whole = read_compacted(spark, ingest.table, target, "2024-01-04")
+    assert sorted(r.event_id for r in whole.collect()) == sorted(f"e{n}{d}" for n in range(6) for d in range(1, 5))
+    day = whole.filter("dt = DATE'2024-01-02'")
+    assert day.count() == 6 and "PartitionFilters: [isnotnull(dt" in plan_of(day, "simple")
 
 
 def full_rows(df):
@@ -226,7 +291,8 @@ def test_table_of_a_grown_record_shows_all_columns(spark, tmp_path):
     ):
         ingest.schemas, ingest.reader = versions, versions[writer_id]
         rows = spark.createDataFrame([(samples.framed(body, writer_id),)], "value binary")
-        ingest.process(topic_rows(rows, "t"), batch_id)
+        with as_stream(spark, "own"):
+            ingest.process(topic_rows(rows, "t"), batch_id)
     table = read_table(spark, ingest.table, merge_schema=True)
     assert {r.user_process for r in table.collect()} == {None, "bypass-process"}
 

@@ -23,6 +23,11 @@ def test_running_totals_over_months_and_unknown_dates(spark):
 
 
 def test_totals_of_batches(spark):
+    streams = [("a", 0, 2), ("a", 1, 3), ("b", 0, 10), ("b", 1, 1)]
+    apart = ingest_totals(spark.createDataFrame(streams, "query_id string, batch_id long, events long"))
+    assert sorted((r.query_id, r.batch_id, r.total_events) for r in apart.collect()) == [
+        ("a", 0, 2), ("a", 1, 5), ("b", 0, 10), ("b", 1, 11)
+    ]
     progress = spark.createDataFrame([(0, 2, 1.0), (0, 3, 0.5), (2, 4, 1.0), (1, 0, 0.5)], "batch_id long, events long, seconds double")
     totals = ingest_totals(progress).orderBy("batch_id").collect()
     assert [r.total_events for r in totals] == [5, 5, 9]
