@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, mixing, neighbours, packing, quality, secrets, sharding, substrings
+from . import chat, jaccard, mixing, neighbours, packing, quality, secrets, sharding, substrings, tokens
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_substrings": substrings.op4_substrings,
     "op5_mixing": mixing.op5_mixing,
     "op6_quality": quality.op6_quality,
+    "op7_tokens": tokens.op7_tokens,
     "op8_sharding": sharding.op8_sharding,
     "op10_jaccard": jaccard.op10_jaccard,
     "op9_neighbours": neighbours.op9_neighbours,
