@@ -44,7 +44,7 @@ KEY_BYTES = 16
 @functools.cache
 def difference_cover(period: int) -> tuple[int, ...]:
     """The smallest set, first in order, whose differences are all numbers modulo ``period``."""
-    for size in itertools.count(1):
+    for size in itertools.count():
         for rest in itertools.combinations(range(1, period), size):
             places = (0, *rest)
             if len({(a - b) % period for a in places for b in places}) == period:
