@@ -10,11 +10,14 @@ PROGRESS_SCHEMA = "batch_id long, events long, delivered long, seconds double"
 TOTAL = "clicklake_events"
 
 
-def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+def progress_table(
+    spark: SparkSession, query: StreamingQuery, counts: DataFrame | None = None
+) -> DataFrame:
     """One row per recent batch of a query: rows read, rows delivered, seconds.
 
-    Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` batches; a sink
-    that does not count its rows reports -1 delivered, which is NULL here.
+    Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` batches. A sink
+    that does not count its rows reports -1 delivered, which is NULL here; with ``counts``,
+    the progress table of an ``Ingest``, its good rows stand there instead.
     """
     rows = []
     for update in query.recentProgress:
@@ -27,7 +30,12 @@ def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
                 update.batchDuration / 1000.0,
             )
         )
-    return spark.createDataFrame(rows, PROGRESS_SCHEMA)
+    recent = spark.createDataFrame(rows, PROGRESS_SCHEMA)
+    if counts is None:
+        return recent
+    own = counts.filter(F.col("query_id") == str(query.id)).select("batch_id", "good")
+    delivered = F.coalesce("delivered", "good").alias("delivered")
+    return recent.join(own, "batch_id", "left").select("batch_id", "events", delivered, "seconds")
 
 
 def counted(df: DataFrame) -> DataFrame:

@@ -82,7 +82,9 @@ def test_append_stream_is_rate_limited_partitioned_and_restartable(spark, topic,
 
 def test_ingest_routes_each_message_once(spark, topic, tmp_path):
     ingest = make(tmp_path)
-    run(spark, ingest, topic, tmp_path)
+    stream = run(spark, ingest, topic, tmp_path)
+    told = progress_table(spark, stream, read_progress(spark, ingest.progress)).filter("events > 0")
+    assert [tuple(r) for r in told.orderBy("batch_id").select("events", "delivered").collect()] == [(4, 3), (3, 3)] * 2
     run(spark, ingest, topic, tmp_path)
     table = read_table(spark, ingest.table)
     assert table.count() == 12 and set(table.columns) == {*samples.CLICK, "event_time", "dt"}
