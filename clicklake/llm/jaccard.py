@@ -26,8 +26,8 @@ from .components import components
 WIDTH = 5
 PERCENT = 75
 ROWS_AT_ONCE = 2048
-# Cells that count tokens: what they say orders tokens, and goes to every task (4 MB).
-CELLS, SLICES = 2**20, 16
+# Cells that count tokens: what they say orders tokens, and goes to every task (8 MB).
+CELLS, SLICES = 2**21, 16
 MEMBERS, QUERIES = 512, 2048
 
 _ONE, _TWO, _PRIME = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -302,38 +302,49 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
             classes = batch.column("_class").to_pylist()
             rows = [n for n, s in enumerate(sets) if len(s) and digest(s) == classes[n]]
             blobs = [sets[n].astype("<u8").tobytes() for n in rows]
-            made = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("_class", "_group")]
-            yield pa.RecordBatch.from_arrays([*made, pa.array(blobs, pa.binary())], ["_class", "_group", "_tokens"])
+            names = ("_class", "_group", "_size")
+            made = [batch.column(c).take(pa.array(rows, pa.int64())) for c in names]
+            yield pa.RecordBatch.from_arrays([*made, pa.array(blobs, pa.binary())], [*names, "_tokens"])
 
     signed = stored(read.mapInArrow(sign, f"_id {kind}, _size long, _class binary, _group long"), "jaccard-sets")
-    classes = signed.filter("_class IS NOT NULL").groupBy("_class").agg(F.min("_id").alias("_first"), F.first("_group").alias("_group"))
+    of_class = [F.min("_id").alias("_first"), F.first("_group").alias("_group"), F.first("_size").alias("_size")]
+    classes = signed.filter("_class IS NOT NULL").groupBy("_class").agg(*of_class)
     classes = stored(classes, "jaccard-classes")
     # The token-group matrix, by token; rows of a single group can bring nothing together.
     matrix = read.select("_text").mapInArrow(tell, "_token long, _group long").groupBy("_token").agg(F.collect_set("_group").alias("_groups"))
     shared = matrix.filter(F.size("_groups") > 1).select(F.array_sort("_groups").alias("_groups")).distinct()
     ones = shared.select(F.explode("_groups").alias("_one"), "_groups")
     pairs = ones.select("_one", F.explode(F.filter("_groups", lambda g: g > F.col("_one"))).alias("_other"))
-    sizes = classes.groupBy("_group").agg(F.count(F.lit(1)).alias("_count"), F.min("_class").alias("_pivot"))
-    sizes = stored(sizes, "jaccard-groups")
-    size_of = lambda name: sizes.select(F.col("_group").alias(name), F.col("_count").alias(f"{name}_count"))
+    facts = [F.count(F.lit(1)).alias("_count"), F.min("_class").alias("_pivot"), F.min("_size").alias("_low"), F.max("_size").alias("_high")]
+    sizes = stored(classes.groupBy("_group").agg(*facts), "jaccard-groups")
+    size_of = lambda name: sizes.select(
+        F.col("_group").alias(name), *[F.col(c).alias(name + c) for c in ("_count", "_low", "_high")]
+    )
     told = pairs.distinct().join(size_of("_one"), "_one").join(size_of("_other"), "_other")
+    # The smaller of two similar sets has that share of the larger at least.
+    fits = lambda small, large: 100 * F.col(small) >= percent * F.col(large)
+    told = told.filter(fits("_one_high", "_other_low") & fits("_other_high", "_one_low"))
     swap = F.col("_one_count") > F.col("_other_count")
     told = told.select(
         F.when(swap, F.col("_other")).otherwise(F.col("_one")).alias("_from"),
-        F.when(swap, F.col("_one")).otherwise(F.col("_other")).alias("_group"),
+        *[
+            F.when(swap, F.col(f"_one{c}")).otherwise(F.col(f"_other{c}")).alias(c or "_group")
+            for c in ("", "_low", "_high")
+        ],
     )
     told = stored(told, "jaccard-pairs")
     met = told.select("_group").unionByName(told.select(F.col("_from").alias("_group"))).distinct()
     active = met.unionByName(sizes.filter("_count > 1").select("_group")).distinct()
-    wanted = classes.join(active, "_group").select(F.col("_first"), "_class", "_group")
-    fetched = read.join(wanted, F.col("_id").eqNullSafe(F.col("_first"))).select("_text", "_class", "_group")
-    sets = fetched.mapInArrow(whole, "_class binary, _group long, _tokens binary")
+    wanted = classes.join(active, "_group").select("_first", "_class", "_group", "_size")
+    fetched = read.join(wanted, F.col("_id").eqNullSafe(F.col("_first"))).select("_text", "_class", "_group", "_size")
+    sets = fetched.mapInArrow(whole, "_class binary, _group long, _size long, _tokens binary")
     # Repeated rows give a class several times; equal sets in a group do no harm.
     sets = stored(sets, "jaccard-tokens")
     blocks = sizes.select("_group", F.ceil(F.col("_count") / MEMBERS).alias("_blocks"), "_pivot")
     many = blocks.filter("_blocks > 1")
     pivots = sets.join(many.select("_group", F.col("_pivot").alias("_class")), ["_group", "_class"]).dropDuplicates(["_group", "_class"])
     asking = sets.withColumnRenamed("_group", "_from").join(told, "_from").withColumn("_kind", F.lit(1))
+    asking = asking.filter(fits("_high", "_size") & fits("_size", "_low"))
     columns = ["_group", "_class", "_kind", "_tokens"]
     queries = asking.select(columns).unionByName(pivots.withColumn("_kind", F.lit(2)).select(columns))
     sized = blocks.drop("_pivot")
