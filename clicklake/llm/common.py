@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +19,38 @@ from ..sources.lake import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 ROWS_PER_BUCKET = 4096
+# Documents that go to Python together: texts are long, and the default is for short rows.
+ARROW_ROWS = 2000
+
+
+@functools.cache
+def _ship(context: SparkContext) -> None:
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="clicklake-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as files:
+        for module in sorted(package.rglob("*.py")):
+            files.write(module, module.relative_to(package.parent))
+    context.addPyFile(str(archive))
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, once per session, so that they need no install.
+
+    Spark sends them the archive from the driver; Python steps keep what they learn (words,
+    tables) in its modules between tasks.
+    """
+    _ship(spark.sparkContext)
+
+
+def in_small_batches(function: Callable) -> Callable:
+    """The function of a session and more, with Arrow batches of ``ARROW_ROWS`` rows in that session."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, *more):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        return function(spark, *more)
+
+    return run
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, ship_code, stored
 
 COMMON_WORDS = 64
 # A document must be at least so long to be judged by its characters, or by its words.
@@ -26,7 +26,8 @@ LEAST_CHARS, LEAST_WORDS = 200, 50
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.28, 0.5
 CLASSES = ("upper", "lower", "letter", "digit", "space", "mark", "punctuation", "symbol", "other")
 SYMBOLS = "#*$%&|<>"
-ROWS_AT_ONCE = 2048
+# Texts that are measured together, and those whose words are counted before they are sent on.
+ROWS_AT_ONCE, ROWS_COUNTED = 2048, 16384
 
 
 @functools.cache
@@ -131,23 +132,34 @@ def _texts(batch: pa.RecordBatch) -> pa.Array:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Histograms by language; words and classes are counted where they are read."""
-    for batch in batches:
+    classes: dict = {}
+    words: dict = {}
+    rows = 0
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for language, counts in classes.items():
+            parts = pa.concat_tables(words[language]).group_by("values").aggregate([("counts", "sum")])
+            names = pa.concat_arrays([pa.array(CLASSES, pa.large_string()), parts["values"].combine_chunks()])
+            numbers = pa.concat_arrays([pa.array(counts), parts["counts_sum"].combine_chunks()])
+            is_word = pa.array(np.arange(len(names)) >= len(CLASSES))
+            columns = [pa.array([language] * len(names), pa.string()), is_word, names.cast(pa.string()), numbers]
+            yield pa.RecordBatch.from_arrays(columns, ["language", "is_word", "name", "n"])
+        classes.clear()
+        words.clear()
+
+    for batch in _batches(batches):
         languages = batch.column("_language").dictionary_encode("encode")
         for code, language in enumerate(languages.dictionary.to_pylist()):
             texts = _texts(batch).filter(pc.equal(languages.indices, code))
-            classes = np.zeros(len(CLASSES), np.int64)
-            for start in range(0, len(texts), ROWS_AT_ONCE):
-                classes += char_counts(texts.slice(start, ROWS_AT_ONCE)).sum(0)
+            classes[language] = classes.get(language, 0) + char_counts(texts).sum(0)
             counted = pc.value_counts(pc.ascii_split_whitespace(texts).flatten())
-            words, numbers = counted.field("values"), counted.field("counts")
-            there = pc.greater(pc.binary_length(words), 0)
-            names = pa.concat_arrays([pa.array(CLASSES, pa.large_string()), words.filter(there)])
-            counts = pa.concat_arrays([pa.array(classes), numbers.filter(there)])
-            is_word = pa.array(np.arange(len(names)) >= len(CLASSES))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([language] * len(names), pa.string()), is_word, names.cast(pa.string()), counts],
-                ["language", "is_word", "name", "n"],
-            )
+            counted = counted.filter(pc.greater(pc.binary_length(counted.field("values")), 0))
+            words.setdefault(language, []).append(pa.Table.from_struct_array(counted))
+        rows += batch.num_rows
+        if rows >= ROWS_COUNTED:
+            yield from told()
+            rows = 0
+    yield from told()
 
 
 def references(docs: DataFrame, language: str = "lang", text: str = "text", words: int = COMMON_WORDS) -> DataFrame:
@@ -157,6 +169,7 @@ def references(docs: DataFrame, language: str = "lang", text: str = "text", word
     name null holds the rest; each class of characters has a row. Documents without a
     language are one language, null.
     """
+    ship_code(docs.sparkSession)
     read = docs.select(F.col(language).cast("string").alias("_language"), F.col(text).alias("_text"))
     counted = read.mapInArrow(_count, "language string, is_word boolean, name string, n long")
     summed = stored(counted.groupBy("language", "is_word", "name").agg(F.sum("n").alias("n")), "quality-counts")
@@ -241,6 +254,7 @@ def measured(docs: DataFrame, language: str = "lang", text: str = "text", known:
     words; it and an empty one fail the base rule. Null languages are one language. Rows
     that are alike count each; an empty table gives an empty result.
     """
+    ship_code(docs.sparkSession)
     known = histograms(references(docs, language, text)) if known is None else known
     made = [m.split()[0] for m in MEASURES.split(", ")] + ["base_failed", "kept"]
     names = [name for name in docs.columns if name not in made]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from . import chat, jaccard, mixing, neighbours, packing, quality, secrets, sharding, substrings, tokens
+from .common import in_small_batches
 
-QUERIES = {
+_FUNCTIONS = {
     "op1_chat": chat.op1_chat,
     "op2_packing": packing.op2_packing,
     "op3_secrets": secrets.op3_secrets,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_jaccard": jaccard.op10_jaccard,
     "op9_neighbours": neighbours.op9_neighbours,
 }
+QUERIES = {name: in_small_batches(function) for name, function in _FUNCTIONS.items()}
 ORACLES = {
     "op1_chat": chat.OP1_SQL,
     "op3_secrets": secrets.OP3_SQL,

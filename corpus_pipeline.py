@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clicklake.llm import jaccard, mixing, packing, quality, secrets
-from clicklake.llm.common import stored, unused
+from clicklake.llm.common import in_small_batches, stored, unused
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -67,11 +67,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality", keep_good),
-    ("near_copies", keep_first_of_copies),
+    ("quality", in_small_batches(keep_good)),
+    ("near_copies", in_small_batches(keep_first_of_copies)),
     ("secrets", hide_secrets),
     ("mixing", mix_sources),
-    ("packing", pack),
+    ("packing", in_small_batches(pack)),
 ]
 # SQL has neither the tokenizer nor the packing; tests compare the stages with brute force.
 ORACLE_SQL = None
