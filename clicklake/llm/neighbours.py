@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for
+from .common import buckets_for, ship_code
 
 NEAREST = 20
 PIVOTS = 128
@@ -142,6 +142,7 @@ def nearest(
     queries. Rows are dealt by a hash of id and vector, so equal vectors spread.
     """
     spark = vectors.sparkSession
+    ship_code(spark)
     finite = F.forall(F.col("_vector"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     asked = F.coalesce(F.expr(query), F.lit(False))
     all_rows = vectors.select(

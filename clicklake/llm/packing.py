@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, documents, stored
+from .common import buckets_for, documents, ship_code, stored
 
 LENGTH = 4096
 END = 1
@@ -127,6 +127,7 @@ def pieces(
     has one id. Ids are cut every ``length``; ``start`` counts the ids before. ``with_ids``
     adds the ids themselves.
     """
+    ship_code(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
@@ -249,6 +250,7 @@ def packed(cut: DataFrame, capacity: int = LENGTH, per_part: int = PIECES_PER_PA
     an empty result. A task holds ``per_part`` pieces, or the ``OPENED`` emptiest sequences
     of ``MERGED`` partitions; the rounds end when the whole meets its bound.
     """
+    ship_code(cut.sparkSession)
     names = [name for name in cut.columns if name not in ("sequence_id", "offset")]
     table = stored(cut.select(*names), "packing-pieces")
     spark, kinds = cut.sparkSession, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*names).schema)

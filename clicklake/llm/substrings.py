@@ -1,4 +1,4 @@
-"""Removal of byte strings that an earlier document has, by a difference-cover suffix sort.
+"""Removal of byte strings that an earlier document has, by a difference-cover sample and sorted names.
 
 Of all suffixes, those at the places of a difference cover (modulo ``period``) are sampled:
 any two equal strings of ``length`` bytes have a sampled place at the same distance from
@@ -9,6 +9,10 @@ them (those with such a place in reach) are named by all ``length`` bytes, which
 the order matters. Equal prefixes stand next to each other, and the first document of each
 run keeps it.
 
+This is not a whole suffix array: names are 64-bit hashes, not ranks, so equal strings are
+adjacent but others in no lexicographic order, and one level by all bytes takes the place
+of a recursion on names.
+
 Documents are put together in chunks, similar ones in the same; within a chunk the sort
 is numpy's. Names that chunks share are found in ranges of the sorted names: a chunk sends
 each name once per range, so that a string which a third of all documents has comes to
@@ -28,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, ship_code
 
 LENGTH = 50
 PERIODS = (31, 21, 13, 7, 3)
@@ -361,6 +365,7 @@ def without_repeats(
     Names of 64 bits stand for strings. A task holds a chunk of ``chunk_bytes`` of text, or
     one document if that is longer.
     """
+    ship_code(docs.sparkSession)
     kind = docs.schema[key].dataType
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     read = docs.select(F.col(key).alias("_id"), body.alias("_body"))

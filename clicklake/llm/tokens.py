@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import documents
+from .common import documents, ship_code
 from .packing import TEXT_AT_ONCE, _slices, default_vocabulary, word_ids
 
 LENGTH = 4096
@@ -108,6 +108,7 @@ def matrices(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
     and null keys count each; an empty table gives an empty result. A task holds one window
     of ids, or one document if that is longer.
     """
+    ship_code(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     types = f"ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{kind}>, pieces array<int>, starts array<long>"
     read = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
