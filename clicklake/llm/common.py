@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import json
 import tempfile
@@ -9,6 +10,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,21 @@ def ship_code(spark: SparkSession) -> None:
     _ship(spark.sparkContext)
 
 
+def rows_of(batch: pa.RecordBatch, start: int, count: int) -> pa.RecordBatch:
+    """Some rows as a batch of their own; a slice would leave nested columns with an offset."""
+    if start == 0 and count >= batch.num_rows:
+        return batch
+    return batch.take(pa.array(range(start, min(start + count, batch.num_rows)), pa.int64()))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def in_small_batches(function: Callable) -> Callable:
     """The function of a session and more, with Arrow batches of ``ARROW_ROWS`` rows in that session."""
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, ship_code, stored
+from .common import documents, give_back, rows_of, ship_code, stored
 from .components import components
 
 WIDTH = 5
@@ -73,9 +73,10 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for whole in batches:
         for start in range(0, whole.num_rows, ROWS_AT_ONCE):
-            batch = whole.slice(start, ROWS_AT_ONCE)
+            batch = rows_of(whole, start, ROWS_AT_ONCE)
             with np.errstate(over="ignore"):
                 yield batch, list(shingle_sets(batch.column("_text"), width))
+        give_back()
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, documents, ship_code, stored
+from .common import buckets_for, documents, give_back, rows_of, ship_code, stored
 
 LENGTH = 4096
 END = 1
@@ -109,8 +109,9 @@ def _slices(batch: pa.RecordBatch, text: str, most: int = TEXT_AT_ONCE) -> Itera
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
-        yield batch.slice(start, stop - start)
+        yield rows_of(batch, start, stop - start)
         start = stop
+    give_back()
 
 
 def pieces(

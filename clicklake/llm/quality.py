@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, ship_code, stored
+from .common import documents, give_back, rows_of, ship_code, stored
 
 COMMON_WORDS = 64
 # A document must be at least so long to be judged by its characters, or by its words.
@@ -123,7 +123,8 @@ def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-            yield batch.slice(start, ROWS_AT_ONCE)
+            yield rows_of(batch, start, ROWS_AT_ONCE)
+        give_back()
 
 
 def _texts(batch: pa.RecordBatch) -> pa.Array:
