@@ -273,6 +273,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     ship_code(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     read = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    # Any share of the rows may have one id, null too: a text is found again by its digest as well.
+    marked = read.withColumn("_mark", F.unhex(F.md5(F.col("_text").cast("binary"))))
     order = Order(token_counts(read, width), percent)
     spark = docs.sparkSession
     shared_order = spark.sparkContext.broadcast(order)
@@ -283,11 +285,12 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
             full = [len(s) > 0 for s in sets]
             made = [
                 batch.column("_id"),
+                batch.column("_mark"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([digest(s) if f else None for s, f in zip(sets, full, strict=True)], pa.binary()),
                 pa.array([rank.group(s) if f else None for s, f in zip(sets, full, strict=True)], pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(made, ["_id", "_size", "_class", "_group"])
+            yield pa.RecordBatch.from_arrays(made, ["_id", "_mark", "_size", "_class", "_group"])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared_order.value
@@ -300,16 +303,22 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["_token", "_group"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch, sets in _sets(batches, width):
             classes = batch.column("_class").to_pylist()
-            rows = [n for n, s in enumerate(sets) if len(s) and digest(s) == classes[n]]
+            rows = []
+            for n, s in enumerate(sets):
+                if len(s) and classes[n] not in seen and digest(s) == classes[n]:
+                    rows.append(n)
+                    seen.add(classes[n])
             blobs = [sets[n].astype("<u8").tobytes() for n in rows]
             names = ("_class", "_group", "_size")
             made = [batch.column(c).take(pa.array(rows, pa.int64())) for c in names]
             yield pa.RecordBatch.from_arrays([*made, pa.array(blobs, pa.binary())], [*names, "_tokens"])
 
-    signed = stored(read.mapInArrow(sign, f"_id {kind}, _size long, _class binary, _group long"), "jaccard-sets")
-    of_class = [F.min("_id").alias("_first"), F.first("_group").alias("_group"), F.first("_size").alias("_size")]
+    signed = stored(marked.mapInArrow(sign, f"_id {kind}, _mark binary, _size long, _class binary, _group long"), "jaccard-sets")
+    one = F.min(F.struct("_id", "_mark")).alias("_one")
+    of_class = [F.min("_id").alias("_first"), one, F.first("_group").alias("_group"), F.first("_size").alias("_size")]
     classes = signed.filter("_class IS NOT NULL").groupBy("_class").agg(*of_class)
     classes = stored(classes, "jaccard-classes")
     # The token-group matrix, by token; rows of a single group can bring nothing together.
@@ -337,10 +346,11 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     told = stored(told, "jaccard-pairs")
     met = told.select("_group").unionByName(told.select(F.col("_from").alias("_group"))).distinct()
     active = met.unionByName(sizes.filter("_count > 1").select("_group")).distinct()
-    wanted = classes.join(active, "_group").select("_first", "_class", "_group", "_size")
-    fetched = read.join(wanted, F.col("_id").eqNullSafe(F.col("_first"))).select("_text", "_class", "_group", "_size")
+    wanted = classes.join(active, "_group").select("_one", "_class", "_group", "_size")
+    same = F.col("_id").eqNullSafe(F.col("_one._id")) & (F.col("_mark") == F.col("_one._mark"))
+    fetched = marked.join(wanted, same).select("_text", "_class", "_group", "_size")
     sets = fetched.mapInArrow(whole, "_class binary, _group long, _size long, _tokens binary")
-    # Repeated rows give a class several times; equal sets in a group do no harm.
+    # Rows of one id and text give a class once a task; equal sets in a group do no harm.
     sets = stored(sets, "jaccard-tokens")
     blocks = sizes.select("_group", F.ceil(F.col("_count") / MEMBERS).alias("_blocks"), "_pivot")
     many = blocks.filter("_blocks > 1")

@@ -103,3 +103,21 @@ def test_components(spark):
     frame = spark.createDataFrame(links, "a long, b long")
     assert {r["node"]: r["root"] for r in components(frame).collect()} == group
     assert components(frame.limit(0)).count() == 0
+
+
+def test_a_class_fetches_its_own_text_only(spark, monkeypatch):
+    words = [f"w{n}" for n in range(40)]
+    # Pairs of near copies, all below one null id or one repeated id.
+    rows = [(None if n % 2 else 7, " ".join([*[f"{w}x{n // 4}" for w in words], f"end{n}"])) for n in range(80)]
+    docs = spark.createDataFrame([*rows, *rows[:20]], "doc_id long, text string")
+    fetched, run = [], type(docs).mapInArrow
+
+    def watch(self, function, schema, *more, **named):
+        if "_tokens" in str(schema):
+            fetched.append(self)
+        return run(self, function, schema, *more, **named)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watch)
+    found = jaccard.similar(docs).collect()
+    assert len(found) == 100 and {(r["n_shingles"], r["component_id"]) for r in found} == {(37, 7)}
+    assert [f.count() for f in fetched] == [100]
