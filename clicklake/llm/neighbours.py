@@ -132,12 +132,12 @@ def nearest(
     Gives ``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``, the inner product in
     double precision; ties go to the smaller id. Rows of the query's own id are not its
     candidates; repeated rows each are candidates, and repeated queries ask once. Rows
-    without an id, and vectors that are null, zero, of another length than the longest of the
-    sample, or hold null or non-finite components, take no part. An empty table gives an
-    empty result. All candidates within the radius are ranked, however many; a block that
+    without an id, and vectors that are null, zero, or hold null or non-finite components,
+    take no part. Vectors of each length are searched by themselves: a query's neighbours
+    have as many components as it has. An empty table gives an empty result. All candidates within the radius are ranked, however many; a block that
     has under ``count`` of them is ranked whole.
 
-    The index holds every row; its pivots and radius are fitted on ``SAMPLE`` rows. The
+    The index holds every row; its pivots and radius are fitted on ``SAMPLE`` rows of the length. The
     queries meet all rows in blocks: a task has ``BLOCK`` vectors and ``QUERY_BLOCK``
     queries. Rows are dealt by a hash of id and vector, so equal vectors spread.
     """
@@ -150,22 +150,23 @@ def nearest(
     ).filter(F.col("_id").isNotNull() & finite & F.exists(F.col("_vector"), lambda x: x != 0))
     hashed = F.xxhash64("_id", "_vector")
     norm = F.sqrt(F.aggregate("_vector", F.lit(0.0), lambda total, x: total + x * x))
-    sample = all_rows.select("_vector", hashed.alias("_hash")).orderBy("_hash").limit(SAMPLE).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not sample:
-        return empty
-    size = max(len(row["_vector"]) for row in sample)
-    fitting = np.array([row["_vector"] for row in sample if len(row["_vector"]) == size])
-    rows = all_rows.filter(F.size("_vector") == size)
-    queries = rows.filter("_asked").dropDuplicates(["_id", "_vector"])
-    facts = rows.agg(F.count(F.lit(1)), F.max(norm), F.count_if(F.col("_asked"))).first()
-    index = fit(fitting, facts[1], facts[0], count, pivots, prefix)
-    blocks, query_blocks = buckets_for(facts[0], BLOCK), buckets_for(facts[2], QUERY_BLOCK)
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda n: F.pmod(hashed, F.lit(n)).cast("int")
-    posted = rows.select("_id", "_vector", F.lit(False).alias("_asks"), part(blocks).alias("_block"), all_of(query_blocks).alias("_queries"))
-    asking = queries.select("_id", "_vector", F.lit(True).alias("_asks"), all_of(blocks).alias("_block"), part(query_blocks).alias("_queries"))
-    found = posted.unionByName(asking).groupBy("_block", "_queries").applyInArrow(_search(index, count), RESULT)
+    # A search for each length that vectors have, so that a stray one takes no other's place.
+    counted = all_rows.groupBy(F.size("_vector").alias("_size")).agg(
+        F.count(F.lit(1)).alias("rows"), F.max(norm).alias("longest"), F.count_if(F.col("_asked")).alias("asked")
+    )
+    found = spark.createDataFrame([], RESULT)
+    for facts in counted.filter("rows > 1 AND asked > 0").orderBy("_size").collect():
+        rows = all_rows.filter(F.size("_vector") == facts["_size"])
+        sample = rows.select("_vector", hashed.alias("_hash")).orderBy("_hash").limit(SAMPLE).collect()
+        index = fit(np.array([row["_vector"] for row in sample]), facts["longest"], facts["rows"], count, pivots, prefix)
+        queries = rows.filter("_asked").dropDuplicates(["_id", "_vector"])
+        blocks, query_blocks = buckets_for(facts["rows"], BLOCK), buckets_for(facts["asked"], QUERY_BLOCK)
+        posted = rows.select("_id", "_vector", F.lit(False).alias("_asks"), part(blocks).alias("_block"), all_of(query_blocks).alias("_queries"))
+        asking = queries.select("_id", "_vector", F.lit(True).alias("_asks"), all_of(blocks).alias("_block"), part(query_blocks).alias("_queries"))
+        together = posted.unionByName(asking).groupBy("_block", "_queries")
+        found = found.unionByName(together.applyInArrow(_search(index, count), RESULT))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -65,3 +65,19 @@ def test_odd_vectors(spark):
     assert neighbours.nearest(few, "vec_id % 20 = 0").count() == 2
     assert neighbours.nearest(few.limit(1), "vec_id % 20 = 0").count() == 0
     assert neighbours.nearest(few.limit(0), "vec_id % 20 = 0").count() == 0
+
+
+def test_vectors_of_each_length_are_searched(spark):
+    rows = [(i, [1.0, float(i % 7), 0.5 * (i % 3)]) for i in range(60)]
+    longer = [(i, [2.0, 1.0, float(i % 5), 0.25]) for i in range(80, 90)]
+    table = spark.createDataFrame([*rows, *longer, (200, [1.0] * 65)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(table, "vec_id % 20 = 0").orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    expected = brute_force(rows, lambda i: i % 20 == 0, 20) | brute_force(longer, lambda i: i % 20 == 0, 20)
+    assert found.keys() == expected.keys() == {0, 20, 40, 80}
+    for query in found:
+        assert len(found[query]) == len(expected[query])
+        if query == 80:
+            assert found[query] == expected[query]
+        assert max(s for _, s in found[query]) == max(s for _, s in expected[query])
