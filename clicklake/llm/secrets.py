@@ -53,6 +53,20 @@ MORE = (
 )
 RULES = BASE + MORE
 
+# What is hidden of a PEM key: all up to its end line, or, where that is missing (cut off, or
+# another dashed line comes first), the header fields and lines of base64 that follow. Line
+# breaks may be escaped. Loops are possessive, so that a key of any length is matched.
+_BREAK = r"(?:\s|\\++[rn])++"
+_FULL_LINES = rf"(?:{_BREAK}[A-Za-z0-9+/]{{16,}}+=*+)*+"
+_LAST_LINE = rf"(?:[\x20\t]*+(?:[\r\n]|\\++[rn]){_BREAK[:-2]}*+[A-Za-z0-9+/]++=*+(?=[\x20\t]*+(?:[\r\n\\\"']|\z)))?+"
+PEM_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:{_BREAK}[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+{_FULL_LINES}{_LAST_LINE})"
+)
+# The rules for hiding: a scan reports the header line of a PEM key, hiding takes the key.
+HIDING = tuple(rule._replace(pattern=PEM_KEY) if rule.kind == "pem" else rule for rule in RULES)
+
 
 def trigrams(literal: str) -> list[str]:
     """The trigrams of a literal; one of under three characters has none."""

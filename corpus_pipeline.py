@@ -36,12 +36,13 @@ def keep_first_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret in the text, and counts the characters anew where one was."""
-    found = secrets.scanned(docs)
-    text = secrets.redacted(F.col("text"), F.col("_spans"))
-    hidden = F.size("_spans") > 0
-    chars = F.when(hidden, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))
-    changed = {"text": text, "n_chars": chars}
+    """Replaces every secret in the text, PEM keys whole, and counts the characters anew where one was."""
+    found = secrets.scanned(docs, secrets.HIDING)
+    # A column of its own: below a new column "text", Spark takes the name in lambdas for the new one.
+    (after,) = unused(found, "_after")
+    found = found.withColumn(after, secrets.redacted(F.col("text"), F.col("_spans")))
+    chars = F.when(F.size("_spans") > 0, F.char_length(after).cast("long")).otherwise(F.col("n_chars"))
+    changed = {"text": F.col(after), "n_chars": chars}
     return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
