@@ -26,6 +26,8 @@ LEAST_CHARS, LEAST_WORDS = 200, 50
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.28, 0.5
 CLASSES = ("upper", "lower", "letter", "digit", "space", "mark", "punctuation", "symbol", "other")
 SYMBOLS = "#*$%&|<>"
+# Codes below this fit into one number by threes.
+PACKED = 2**21
 # Texts that are measured together, and those whose words are counted before they are sent on.
 ROWS_AT_ONCE, ROWS_COUNTED = 2048, 16384
 
@@ -43,6 +45,16 @@ def class_table() -> np.ndarray:
     return table
 
 
+def window_names(codes: np.ndarray) -> np.ndarray:
+    """A number for each three codes in a row, the same for the same three."""
+    count = int(codes.max()) + 1
+    if count <= PACKED:
+        return (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
+    # Pairs are numbered first: they are no more than the words, and those are below 2**31.
+    pairs = np.unique(codes[:-2] * count + codes[1:-1], return_inverse=True)[1]
+    return pairs * count + codes[2:]
+
+
 class Words:
     """The words of a batch of texts, numbered within the batch."""
 
@@ -70,11 +82,9 @@ class Words:
             if b - a < 4:
                 continue
             codes = self.codes[a:b]
-            if len(self.distinct) >= 2**21:
+            if len(self.distinct) >= PACKED:
                 codes = np.unique(codes, return_inverse=True)[1]
-                if codes.max() >= 2**21:
-                    raise ValueError("a text has over two million different words")
-            windows = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
+            windows = window_names(codes)
             ordered = np.sort(windows)
             twice = ordered[1:][ordered[1:] == ordered[:-1]]
             if len(twice):

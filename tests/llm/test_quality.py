@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clicklake.llm import quality
@@ -88,3 +89,20 @@ def test_many_different_words_in_one_text():
     text = " ".join(map(str, range(3000))) + " a b c d a b c"
     words = quality.Words(pa.array([text, "", "a b c a b c", "a a a a"], pa.large_string()))
     assert words.repeated().tolist() == [expected(t)[4] for t in (text, "", "a b c a b c", "a a a a")]
+
+
+def test_repeats_among_millions_of_words():
+    count = 2**21 + 5
+    names = [f"{n:x}" for n in range(count)]
+    text = " ".join([*names, names[-3], names[-2], names[-1], "z", names[-1], names[0], names[1]])
+    words = quality.Words(pa.array([text, "a b c a b c"], pa.large_string()))
+    assert len(words.distinct) > 2**21
+    # Only the three last names come again as a window; the others meet in new ways.
+    assert words.repeated().tolist() == [6, 6]
+
+
+def test_windows_by_pairs_are_those_of_packed_codes(monkeypatch):
+    codes = np.random.default_rng(2).integers(0, 9, 4000)
+    packed = np.unique(quality.window_names(codes), return_inverse=True)[1]
+    monkeypatch.setattr(quality, "PACKED", 8)
+    assert (np.unique(quality.window_names(codes), return_inverse=True)[1] == packed).all()
