@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, give_back, rows_of, ship_code, stored
+from .common import buckets_for, documents, give_back, rows_of, ship_code, stored
 
 COMMON_WORDS = 64
 # A document must be at least so long to be judged by its characters, or by its words.
@@ -184,17 +184,22 @@ def references(docs: DataFrame, language: str = "lang", text: str = "text", word
     read = docs.select(F.col(language).cast("string").alias("_language"), F.col(text).alias("_text"))
     counted = read.mapInArrow(_count, "language string, is_word boolean, name string, n long")
     summed = stored(counted.groupBy("language", "is_word", "name").agg(F.sum("n").alias("n")), "quality-counts")
-    # The largest of a language by an aggregate that keeps that many rows, so no task sorts all words.
-    entry = F.struct((-F.col("n")).alias("less"), F.col("name"))
-    spread = summed.filter("is_word").withColumn("_part", F.pmod(F.xxhash64("name"), F.lit(64)))
-    first = lambda column: F.slice(F.array_sort(column), 1, words)
-    some = spread.groupBy("language", "_part").agg(first(F.collect_list(entry)).alias("top"), F.sum("n").alias("n"))
-    best = some.groupBy("language").agg(first(F.flatten(F.collect_list("top"))).alias("top"), F.sum("n").alias("n"))
-    common = best.select("language", F.explode("top").alias("e")).select(
-        "language", F.lit(True).alias("is_word"), F.col("e.name"), (-F.col("e.less")).alias("n")
-    )
-    in_top = F.aggregate("top", F.lit(0).cast("long"), lambda total, e: total - e["less"])
-    rest = best.select("language", F.lit(True).alias("is_word"), F.lit(None).cast("string").alias("name"), (F.col("n") - in_top).alias("n"))
+    # The largest of each part of a language, then of the language: no task holds or sorts all its
+    # words, and as parts grow in number with the words, none grows. Rows past the rank go early.
+    named = summed.filter("is_word")
+    parts = buckets_for(named.count())
+    spread = named.withColumn("_part", F.pmod(F.xxhash64("name"), F.lit(parts)))
+    order = [F.desc("n"), F.asc("name")]
+
+    def first(rows: DataFrame, *group: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= words)
+
+    top = first(first(spread, "language", "_part"), "language")
+    common = stored(top.select("language", "is_word", "name", "n"), "quality-common")
+    left = named.select("language", "n").unionByName(common.select("language", (-F.col("n")).alias("n")))
+    rest = left.groupBy("language").agg(F.sum("n").alias("n"))
+    rest = rest.select("language", F.lit(True).alias("is_word"), F.lit(None).cast("string").alias("name"), "n")
     return summed.filter("NOT is_word").unionByName(common).unionByName(rest)
 
 

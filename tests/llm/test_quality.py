@@ -106,3 +106,23 @@ def test_windows_by_pairs_are_those_of_packed_codes(monkeypatch):
     packed = np.unique(quality.window_names(codes), return_inverse=True)[1]
     monkeypatch.setattr(quality, "PACKED", 8)
     assert (np.unique(quality.window_names(codes), return_inverse=True)[1] == packed).all()
+
+
+def test_common_words_are_ranked_without_lists_of_all(spark, monkeypatch):
+    texts = {"en": "b b b a a a c c d", "de": "x y y", None: "q", "fr": " "}
+    docs = spark.createDataFrame([(lang, f"{text} {' '.join(f'{lang}{n}' for n in range(9000) if lang == 'en')}") for lang, text in texts.items()], "lang string, text string")
+    frames, store = [], quality.stored
+
+    def watch(df, name):
+        frames.append(df)
+        return store(df, name)
+
+    monkeypatch.setattr(quality, "stored", watch)
+    found = quality.references(docs, words=2)
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in [*frames, found]]
+    assert not any("collect_list" in plan for plan in plans)
+    assert any("WindowGroupLimit [language" in plan and "_part" in plan for plan in plans)
+    rows = {(r["language"], r["name"]): r["n"] for r in found.filter("is_word").collect()}
+    assert rows == {
+        ("en", "a"): 3, ("en", "b"): 3, ("en", None): 9003, ("de", "y"): 2, ("de", "x"): 1, ("de", None): 0, (None, "q"): 1, (None, None): 0,
+    }
