@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, mixing, neighbours, packing, quality, secrets, sharding, substrings, tokens
+from . import chat, jaccard, lexical, mixing, neighbours, packing, quality, secrets, sharding, substrings, tokens
 from .common import in_small_batches
 
 _FUNCTIONS = {
@@ -16,6 +16,7 @@ _FUNCTIONS = {
     "op8_sharding": sharding.op8_sharding,
     "op10_jaccard": jaccard.op10_jaccard,
     "op9_neighbours": neighbours.op9_neighbours,
+    "op11_lexical": lexical.op11_lexical,
 }
 QUERIES = {name: in_small_batches(function) for name, function in _FUNCTIONS.items()}
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op4_substrings": substrings.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
+    "op11_lexical": lexical.OP11_SQL,
 }
