@@ -7,7 +7,7 @@ import functools
 import json
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -51,6 +51,13 @@ def rows_of(batch: pa.RecordBatch, start: int, count: int) -> pa.RecordBatch:
     return batch.take(pa.array(range(start, min(start + count, batch.num_rows)), pa.int64()))
 
 
+def in_pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches again, none with more than so many rows."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield rows_of(batch, start, rows)
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers live on from task to task."""
     pa.default_memory_pool().release_unused()

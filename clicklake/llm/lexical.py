@@ -249,7 +249,7 @@ def ranked(
     Item rows of one id, null among them, are one item with the terms of all. Items without a
     term that some document holds have no row, and no rows come of empty tables. ``rank`` is
     from 1, the highest score first, equal scores by ascending id. The other columns are not
-    read; of ``docs`` each row must be in one file or task at a time, as in any table.
+    read.
 
     A document's text is read whole, once. A block has at most ``BLOCK_DOCUMENTS`` documents,
     whatever their terms or ids, so no hot id, source or term makes a large task.
