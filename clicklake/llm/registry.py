@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, lexical, mixing, neighbours, packing, quality, secrets, sharding, substrings, tokens, whitening
+from . import chat, jaccard, lexical, mixing, neighbours, packing, quality, secrets, sharding, substrings, subwords, tokens, whitening
 from .common import in_small_batches
 
 _FUNCTIONS = {
@@ -17,6 +17,7 @@ _FUNCTIONS = {
     "op10_jaccard": jaccard.op10_jaccard,
     "op9_neighbours": neighbours.op9_neighbours,
     "op11_lexical": lexical.op11_lexical,
+    "op12_subwords": subwords.op12_subwords,
     "op13_whitening": whitening.op13_whitening,
 }
 QUERIES = {name: in_small_batches(function) for name, function in _FUNCTIONS.items()}
