@@ -33,7 +33,7 @@ RATE = 0.1
 SEED = 12
 
 # Words, characters and documents in work at a time.
-TOKENS_AT_ONCE, CHARACTERS_AT_ONCE, ROWS_AT_ONCE = 1 << 18, 1 << 17, 500
+TOKENS_AT_ONCE, CHARACTERS_AT_ONCE, ROWS_AT_ONCE = 1 << 18, 1 << 15, 2000
 FEATURES = "label int, order_ long, places binary, counts binary"
 MODEL = "vectors binary, layer binary, bias binary"
 
