@@ -9,6 +9,7 @@ from ..functions.derive import now_millis
 from ..functions.records import DLQ_SOURCE, DLQ_TOPIC, DLQ_V1
 from ..functions.wire import bytes_text
 from .codec import encode_avro
+from .letters import letter_headers
 
 
 def json_bytes(df: DataFrame, columns: list[str] | None = None) -> Column:
@@ -69,13 +70,15 @@ def dlq_messages(
 ) -> DataFrame:
     """Keyless messages for the dead-letter topic: JSON text, or framed Avro.
 
-    An Avro letter needs all of its fields, so a message without an offset (one read from
+    The ``headers`` name the message that a letter is about, so that a letter sent again can
+    be told from another one (see ``letters_once``). An Avro letter needs all of its fields, so a message without an offset (one read from
     a topic folder that never had one) is given -1 for it.
     """
     payload = dlq_payload(df, form, raw_as=raw_as)
     if form == "json":
-        message = to_json_value(payload)
+        message = payload.select(json_bytes(payload).alias("value"), letter_headers(payload).alias("headers"))
     else:
+        payload = payload.withColumn("headers", letter_headers(payload))
         payload = payload.withColumns(
             {
                 "topic": F.coalesce("topic", F.lit("")),
@@ -85,4 +88,4 @@ def dlq_messages(
         )
         message = encode_avro(payload, DLQ_V1, writer_id)
     key = F.lit(None).cast("binary").alias("key")
-    return message.select(key, "value", F.lit(topic).alias("topic"))
+    return message.select(key, "value", F.lit(topic).alias("topic"), "headers")

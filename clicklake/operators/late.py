@@ -9,7 +9,7 @@ DEFAULT_DELAY = "24 hours"
 
 
 def with_watermark(df: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
-    """Declare the watermark; it drops nothing until a stateful operator follows."""
+    """Declare the watermark; it drops nothing until a stateful operator follows (see ``windows``)."""
     return df.withWatermark("event_time", delay)
 
 

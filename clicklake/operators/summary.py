@@ -32,14 +32,17 @@ def _running_total(counts: DataFrame, order: str, bucket: Column, group: Sequenc
     buckets before plus the sum so far within the bucket, so that no window holds more
     than the rows of one bucket or one row per bucket.
     """
-    rows = counts.withColumn("_bucket", bucket)
-    sums = rows.groupBy(*group, "_bucket").agg(F.sum("events").alias("_events"))
+    # A bucket is joined by its text, as one of no value is a bucket too.
+    named = F.coalesce(bucket.cast("string"), F.lit(""))
+    rows = counts.withColumns({"_bucket": bucket, "_name": named})
+    sums = rows.groupBy(*group, "_name").agg(F.sum("events").alias("_events"), F.first("_bucket").alias("_bucket"))
     earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_events").over(earlier), F.lit(0))
-    same = {name: f"_same_{name}" for name in (*group, "_bucket")}
+    same = {name: f"_same_{name}" for name in (*group, "_name")}
     sums = sums.select(*[F.col(name).alias(other) for name, other in same.items()], before.alias("_before"))
-    so_far = Window.partitionBy(*group, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    matches = [F.col(name).eqNullSafe(F.col(other)) for name, other in same.items()]
+    so_far = Window.partitionBy(*group, "_name").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    matches = [F.col(name).eqNullSafe(F.col(other)) for name, other in same.items() if name in group]
+    matches.append(F.col("_name") == F.col(same["_name"]))
     return rows.join(sums, matches).select(
         *counts.columns, (F.col("_before") + F.sum("events").over(so_far)).alias("total_events")
     )
@@ -51,12 +54,18 @@ def daily_totals(df: DataFrame, date: str = "dt") -> DataFrame:
     return _running_total(days, date, F.trunc(date, "month"))
 
 
-def ingest_totals(progress: DataFrame) -> DataFrame:
+def ingest_totals(progress: DataFrame, over_streams: bool = False) -> DataFrame:
     """The running event total of each stream after each of its batches.
 
     Batches of one number of two streams are not of the same moment, so streams
-    (``query_id``, where the table has it) are counted apart.
+    (``query_id``, where the table has it) are counted apart. ``over_streams`` counts them
+    together, in the order in which their batches were ``committed`` (those of one
+    microsecond by stream and number): the last total is all events of all streams.
     """
+    if over_streams:
+        order = F.struct("committed", "query_id", "batch_id").alias("_order")
+        batches = progress.select("query_id", "batch_id", "committed", "events", order)
+        return _running_total(batches, "_order", F.date_trunc("hour", "committed")).drop("_order")
     group = [name for name in ("query_id",) if name in progress.columns]
     batches = progress.groupBy(*group, "batch_id").agg(F.sum("events").alias("events"))
     bucket = F.call_function("div", F.col("batch_id"), F.lit(BATCHES_PER_BUCKET))

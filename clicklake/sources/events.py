@@ -21,6 +21,8 @@ KAFKA_SCHEMA = T.StructType(
         T.StructField("timestampType", T.IntegerType()),
     ]
 )
+_HEADER = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.BinaryType())])
+KAFKA_WITH_HEADERS = T.StructType([*KAFKA_SCHEMA.fields, T.StructField("headers", T.ArrayType(_HEADER))])
 
 
 def read_events(
@@ -30,26 +32,30 @@ def read_events(
     *,
     streaming: bool = True,
     latest_since: datetime | None = None,
+    headers: bool = False,
 ) -> DataFrame:
     """Messages of a topic as a stream or a batch, always in the Kafka row form.
 
     ``source="kafka"`` reads Kafka with the options of the environment, overridden by
     ``options``; a batch read starts at the earliest offset unless told otherwise.
     Any other source is the path of a topic folder, with file-source options such as
-    ``maxFilesPerTrigger``. A topic folder starts at its first file; ``latest_since``
+    ``maxFilesPerTrigger`` and ``maxBytesPerTrigger``, which bound a batch. A topic folder starts at its first file; ``latest_since``
     starts it after the files that were there at that instant. Give a restarted job the
-    same instant, or the files that arrived between its runs are left out.
+    same instant, or the files that arrived between its runs are left out. ``headers`` adds
+    the messages' headers as a column.
     """
+    schema = KAFKA_WITH_HEADERS if headers else KAFKA_SCHEMA
     reader = spark.readStream if streaming else spark.read
     if source == "kafka":
-        chosen = kafka_options() | (options or {})
+        chosen = kafka_options() | ({"includeHeaders": "true"} if headers else {}) | (options or {})
         if not streaming:
-            chosen.pop("maxOffsetsPerTrigger", None)
+            for name in ("maxOffsetsPerTrigger", "minOffsetsPerTrigger", "maxTriggerDelay"):
+                chosen.pop(name, None)
             if chosen["startingOffsets"] == "latest":
                 chosen["startingOffsets"] = "earliest"
         return reader.format("kafka").options(**chosen).load()
     chosen = {"recursiveFileLookup": "true"} | (options or {})
-    rows = reader.format("parquet").schema(KAFKA_SCHEMA).options(**chosen).load(source)
+    rows = reader.format("parquet").schema(schema).options(**chosen).load(source)
     if latest_since is not None:
         rows = rows.filter(F.col("_metadata.file_modification_time") > F.lit(latest_since))
-    return rows.select(*KAFKA_SCHEMA.names)
+    return rows.select(*schema.names)

@@ -38,6 +38,10 @@ def kafka_options(env: Mapping[str, str] | None = None) -> dict[str, str]:
         "failOnDataLoss": "false",
         "kafka.client.id": env.get("CLIENT_ID", DEFAULT_CLIENT_ID),
     }
+    # A batch waits until there are so many offsets, but no longer than the delay.
+    for name, key in (("MIN_OFFSETS_PER_TRIGGER", "minOffsetsPerTrigger"), ("MAX_TRIGGER_DELAY", "maxTriggerDelay")):
+        if env.get(name):
+            options[key] = env[name]
     return options | kafka_security(env)
 
 

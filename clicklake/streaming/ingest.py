@@ -31,7 +31,8 @@ class Ingest:
     Good rows are appended to ``table`` with ``event_time`` and ``dt`` (and partitioned
     by ``dt``), failed messages to the dead-letter topic. With ``late``, rows older than
     the newest time of all earlier batches minus ``delay`` go to that table instead.
-    ``progress`` keeps one row per batch: its counts and the newest time so far.
+    ``progress`` keeps one row per batch: its counts, the newest time so far, and when it
+    was ``committed``.
 
     Every output of a batch replaces what an earlier try of the same batch wrote, so a
     restart neither loses nor doubles rows. Several streams may share their outputs.
@@ -163,6 +164,7 @@ class Ingest:
             "late": F.lit(counts["late"]).cast("long"),
             "max_seen": F.timestamp_micros(F.lit(newest).cast("long")),
             "seconds": F.lit(seconds),
+            "committed": F.current_timestamp(),
         }
         line = spark.range(1, numPartitions=1).select(*[c.alias(n) for n, c in row.items()])
         write_batch(line, self.progress, batch_id, fmt="parquet")

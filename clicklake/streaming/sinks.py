@@ -11,8 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.records import DLQ_TOPIC
 from ..operators.deadletter import dlq_messages
-from ..operators.keys import TOPIC_PARTITIONS
-from ..sources.events import KAFKA_SCHEMA
+from ..operators.keys import TOPIC_PARTITIONS, client_partition
+from ..sources.events import KAFKA_SCHEMA, KAFKA_WITH_HEADERS
 from ..sources.lake import batch_folder, read_table, stream_id
 from ..sources.settings import kafka_options, table_format
 
@@ -51,6 +51,37 @@ def write_stream(
     return writer.start(path)
 
 
+def stream_to_table(
+    df: DataFrame,
+    table: str,
+    checkpoint: str,
+    *,
+    fmt: str | None = None,
+    path: str | None = None,
+    partition_by: Sequence[str] = (),
+    trigger: dict | None = None,
+    name: str | None = None,
+) -> StreamingQuery:
+    """Append a stream to a table of the session's catalog, exactly once.
+
+    A table that is not there is made: in ``fmt`` (that of the session by default), at
+    ``path`` if one is given, partitioned by columns. One that is there keeps its layout, such
+    as the ``days(event_time)`` of :func:`write_catalog_table`. Of a file table, let one stream
+    alone be the writer, as with :func:`write_stream`.
+    """
+    writer = df.writeStream.format(fmt or table_format(df.sparkSession)).outputMode("append")
+    writer = writer.option("checkpointLocation", checkpoint)
+    if path:
+        writer = writer.option("path", path)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    if trigger:
+        writer = writer.trigger(**trigger)
+    if name:
+        writer = writer.queryName(name)
+    return writer.toTable(table)
+
+
 def run_batches(
     df: DataFrame,
     process: Callable[[DataFrame, int], None],
@@ -100,6 +131,35 @@ def write_table(
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def write_catalog_table(
+    df: DataFrame,
+    table: str,
+    *,
+    fmt: str | None = None,
+    path: str | None = None,
+    partition_by: Sequence[str] = (),
+    days: str | None = None,
+) -> None:
+    """Append a batch to a table of the session's catalog, which is made if it is not there.
+
+    ``partition_by`` has columns, as every catalog takes them. ``days`` is a time column to
+    partition by day without a column for it, which catalogs of table formats with hidden
+    partitioning take (Iceberg's, for one); the session catalog refuses it.
+    """
+    fmt = fmt or table_format(df.sparkSession)
+    if days is None:
+        writer = df.write.format(fmt).mode("append")
+        writer = writer.option("path", path) if path else writer
+        (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
+        return
+    writer = df.writeTo(table)
+    if df.sparkSession.catalog.tableExists(table):
+        writer.append()
+        return
+    writer = writer.using(fmt).partitionedBy(*[F.col(name) for name in partition_by], F.partitioning.days(days))
+    (writer.tableProperty("location", path) if path else writer).create()
+
+
 def compact(spark: SparkSession, path: str, target: str, until: str, by: str = "dt") -> None:
     """Rewrite the closed days of a batch table, those before ``until``, into few files.
 
@@ -164,13 +224,14 @@ def has_batch(spark: SparkSession, path: str, batch_id: int) -> bool:
 def topic_rows(df: DataFrame, topic: str | None = None, n: int = TOPIC_PARTITIONS) -> DataFrame:
     """``key`` and ``value`` rows in the full Kafka row form, for a topic folder.
 
-    Columns the frame has are kept. Otherwise the partition follows the key, the time is
-    now, and the offset is NULL, as no broker numbers the rows of a folder.
+    Columns the frame has are kept, ``headers`` too. Otherwise the partition is the one a
+    client would choose for the key, the time is now, and the offset is NULL, as no broker
+    numbers the rows of a folder.
     """
     absent = {
         "key": F.lit(None),
         "topic": F.lit(topic),
-        "partition": F.pmod(F.hash("key"), F.lit(n)) if "key" in df.columns else F.lit(0),
+        "partition": client_partition(F.col("key"), F.col("value"), n) if "key" in df.columns else F.lit(0),
         "offset": F.lit(None),
         "timestamp": F.current_timestamp(),
         "timestampType": F.lit(0),
@@ -178,7 +239,7 @@ def topic_rows(df: DataFrame, topic: str | None = None, n: int = TOPIC_PARTITION
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else absent[f.name]).cast(f.dataType).alias(f.name)
-            for f in KAFKA_SCHEMA
+            for f in (KAFKA_SCHEMA if "headers" not in df.columns else KAFKA_WITH_HEADERS)
         ]
     )
 
@@ -245,7 +306,8 @@ def write_dlq(
     """Send failed messages (Kafka columns and ``error``) to the dead-letter topic.
 
     In a topic folder, ``batch_id`` makes the write repeatable (see :func:`write_batch`);
-    in Kafka, the letters of a batch that is tried again are there twice.
+    in Kafka, the letters of a batch that is tried again are there twice, under the same
+    names: ``letters_once`` reads each once.
     """
     letters = dlq_messages(df, form, topic=topic, writer_id=writer_id, raw_as=raw_as)
     if folder is not None and batch_id is not None:

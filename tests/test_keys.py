@@ -1,3 +1,5 @@
+import zlib
+
 from pyspark.sql import functions as F
 
 from clicklake.operators.keys import partition_by_key, to_kafka_rows, with_partition
@@ -51,3 +53,19 @@ def test_kafka_rows_have_text_keys(spark):
     kafka = to_kafka_rows(rows)
     assert kafka.columns == ["key", "value", "topic"]
     assert bytes(kafka.first().key) == b"s"
+
+
+def test_client_partition_is_the_checksum_of_the_key(spark):
+    keys = ["session_1_20240101", "", None, "é", "日本語", "x" * 1000]
+    rows = spark.createDataFrame([(k, f"v{n}".encode()) for n, k in enumerate(keys * 20)], "session_id string, value binary")
+    sent = to_kafka_rows(rows, partitions=7)
+    assert sent.columns == ["key", "value", "partition"] and dict(sent.dtypes)["partition"] == "int"
+    spread = set()
+    for row in sent.collect():
+        if row.key:
+            assert row.partition == zlib.crc32(row.key) % 7
+        else:
+            spread.add(row.partition)
+    # Rows without a key are spread, and come to the same partitions again.
+    assert len(spread) > 1 and spread <= set(range(7))
+    assert sorted(map(tuple, sent.collect()), key=repr) == sorted(map(tuple, sent.collect()), key=repr)

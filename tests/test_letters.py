@@ -1,0 +1,76 @@
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from clicklake.operators.deadletter import dlq_messages
+from clicklake.operators.letters import LETTER_HEADER, letter_name, letters_once, message_name
+from clicklake.sources.events import KAFKA_SCHEMA, read_events
+from clicklake.streaming.progress import dropped_rows
+from clicklake.streaming.sinks import await_end, sink_options, write_dlq, write_stream
+
+AT = datetime(2024, 1, 1)
+MESSAGES = [("t", 0, 5), ("t", 0, 6), ("t", 1, 5), ("u", 0, 5), ("t", None, 5), ("t", 0, None)]
+
+
+@pytest.fixture
+def bad(spark):
+    rows = [(b"k", f"v{n}".encode(), topic, part, offset, AT, 0, "broken") for n, (topic, part, offset) in enumerate(MESSAGES)]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in KAFKA_SCHEMA)
+    return spark.createDataFrame(rows, f"{fields}, error string")
+
+
+@pytest.mark.parametrize("form", ["json", "avro"])
+def test_letters_are_named_after_their_message(bad, form):
+    letters = dlq_messages(bad, form)
+    assert letters.columns == ["key", "value", "topic", "headers"]
+    names = [r[0] for r in letters.select(letter_name(F.col("headers"))).collect()]
+    assert names == ["t/0/5", "t/0/6", "t/1/5", "u/0/5", None, None]
+    assert letters.first().headers[0].key == LETTER_HEADER
+
+
+def test_messages_without_coordinates_have_no_name(spark):
+    assert spark.range(1).select(message_name(spark.range(1))).first()[0] is None
+
+
+def test_a_batch_sent_twice_is_read_once(spark, bad, tmp_path):
+    folder = str(tmp_path / "dead")
+    for _ in range(3):
+        write_dlq(bad, folder=folder)
+    letters = read_events(spark, folder, streaming=False, headers=True)
+    once = letters_once(letters)
+    assert letters.count() == 18 and once.columns == letters.columns
+    # The two without a name cannot be told from others: each try's are kept.
+    names = sorted(str(r[0]) for r in once.select(letter_name(F.col("headers"))).collect())
+    assert names == ["None"] * 6 + ["t/0/5", "t/0/6", "t/1/5", "u/0/5"]
+
+
+def test_the_earliest_letter_of_a_name_is_taken_whole(spark, bad):
+    letters = dlq_messages(bad.limit(1))
+    times = spark.createDataFrame([(None, "none"), (datetime(2024, 1, 3), "late"), (datetime(2024, 1, 2), "early")], "timestamp timestamp, note string")
+    found = letters_once(letters.crossJoin(times)).collect()
+    assert [(r.note, r.timestamp) for r in found] == [("early", datetime(2024, 1, 2))]
+    alone = letters_once(letters.crossJoin(times.filter("note = 'none'"))).collect()
+    assert [r.note for r in alone] == ["none"]
+
+
+def test_a_stream_remembers_names_between_batches(spark, bad, tmp_path):
+    folder, named = str(tmp_path / "dead"), bad.filter("partition IS NOT NULL AND offset IS NOT NULL")
+    for tries in range(1, 4):
+        write_dlq(named, "avro", folder=folder)
+        letters = letters_once(read_events(spark, folder, headers=True))
+        stream = write_stream(letters, f"{tmp_path}/out", f"{tmp_path}/checkpoint", fmt="parquet", trigger={"availableNow": True})
+        await_end(stream, 120)
+        assert spark.read.parquet(f"{tmp_path}/out").count() == 4, tries
+        assert dropped_rows(stream) == 0
+
+
+def test_folders_without_headers_can_be_read_with_them(spark, bad, tmp_path):
+    bad.drop("error").write.parquet(str(tmp_path / "old"))
+    letters = letters_once(read_events(spark, str(tmp_path / "old"), streaming=False, headers=True))
+    assert letters.count() == len(MESSAGES) and letters.filter("headers IS NOT NULL").count() == 0
+
+
+def test_empty_letters(spark, bad):
+    assert letters_once(dlq_messages(bad.limit(0)).withColumn("timestamp", F.current_timestamp())).collect() == []
+    assert "includeHeaders" not in sink_options("t", env={})
