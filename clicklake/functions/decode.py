@@ -17,8 +17,9 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import records
-from .records import Field, struct_type
+from . import nested, records
+from .avro_types import AvroType, arrow_type, as_record, avro_type, spark_type
+from .records import Field
 
 # The UDF carries its code with it, so executors need no copy of this package.
 register_pickle_by_value(sys.modules[__name__])
@@ -168,26 +169,35 @@ def decode_bodies(bodies: pa.Array, writer: list[Field], reader: list[Field]) ->
 
 
 def _decode_batch(bodies, ids, writers, reader) -> pa.StructArray:
-    """Decode a batch that may mix writer versions; one pass per version present."""
+    """Decode a batch that may mix writer versions; one pass per version present.
+
+    ``reader`` is flat, a list of fields, or a record of any shape. Flat messages that are read
+    as flat take the short way.
+    """
+    whole = as_record(reader)
+    kinds = [arrow_type(member.type) for member in whole.members]
+    names = [member.name for member in whole.members]
     id_values = ids.fill_null(-1).to_numpy(zero_copy_only=False)
     pieces, places, errors = [], [], []
     for writer_id in np.unique(id_values):
         rows = np.flatnonzero(id_values == writer_id)
         part = bodies if len(rows) == len(bodies) else bodies.take(pa.array(rows))
         writer = writers(int(writer_id), rows)
-        if isinstance(writer, list):
+        if isinstance(writer, list) and isinstance(reader, list):
             columns, reason = decode_bodies(part, writer, reader)
+        elif isinstance(writer, list | AvroType):
+            columns, reason = nested.read_records(part, as_record(writer), whole)
         else:
             why = f"unknown schema id {writer_id}"
             if writer is not None:
                 why = f"schema id {writer_id} is not supported: {writer}"
-            columns = [pa.nulls(len(rows), ARROW_TYPES[f.kind]) for f in reader]
+            columns = [pa.nulls(len(rows), kind) for kind in kinds]
             reason = np.full(len(rows), why, object)
         pieces.append(columns)
         places.append(rows)
         errors.append(reason)
     if not pieces:
-        columns = [pa.nulls(0, ARROW_TYPES[f.kind]) for f in reader]
+        columns = [pa.nulls(0, kind) for kind in kinds]
         error = pa.nulls(0, pa.string())
     elif len(pieces) == 1:
         columns, error = pieces[0], pa.array(errors[0], pa.string())
@@ -195,21 +205,24 @@ def _decode_batch(bodies, ids, writers, reader) -> pa.StructArray:
         order = pa.array(np.argsort(np.concatenate(places), kind="stable"))
         columns = [pa.concat_arrays(same).take(order) for same in zip(*pieces, strict=True)]
         error = pa.array(np.concatenate(errors), pa.string()).take(order)
-    data = pa.StructArray.from_arrays(
-        columns, [f.name for f in reader], mask=error.is_valid()
-    )
+    data = pa.StructArray.from_arrays(columns, names, mask=error.is_valid())
     return pa.StructArray.from_arrays([data, error], ["data", "error"])
 
 
-def _writer(schema_json: str) -> list[Field] | str:
-    """The fields of a writer schema, or why its messages cannot be read."""
+def _writer(schema_json: str) -> list[Field] | AvroType | str:
+    """A writer schema, flat or of any shape, or why its messages cannot be read."""
     try:
         return records.record_fields(schema_json)
+    except (KeyError, TypeError, ValueError):
+        pass
+    try:
+        found = avro_type(schema_json)
     except (KeyError, TypeError, ValueError) as unreadable:
         return str(unreadable)
+    return found if found.kind == "record" else "the schema document is not an Avro record"
 
 
-def decoder(by_id: dict[int, str] | None, reader: list[Field]):
+def decoder(by_id: dict[int, str] | None, reader: list[Field] | AvroType):
     """An Arrow UDF ``(body, schema id[, schema text]) -> struct<data, error>``.
 
     ``by_id`` has the writer schemas; with None, each message brings its own, which is parsed
@@ -220,7 +233,7 @@ def decoder(by_id: dict[int, str] | None, reader: list[Field]):
     """
     result = T.StructType(
         [
-            T.StructField("data", struct_type(reader)),
+            T.StructField("data", spark_type(as_record(reader))),
             T.StructField("error", T.StringType()),
         ]
     )
