@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from datetime import datetime
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ from ..operators.summary import (
     row_count,
     run_summary,
 )
-from ..sources.events import read_events
+from ..sources.events import mark_latest, read_events
 from ..sources.lake import read_table, shared_folder
 from ..sources.schemas import latest_schemas, subject_name
 from ..streaming.ingest import Ingest, read_progress
@@ -390,6 +390,23 @@ def unencodable_rows(spark, sf_dir):
     return bad.select("event_id", F.col("encode_error").alias("error"))
 
 
+@query("SELECT TRUE AS stopped, count(*) FILTER (event_id % 25 <> 0) AS records FROM events")
+def null_record_stops_the_job(spark, sf_dir):
+    """A table with rows of nulls alone is refused; without them, all of it passes."""
+    rows = clicks(spark, sf_dir, "event_id AS number")
+    some = F.col("number") % 25 != 0
+    rows = rows.select(*[F.when(some, F.col(name)).alias(name) for name in rows.columns])
+    stopped = False
+    try:
+        require_record(rows).write.format("noop").mode("overwrite").save()
+    except SparkRuntimeException as refused:
+        if refused.getCondition() != "USER_RAISED_EXCEPTION":
+            raise
+        stopped = True
+    passed = require_record(rows.filter("number IS NOT NULL"))
+    return passed.agg(F.lit(stopped).alias("stopped"), F.count(F.lit(1)).alias("records"))
+
+
 @query(CLICKS_SQL)
 def required_records(spark, sf_dir):
     return require_record(clicks(spark, sf_dir))
@@ -580,11 +597,9 @@ def messages_from_latest(spark, sf_dir):
     framed = encode_avro(clicks(spark, sf_dir, "event_id AS number"), CLICK_STREAM_V1, CLICK_ID)
     odd = F.col("number") % 2 == 1
     write_kafka(to_kafka_rows(framed.filter(~odd)), "clicks", folder=topic)
-    time.sleep(1.5)  # file times are whole seconds
-    since = datetime.now()
-    time.sleep(1.5)
+    mark = mark_latest(spark, topic, shared_folder(spark, "mark"))
     write_kafka(to_kafka_rows(framed.filter(odd)), "clicks", folder=topic)
-    later = read_events(spark, topic, streaming=False, latest_since=since)
+    later = read_events(spark, topic, streaming=False, after=mark)
     read = flatten(decode_avro(later, CLICK_SCHEMAS, fields=["event_id"]))
     return read.select(F.expr("CAST(substr(event_id, 7) AS BIGINT)").alias("event_id"))
 

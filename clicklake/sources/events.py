@@ -32,6 +32,7 @@ def read_events(
     *,
     streaming: bool = True,
     latest_since: datetime | None = None,
+    after: str | None = None,
     headers: bool = False,
 ) -> DataFrame:
     """Messages of a topic as a stream or a batch, always in the Kafka row form.
@@ -39,10 +40,11 @@ def read_events(
     ``source="kafka"`` reads Kafka with the options of the environment, overridden by
     ``options``; a batch read starts at the earliest offset unless told otherwise.
     Any other source is the path of a topic folder, with file-source options such as
-    ``maxFilesPerTrigger`` and ``maxBytesPerTrigger``, which bound a batch. A topic folder starts at its first file; ``latest_since``
-    starts it after the files that were there at that instant. Give a restarted job the
-    same instant, or the files that arrived between its runs are left out. ``headers`` adds
-    the messages' headers as a column.
+    ``maxFilesPerTrigger`` and ``maxBytesPerTrigger``, which bound a batch. A topic folder
+    starts at its first file; ``after`` names a mark (see :func:`mark_latest`), and the files
+    that were there when it was made are left out. ``latest_since`` leaves out files by their
+    time instead, which needs clocks that agree. ``headers`` adds the messages' headers as a
+    column.
     """
     schema = KAFKA_WITH_HEADERS if headers else KAFKA_SCHEMA
     reader = spark.readStream if streaming else spark.read
@@ -58,4 +60,19 @@ def read_events(
     rows = reader.format("parquet").schema(schema).options(**chosen).load(source)
     if latest_since is not None:
         rows = rows.filter(F.col("_metadata.file_modification_time") > F.lit(latest_since))
+    if after is not None:
+        seen = spark.read.schema("_seen string").parquet(after)
+        rows = rows.withColumn("_file", F.col("_metadata.file_path"))
+        rows = rows.join(seen, F.col("_file") == F.col("_seen"), "left_anti")
     return rows.select(*schema.names)
+
+
+def mark_latest(spark: SparkSession, folder: str, mark: str) -> str:
+    """Note which files a topic folder has now, so that a stream can start after them.
+
+    ``mark`` is a path beside the stream's checkpoint; a mark that is there stays as it is, so
+    a restarted job starts where it first did. Nothing hangs on file times or clocks.
+    """
+    files = spark.read.format("parquet").schema(KAFKA_SCHEMA).option("recursiveFileLookup", "true").load(folder)
+    files.select(F.col("_metadata.file_path").alias("_seen")).distinct().write.mode("ignore").parquet(mark)
+    return mark

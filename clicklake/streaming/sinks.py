@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -13,7 +14,7 @@ from ..functions.records import DLQ_TOPIC
 from ..operators.deadletter import dlq_messages
 from ..operators.keys import TOPIC_PARTITIONS, client_partition
 from ..sources.events import KAFKA_SCHEMA, KAFKA_WITH_HEADERS
-from ..sources.lake import batch_folder, read_table, stream_id
+from ..sources.lake import BATCH_COLUMN, QUERY_COLUMN, batch_folder, stream_id
 from ..sources.settings import kafka_options, table_format
 
 CHECKPOINT_IN_TABLE = "_checkpoints/streaming-queries"
@@ -163,20 +164,64 @@ def write_catalog_table(
 def compact(spark: SparkSession, path: str, target: str, until: str, by: str = "dt") -> None:
     """Rewrite the closed days of a batch table, those before ``until``, into few files.
 
-    ``target`` has a folder per day, each written whole and replaced if it is written again;
-    days without rows stay as they are. What ``path`` has of these days is left there, so
-    read the two by :func:`read_compacted`.
+    What is rewritten are the folders of a stream, a batch and a day that no earlier run
+    took, so rows of a closed day that come later are taken by the next run. A run writes its
+    rows, and then the names of its folders: without the names, its rows do not count. Read
+    the two by :func:`read_compacted`, and remove what was taken by :func:`remove_compacted`.
     """
-    closed = read_table(spark, path, "parquet").filter(F.col(by) < F.lit(until).cast("date"))
-    writer = closed.hint("rebalance", by).write.mode("overwrite").partitionBy(by)
-    writer.option("partitionOverwriteMode", "dynamic").parquet(target)
+    batches = _folders(spark, path, by).filter(F.col(by) < F.lit(until).cast("date"))
+    taken = _taken(spark, target, by)
+    new = batches.join(taken, [QUERY_COLUMN, BATCH_COLUMN, by], "left_anti")
+    run = f"run={uuid.uuid4().hex}"
+    rows = new.drop(QUERY_COLUMN, BATCH_COLUMN).hint("rebalance", by)
+    rows.write.partitionBy(by).parquet(f"{target}/rows/{run}")
+    names = new.select(QUERY_COLUMN, BATCH_COLUMN, by).distinct().coalesce(1)
+    names.write.parquet(f"{target}/folders/{run}")
+
+
+def _folders(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """A batch table with the names of the folders that its rows are in."""
+    rows = spark.read.parquet(path)
+    kinds = {QUERY_COLUMN: "string", BATCH_COLUMN: "long", by: "date"}
+    return rows.withColumns({name: F.col(name).cast(kind) for name, kind in kinds.items()})
+
+
+def _taken(spark: SparkSession, target: str, by: str) -> DataFrame:
+    """The folders that finished runs of :func:`compact` took, and the ``run``."""
+    schema = f"{QUERY_COLUMN} string, {BATCH_COLUMN} long, {by} date, run string"
+    try:
+        return spark.read.schema(schema).parquet(f"{target}/folders")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
 
+def read_compacted(spark: SparkSession, path: str, target: str, by: str = "dt") -> DataFrame:
+    """Every row of a batch table once: what was compacted from ``target``, all else from the batches."""
+    taken = _taken(spark, target, by)
+    batches = _folders(spark, path, by).join(taken, [QUERY_COLUMN, BATCH_COLUMN, by], "left_anti")
+    batches = batches.drop(QUERY_COLUMN, BATCH_COLUMN)
+    runs = taken.select("run").distinct()
+    if runs.isEmpty():
+        return batches
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{target}/rows")
+    rows = rows.withColumn("run", F.col("run").cast("string")).join(runs, "run", "left_semi").drop("run")
+    return rows.unionByName(batches, allowMissingColumns=True)
 
-def read_compacted(spark: SparkSession, path: str, target: str, until: str, by: str = "dt") -> DataFrame:
-    """The days before ``until`` from the compacted table, and the others from the batches."""
-    limit = F.lit(until).cast("date")
-    newer = read_table(spark, path, "parquet").filter(F.col(by) >= limit)
-    return read_table(spark, target, "parquet").filter(F.col(by) < limit).unionByName(newer, allowMissingColumns=True)
+
+def remove_compacted(spark: SparkSession, path: str, target: str, by: str = "dt") -> int:
+    """Remove the batch folders that finished runs took; how many were still there.
+
+    Call it when no reader has listed the table and still reads it. A batch that is tried
+    again afterwards comes back with the same rows, which are known as taken.
+    """
+    removed = 0
+    for row in _taken(spark, target, by).select(QUERY_COLUMN, BATCH_COLUMN, by).distinct().toLocalIterator():
+        folder = f"{path.rstrip('/')}/{QUERY_COLUMN}={row[0]}/{BATCH_COLUMN}={row[1]}/{by}={row[2]}"
+        name = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        removed += name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
+    return removed
 
 
 def write_batch(

@@ -1,3 +1,4 @@
+import shutil
 from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
@@ -8,12 +9,12 @@ from clicklake.functions.records import CLICK_STREAM_V1, DLQ_V1, USER_EVENT_V1,
 from clicklake.operators.codec import decode_avro, encode_avro, flatten
 from clicklake.operators.late import split_late, with_watermark
 from clicklake.plans.bronze import bronze
-from clicklake.sources.events import KAFKA_SCHEMA, read_events
+from clicklake.sources.events import KAFKA_SCHEMA, mark_latest, read_events
 from clicklake.sources.lake import as_stream, read_table, stream_id
 from clicklake.streaming import ingest as ingest_module
 from clicklake.streaming.ingest import Ingest, RowsLost, newest_before, read_progress
 from clicklake.streaming.progress import EventTotal, counted, progress_table
-from clicklake.streaming.sinks import await_end, compact, read_compacted, topic_rows, write_dlq, write_kafka, write_stream, write_table
+from clicklake.streaming.sinks import await_end, compact, read_compacted, remove_compacted, topic_rows, write_dlq, write_kafka, write_stream, write_table
 
 from . import samples
 
@@ -242,20 +243,49 @@ def test_a_batch_without_a_stream_id_is_refused(spark, tmp_path):
         stream_id(spark)
 
 
-def test_closed_days_are_compacted(spark, tmp_path, plan_of):
+def test_closed_days_are_compacted_and_later_rows_are_not_lost(spark, tmp_path, plan_of):
     folder, ingest = str(tmp_path / "topic"), make(tmp_path)
     for n in range(6):
         add_file(spark, folder, [(f"e{n}{d}", f"2024-01-0{d}T00:00:00") for d in range(1, 5)])
     run(spark, ingest, folder, tmp_path)
     target = str(tmp_path / "days")
+    files = lambda path: len(list(Path(path).rglob("*.parquet")))
+    expected = {f"e{n}{d}" for n in range(6) for d in range(1, 5)}
+
+    def whole():
+        rows = read_compacted(spark, ingest.table, target)
+        assert sorted(r.event_id for r in rows.collect()) == sorted(expected)
+        return rows
+
+    assert read_compacted(spark, ingest.table, target).count() == 24
     for _ in range(2):
         compact(spark, ingest.table, target, "2024-01-04")
-    files = lambda path: len(list(Path(path).rglob("*.parquet")))
-    assert files(ingest.table) == 24 and files(target) == 3
-    whole = read_compacted(spark, ingest.table, target, "2024-01-04")
-    assert sorted(r.event_id for r in whole.collect()) == sorted(f"e{n}{d}" for n in range(6) for d in range(1, 5))
-    day = whole.filter("dt = DATE'2024-01-02'")
+    assert files(ingest.table) == 24 and files(f"{target}/rows") == 3
+    day = whole().filter("dt = DATE'2024-01-02'")
     assert day.count() == 6 and "PartitionFilters: [isnotnull(dt" in plan_of(day, "simple")
+    # Rows of a closed day that come later are read from their batch, and taken by the next run.
+    add_file(spark, folder, [("late", "2024-01-02T12:00:00"), ("new", "2024-01-05T00:00:00")])
+    run(spark, ingest, folder, tmp_path)
+    expected |= {"late", "new"}
+    whole()
+    assert remove_compacted(spark, ingest.table, target) == 18 and files(ingest.table) == 8
+    assert remove_compacted(spark, ingest.table, target) == 0
+    whole()
+    compact(spark, ingest.table, target, "2024-01-05")
+    whole()
+    assert remove_compacted(spark, ingest.table, target) == 7 and files(ingest.table) == 1
+    assert whole().columns == [*samples.CLICK, "event_time", "dt"]
+
+
+def test_a_compaction_that_did_not_finish_does_not_count(spark, topic, tmp_path):
+    ingest, target = make(tmp_path), str(tmp_path / "days")
+    run(spark, ingest, topic, tmp_path)
+    compact(spark, ingest.table, target, "2024-01-03")
+    lost = next((tmp_path / "days" / "folders").iterdir())
+    shutil.rmtree(lost)
+    assert read_compacted(spark, ingest.table, target).count() == 12
+    compact(spark, ingest.table, target, "2024-01-03")
+    assert read_compacted(spark, ingest.table, target).count() == 12
 
 
 def full_rows(df):
@@ -362,3 +392,22 @@ def test_rebalanced_table_has_few_files_and_all_rows(spark, tmp_path):
         assert read_table(spark, str(tmp_path / name)).count() == 900
     files = {name: len(list((tmp_path / name).rglob("*.parquet"))) for name in ("plain", "even")}
     assert files["plain"] == 27 and files["even"] <= 9
+
+
+def test_a_stream_starts_after_its_mark(spark, topic, tmp_path):
+    mark = mark_latest(spark, topic, str(tmp_path / "mark"))
+    out = str(tmp_path / "out")
+
+    def run_on():
+        stream = write_stream(read_events(spark, topic, ONE_FILE, after=mark), out, fmt="parquet", trigger=ONCE)
+        await_end(stream, 120)
+        return spark.read.schema(KAFKA_SCHEMA).parquet(out).count()
+
+    assert run_on() == 0
+    add_file(spark, topic, [("new", "2024-01-09T00:00:00")])
+    assert mark_latest(spark, topic, mark) == mark
+    assert run_on() == 1 and read_events(spark, topic, streaming=False, after=mark).count() == 1
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    nothing = mark_latest(spark, str(empty), str(tmp_path / "nothing"))
+    assert read_events(spark, topic, streaming=False, after=nothing).count() == 15
