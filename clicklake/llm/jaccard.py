@@ -1,11 +1,13 @@
 """An exact join of documents by the Jaccard similarity of their word shingles.
 
 Documents with the same shingles are one class, compared once. Classes are partitioned into
-groups of similar ones by a min-hash. The matrix of tokens and groups holds, of every
-class, the rarest tokens: those of which two similar classes must share one. Groups that
-share a token there meet: the classes of the smaller group are queries to the larger one,
-whose union of tokens bounds what a query can have in common with any member, and only
-groups within the bound are opened.
+groups of similar ones by a min-hash. The matrix of tokens and groups holds each group's union
+of tokens, as far as it bounds anything: of every class the rarest tokens, of which two similar
+classes share ``SHARED`` at least (or all that they must have in common, if that is fewer).
+A join of the matrix with itself counts what groups share there, and only groups that share
+enough, and have members of fitting sizes, are opened to each other: only then are texts
+fetched and sets of tokens moved, the classes of the smaller group as queries to the larger.
+A block of the larger is asked by way of its whole union, once more a bound.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ ROWS_AT_ONCE = 2048
 # Cells that count tokens: what they say orders tokens, and goes to every task (8 MB).
 CELLS, SLICES = 2**21, 16
 MEMBERS, QUERIES = 512, 2048
+# So many tokens of the matrix two groups share before they are opened.
+SHARED = 3
+# What leaves out texts that no group asks for, before they are shuffled: 2 MB at any size.
+FILTER_BITS = 2**24
 
 _ONE, _TWO, _PRIME = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,10 +134,11 @@ class Order:
         self.frequent = mean + 6 * mean**0.5 + 16
 
     def prefix(self, tokens: np.ndarray) -> np.ndarray:
-        """The rarest tokens, so many that a similar set's share one with them."""
+        """The rarest tokens, so many that those of a similar set share ``least_shared`` with them."""
         size = len(tokens)
         order = np.lexsort((tokens, self.counts[_cell(tokens)]))
-        return tokens[order[: size - least_common(size, self.percent) + 1]]
+        least = least_common(size, self.percent)
+        return tokens[order[: size - least + min(SHARED, least)]]
 
     def group(self, tokens: np.ndarray) -> int:
         """The smallest hash of the set's frequent tokens, or of the others, whichever are more.
@@ -235,27 +242,57 @@ def _open(percent: int):
     return compare
 
 
-def _opened(members: DataFrame, queries: DataFrame, blocks: DataFrame, percent: int, alone: bool) -> DataFrame:
-    """Members and queries meet in blocks of at most about ``MEMBERS`` and ``QUERIES``.
+def _cells(members: DataFrame, queries: DataFrame, blocks: DataFrame, alone: bool) -> DataFrame:
+    """Where classes meet: ``_class``, ``_group``, ``_block``, ``_part``, ``_kind``, ``_alone``; no set is moved.
 
-    ``queries`` has a row per query and group. With ``alone``, members are compared with
-    each other in the part of the first queries.
+    Blocks have about ``MEMBERS`` members, parts about ``QUERIES`` queries. ``queries`` has a row
+    per query and group. With ``alone``, members are compared with each other in the part of
+    the first queries.
     """
     asked = queries.groupBy("_group").agg(F.count(F.lit(1)).alias("_asked"))
     parts = blocks.join(asked, "_group", "left").withColumn("_parts", F.greatest(F.ceil(F.coalesce("_asked", F.lit(0)) / QUERIES), F.lit(1)))
     up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     hashed = lambda n: F.pmod(F.xxhash64("_class"), n)
-    columns = ["_group", "_block", "_part", "_class", "_kind", "_tokens"]
+    columns = ["_class", "_group", "_block", "_part", "_kind"]
     placed = members.join(parts, "_group").withColumn("_block", hashed(F.col("_blocks")))
     placed = placed.withColumn("_part", up_to(F.col("_parts"))).withColumn("_kind", F.lit(0))
     asking = queries.join(parts, "_group").withColumn("_part", hashed(F.col("_parts")))
     pivot = F.col("_kind") == 2  # asked in all blocks, and in the part that compares members
     asking = asking.withColumn("_part", F.when(pivot, F.lit(0)).otherwise(F.col("_part"))).withColumn("_block", up_to(F.col("_blocks")))
     together = placed.select(columns).unionByName(asking.select(columns))
-    together = together.withColumn("_alone", (F.col("_part") == 0) & F.lit(alone))
+    return together.withColumn("_alone", (F.col("_part") == 0) & F.lit(alone))
+
+
+def _opened(sets: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """The links found in the cells; each set is shuffled to the cells that it is in."""
+    together = cells.join(sets, "_class")
     return together.groupBy("_group", "_block", "_part").applyInArrow(_open(percent), LINKS)
 
 
+def _wanted_texts(marked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``marked`` with a class of ``wanted``; most others go before any shuffle.
+
+    The filter is a bit per hash, of a fixed size: the more texts are wanted, the more others
+    pass it, and the join has the last word.
+    """
+    name = lambda key, mark: F.pmod(F.xxhash64(key, mark), F.lit(FILTER_BITS))
+    bits = wanted.select(name("_one._id", "_one._mark").alias("_bit"))
+    one = F.expr("shiftleft(1L, CAST(_bit % 32 AS INT))")
+    words = bits.groupBy(F.floor(F.col("_bit") / 32).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    held = np.zeros(FILTER_BITS // 32, np.uint32)
+    held[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    shared = marked.sparkSession.sparkContext.broadcast(held)
+
+    @F.arrow_udf("boolean")
+    def may_be(bit: pa.Array) -> pa.Array:
+        place = bit.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1)
+
+    some = marked.filter(may_be(name("_id", "_mark")))
+    same = F.col("_id").eqNullSafe(F.col("_one._id")) & (F.col("_mark") == F.col("_one._mark"))
+    return some.join(wanted, same).select("_text", "_class")
+
+
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Every document's shingle count and component: ``key``, ``n_shingles``, ``component_id``.
 
@@ -312,29 +349,31 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
                     rows.append(n)
                     seen.add(classes[n])
             blobs = [sets[n].astype("<u8").tobytes() for n in rows]
-            names = ("_class", "_group", "_size")
-            made = [batch.column(c).take(pa.array(rows, pa.int64())) for c in names]
-            yield pa.RecordBatch.from_arrays([*made, pa.array(blobs, pa.binary())], [*names, "_tokens"])
+            made = [batch.column("_class").take(pa.array(rows, pa.int64())), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, ["_class", "_tokens"])
 
     signed = stored(marked.mapInArrow(sign, f"_id {kind}, _mark binary, _size long, _class binary, _group long"), "jaccard-sets")
     one = F.min(F.struct("_id", "_mark")).alias("_one")
     of_class = [F.min("_id").alias("_first"), one, F.first("_group").alias("_group"), F.first("_size").alias("_size")]
     classes = signed.filter("_class IS NOT NULL").groupBy("_class").agg(*of_class)
     classes = stored(classes, "jaccard-classes")
-    # The token-group matrix, by token; rows of a single group can bring nothing together.
-    matrix = read.select("_text").mapInArrow(tell, "_token long, _group long").groupBy("_token").agg(F.collect_set("_group").alias("_groups"))
-    shared = matrix.filter(F.size("_groups") > 1).select(F.array_sort("_groups").alias("_groups")).distinct()
-    ones = shared.select(F.explode("_groups").alias("_one"), "_groups")
-    pairs = ones.select("_one", F.explode(F.filter("_groups", lambda g: g > F.col("_one"))).alias("_other"))
     facts = [F.count(F.lit(1)).alias("_count"), F.min("_class").alias("_pivot"), F.min("_size").alias("_low"), F.max("_size").alias("_high")]
     sizes = stored(classes.groupBy("_group").agg(*facts), "jaccard-groups")
+    # The token-group matrix, by token; rows of a single group can bring nothing together.
+    matrix = read.select("_text").mapInArrow(tell, "_token long, _group long").groupBy("_token").agg(F.collect_set("_group").alias("_groups"))
+    shared = matrix.filter(F.size("_groups") > 1).groupBy(F.array_sort("_groups").alias("_groups")).agg(F.count(F.lit(1)).alias("_tokens"))
+    ones = shared.select(F.explode("_groups").alias("_one"), "_groups", "_tokens")
+    pairs = ones.select("_one", F.explode(F.filter("_groups", lambda g: g > F.col("_one"))).alias("_other"), "_tokens")
+    pairs = pairs.groupBy("_one", "_other").agg(F.sum("_tokens").alias("_shared"))
     size_of = lambda name: sizes.select(
         F.col("_group").alias(name), *[F.col(c).alias(name + c) for c in ("_count", "_low", "_high")]
     )
-    told = pairs.distinct().join(size_of("_one"), "_one").join(size_of("_other"), "_other")
+    told = pairs.join(size_of("_one"), "_one").join(size_of("_other"), "_other")
     # The smaller of two similar sets has that share of the larger at least.
     fits = lambda small, large: 100 * F.col(small) >= percent * F.col(large)
-    told = told.filter(fits("_one_high", "_other_low") & fits("_other_high", "_one_low"))
+    least = F.least("_one_low", "_other_low")
+    enough = F.col("_shared") >= F.least(F.lit(SHARED), F.ceil(percent * least / 100))
+    told = told.filter(enough & fits("_one_high", "_other_low") & fits("_other_high", "_one_low"))
     swap = F.col("_one_count") > F.col("_other_count")
     told = told.select(
         F.when(swap, F.col("_other")).otherwise(F.col("_one")).alias("_from"),
@@ -344,29 +383,28 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         ],
     )
     told = stored(told, "jaccard-pairs")
-    met = told.select("_group").unionByName(told.select(F.col("_from").alias("_group"))).distinct()
-    active = met.unionByName(sizes.filter("_count > 1").select("_group")).distinct()
-    wanted = classes.join(active, "_group").select("_one", "_class", "_group", "_size")
-    same = F.col("_id").eqNullSafe(F.col("_one._id")) & (F.col("_mark") == F.col("_one._mark"))
-    fetched = marked.join(wanted, same).select("_text", "_class", "_group", "_size")
-    sets = fetched.mapInArrow(whole, "_class binary, _group long, _size long, _tokens binary")
-    # Rows of one id and text give a class once a task; equal sets in a group do no harm.
-    sets = stored(sets, "jaccard-tokens")
+    asking = classes.withColumnRenamed("_group", "_from").join(told, "_from").withColumn("_kind", F.lit(1))
+    asking = asking.filter(fits("_high", "_size") & fits("_size", "_low")).select("_class", "_group", "_kind")
     blocks = sizes.select("_group", F.ceil(F.col("_count") / MEMBERS).alias("_blocks"), "_pivot")
     many = blocks.filter("_blocks > 1")
-    pivots = sets.join(many.select("_group", F.col("_pivot").alias("_class")), ["_group", "_class"]).dropDuplicates(["_group", "_class"])
-    asking = sets.withColumnRenamed("_group", "_from").join(told, "_from").withColumn("_kind", F.lit(1))
-    asking = asking.filter(fits("_high", "_size") & fits("_size", "_low"))
-    columns = ["_group", "_class", "_kind", "_tokens"]
-    queries = asking.select(columns).unionByName(pivots.withColumn("_kind", F.lit(2)).select(columns))
+    pivots = many.select(F.col("_pivot").alias("_class"), "_group", F.lit(2).alias("_kind"))
+    queries = stored(asking.unionByName(pivots), "jaccard-queries")
+    # Groups that are opened: those that are asked, and those of several members.
+    active = queries.select("_group").unionByName(sizes.filter("_count > 1").select("_group")).distinct()
+    members = classes.join(active, "_group", "left_semi").select("_class", "_group")
     sized = blocks.drop("_pivot")
-    found = stored(_opened(sets, queries, sized, percent, True), "jaccard-links")
+    cells = stored(_cells(members, queries, sized, True), "jaccard-cells")
+    wanted = classes.join(cells.select("_class").distinct(), "_class", "left_semi").select("_one", "_class")
+    # Rows of one id and text give a class once a task; equal sets in a cell do no harm.
+    sets = stored(_wanted_texts(marked, wanted).mapInArrow(whole, "_class binary, _tokens binary"), "jaccard-tokens")
+    found = stored(_opened(sets, cells, percent), "jaccard-links")
     links = found.filter("NOT _left").select("a", "b")
-    away = found.filter("_left").select(F.col("a").alias("_class"))
+    away = found.filter("_left").select(F.col("a").alias("_class")).distinct()
     if not away.isEmpty():
-        late = sets.join(away.distinct(), "_class", "left_semi").withColumn("_kind", F.lit(1)).select(columns)
-        several = sets.join(many.select("_group"), "_group", "left_semi")
-        links = links.unionByName(_opened(several, late, sized, percent, False).select("a", "b"))
+        # Members away from their group's pivot are queries to all blocks of the group.
+        late = away.join(classes, "_class").select("_class", "_group", F.lit(1).alias("_kind"))
+        several = members.join(late.select("_group").distinct(), "_group", "left_semi")
+        links = links.unionByName(_opened(sets, _cells(several, late, sized, False), percent).select("a", "b"))
     rooted = components(links).withColumnRenamed("node", "_class")
     owned = classes.join(rooted, "_class", "left").select("_class", "_first", F.coalesce("root", "_class").alias("_root"))
     least = owned.groupBy("_root").agg(F.min("_first").alias("_component"))
