@@ -22,6 +22,7 @@ LENGTH = 4096
 PAD = 0
 # A window ends with the batch that brings it to so many ids; so many sequences stay open after it.
 WINDOW, CARRIED = 4 * 2**20, 64
+SEQUENCES_AT_ONCE = 512
 
 
 class CapacityTree:
@@ -76,17 +77,67 @@ def id_type(vocabulary_size: int) -> np.dtype:
     return np.dtype("<u2" if vocabulary_size <= 2**16 else "<u4")
 
 
-def _row(pieces: list[tuple], length: int, kind: np.dtype) -> tuple:
-    """One sequence: its ids, padded; the ends of its segments; whose they are."""
-    row, ends = np.full(length, PAD, kind), [0]
-    for _, _, _, ids in pieces:
-        row[ends[-1] : ends[-1] + len(ids)] = ids
-        ends.append(ends[-1] + len(ids))
-    keys, numbers, starts, _ = zip(*pieces, strict=True)
-    return row.tobytes(), ends, ends[:-1], list(keys), list(numbers), list(starts)
+FIELDS = ("ids", "cu_seqlens", "position_resets", "doc_ids", "pieces", "starts")
 
 
-FIELDS = ("ids", "cu_seqlens", "position_resets", "doc_ids", "pieces", "starts")
+def _spans(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of spans, one after the other."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+class Waiting:
+    """Pieces that wait to be packed: all ids in one buffer, and a column of each fact."""
+
+    def __init__(self, length: int, dtype: np.dtype, key_type: pa.DataType):
+        self.length, self.ids = length, np.empty(0, dtype)
+        self.sizes, self.numbers, self.starts = (np.empty(0, np.int64) for _ in range(3))
+        self.keys = pa.array([], key_type)
+
+    def add(self, ids: np.ndarray, bounds: np.ndarray, keys: pa.Array) -> None:
+        """The documents of a batch, cut into pieces; none is empty, as each ends with an id."""
+        sizes = np.diff(bounds)
+        pieces = -(-sizes // self.length)
+        row = np.repeat(np.arange(len(sizes)), pieces)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = number * self.length
+        self.ids = np.concatenate([self.ids, ids])
+        self.sizes = np.concatenate([self.sizes, np.minimum(sizes[row] - start, self.length)])
+        self.numbers = np.concatenate([self.numbers, number])
+        self.starts = np.concatenate([self.starts, start])
+        self.keys = pa.concat_arrays([self.keys, keys.take(pa.array(row))])
+
+    def taken(self, order: np.ndarray) -> Waiting:
+        """These pieces, in this order, as a window of their own."""
+        out = Waiting(self.length, self.ids.dtype, self.keys.type)
+        begins = np.cumsum(self.sizes) - self.sizes
+        out.ids = self.ids[_spans(begins[order], self.sizes[order])]
+        out.sizes, out.numbers, out.starts = self.sizes[order], self.numbers[order], self.starts[order]
+        out.keys = self.keys.take(pa.array(order))
+        return out
+
+    def rows(self, counts: np.ndarray) -> pa.RecordBatch:
+        """All pieces as sequences, which have so many of them each."""
+        row = np.repeat(np.arange(len(counts)), counts)
+        ends = np.cumsum(self.sizes)
+        first = np.concatenate([[0], ends])[np.cumsum(counts) - counts]
+        within = ends - self.sizes - first[row]
+        matrix = np.full(len(counts) * self.length, PAD, self.ids.dtype)
+        matrix[_spans(row * self.length + within, self.sizes)] = self.ids
+        lists = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        longer = pa.array(np.concatenate([[0], np.cumsum(counts + 1)]), pa.int32())
+        segments = np.zeros(len(row) + len(counts), np.int32)
+        segments[np.arange(len(row)) + row + 1] = within + self.sizes
+        width = np.arange(len(counts) + 1, dtype=np.int32) * (self.length * self.ids.dtype.itemsize)
+        ids = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(width), pa.py_buffer(matrix)])
+        columns = [
+            ids,
+            pa.ListArray.from_arrays(longer, pa.array(segments)),
+            pa.ListArray.from_arrays(lists, pa.array(within.astype(np.int32))),
+            pa.ListArray.from_arrays(lists, self.keys),
+            pa.ListArray.from_arrays(lists, pa.array(self.numbers.astype(np.int32))),
+            pa.ListArray.from_arrays(lists, pa.array(self.starts)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, list(FIELDS))
 
 
 def matrices(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -115,34 +166,29 @@ def matrices(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
     key_type = to_arrow_type(docs.schema[key].dataType)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        words, total = word_ids(vocabulary), 0
+        words = word_ids(vocabulary)
         dtype = id_type(words.tokenizer.get_vocab_size())
+        held = Waiting(length, dtype, key_type)
 
         def emit(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, total
-            bins = packed_bins(np.array([len(p[3]) for p in held], np.int64), length)
-            bins.sort(key=lambda items: sum(len(held[i][3]) for i in items))
-            kept = [] if last else [i for items in bins[:CARRIED] for i in items]
-            rows = [_row([held[i] for i in sorted(items)], length, dtype) for items in bins[0 if last else CARRIED :]]
-            held = [held[i] for i in sorted(kept)]
-            total = sum(len(p[3]) for p in held)
-            for start in range(0, len(rows), 512):
-                columns = list(zip(*rows[start : start + 512], strict=True))
-                kinds = [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(key_type), pa.list_(pa.int32()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(FIELDS))
+            nonlocal held
+            bins = packed_bins(held.sizes, length)
+            sizes = held.sizes.tolist()
+            bins.sort(key=lambda items: sum(sizes[i] for i in items))
+            carried = 0 if last else CARRIED
+            for start in range(carried, len(bins), SEQUENCES_AT_ONCE):
+                some = [sorted(items) for items in bins[start : start + SEQUENCES_AT_ONCE]]
+                order = np.array([i for items in some for i in items], np.int64)
+                yield held.taken(order).rows(np.array([len(items) for items in some], np.int64))
+            held = held.taken(np.array(sorted(i for items in bins[:carried] for i in items), np.int64))
 
         for whole in batches:
             for batch in _slices(whole, "_text", TEXT_AT_ONCE):
                 ids, bounds = words(batch.column("_text"))
-                ids = ids.astype(dtype)
-                for name, a, b in zip(batch.column("_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    for number, start in enumerate(range(a, b, length)):
-                        held.append((name, number, start - a, ids[start : min(start + length, b)]))
-                total += len(ids)
-                if total >= WINDOW:
+                held.add(ids.astype(dtype), bounds, batch.column("_id").cast(key_type))
+                if len(held.ids) >= WINDOW:
                     yield from emit(False)
-        if held:
+        if len(held.sizes):
             yield from emit(True)
 
     rows = read.mapInArrow(pack, types)
