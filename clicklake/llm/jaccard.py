@@ -2,8 +2,8 @@
 
 Documents with the same shingles are one class, compared once. Classes are partitioned into
 groups of similar ones by a min-hash. The matrix of tokens and groups holds each group's union
-of tokens, as far as it bounds anything: of every class the rarest tokens, of which two similar
-classes share ``SHARED`` at least (or all that they must have in common, if that is fewer).
+of tokens, as far as it bounds anything: of every class the rarest tokens, so many that two
+similar classes share ``SHARED`` percent of the smaller one's number of tokens among them.
 A join of the matrix with itself counts what groups share there, and only groups that share
 enough, and have members of fitting sizes, are opened to each other: only then are texts
 fetched and sets of tokens moved, the classes of the smaller group as queries to the larger.
@@ -31,8 +31,9 @@ ROWS_AT_ONCE = 2048
 # Cells that count tokens: what they say orders tokens, and goes to every task (8 MB).
 CELLS, SLICES = 2**21, 16
 MEMBERS, QUERIES = 512, 2048
-# So many tokens of the matrix two groups share before they are opened.
-SHARED = 3
+# Two groups are opened to each other if they share so many percent of a set's tokens, and so
+# many at least, in the matrix. More percent are more rows there, and fewer sets that move.
+SHARED, LEAST_SHARED = 8, 3
 # What leaves out texts that no group asks for, before they are shuffled: 2 MB at any size.
 FILTER_BITS = 2**24
 
@@ -125,6 +126,11 @@ def least_common(size, percent: int):
     return -(-percent * size // 100)
 
 
+def least_shared(size: int, percent: int) -> int:
+    """So many tokens of the matrix a set of this size shares with any similar set that is not smaller."""
+    return min(least_common(size, percent), max(LEAST_SHARED, SHARED * size // 100))
+
+
 class Order:
     """Rare tokens first, and the min-hash that names a set's group."""
 
@@ -137,8 +143,7 @@ class Order:
         """The rarest tokens, so many that those of a similar set share ``least_shared`` with them."""
         size = len(tokens)
         order = np.lexsort((tokens, self.counts[_cell(tokens)]))
-        least = least_common(size, self.percent)
-        return tokens[order[: size - least + min(SHARED, least)]]
+        return tokens[order[: size - least_common(size, self.percent) + least_shared(size, self.percent)]]
 
     def group(self, tokens: np.ndarray) -> int:
         """The smallest hash of the set's frequent tokens, or of the others, whichever are more.
@@ -371,8 +376,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     told = pairs.join(size_of("_one"), "_one").join(size_of("_other"), "_other")
     # The smaller of two similar sets has that share of the larger at least.
     fits = lambda small, large: 100 * F.col(small) >= percent * F.col(large)
-    least = F.least("_one_low", "_other_low")
-    enough = F.col("_shared") >= F.least(F.lit(SHARED), F.ceil(percent * least / 100))
+    low = F.least("_one_low", "_other_low")
+    of_size = F.greatest(F.lit(LEAST_SHARED), F.floor(SHARED * low / 100))
+    enough = F.col("_shared") >= F.least(F.ceil(percent * low / 100), of_size)
     told = told.filter(enough & fits("_one_high", "_other_low") & fits("_other_high", "_one_low"))
     swap = F.col("_one_count") > F.col("_other_count")
     told = told.select(
