@@ -7,7 +7,8 @@ similar classes share ``SHARED`` percent of the smaller one's number of tokens a
 A join of the matrix with itself counts what groups share there, and only groups that share
 enough, and have members of fitting sizes, are opened to each other: only then are texts
 fetched and sets of tokens moved, the classes of the smaller group as queries to the larger.
-A block of the larger is asked by way of its whole union, once more a bound.
+A block of the larger is asked by way of its whole union, once more a bound. Groups whose
+pivots join them to one component first need no further comparison.
 """
 
 from __future__ import annotations
@@ -390,27 +391,43 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     )
     told = stored(told, "jaccard-pairs")
     asking = classes.withColumnRenamed("_group", "_from").join(told, "_from").withColumn("_kind", F.lit(1))
-    asking = asking.filter(fits("_high", "_size") & fits("_size", "_low")).select("_class", "_group", "_kind")
+    asking = asking.filter(fits("_high", "_size") & fits("_size", "_low"))
     blocks = sizes.select("_group", F.ceil(F.col("_count") / MEMBERS).alias("_blocks"), "_pivot")
     many = blocks.filter("_blocks > 1")
     pivots = many.select(F.col("_pivot").alias("_class"), "_group", F.lit(2).alias("_kind"))
-    queries = stored(asking.unionByName(pivots), "jaccard-queries")
-    # Groups that are opened: those that are asked, and those of several members.
-    active = queries.select("_group").unionByName(sizes.filter("_count > 1").select("_group")).distinct()
-    members = classes.join(active, "_group", "left_semi").select("_class", "_group")
+    columns = ["_class", "_group", "_kind"]
+    # First, members of a group with each other, and of each group the pivot with the largest
+    # group it is opened to: most near copies are joined by these few.
+    largest = F.max(F.struct("_count", "_group")).alias("_largest")
     sized = blocks.drop("_pivot")
-    cells = stored(_cells(members, queries, sized, True), "jaccard-cells")
-    wanted = classes.join(cells.select("_class").distinct(), "_class", "left_semi").select("_one", "_class")
+    alone = told.join(sizes.select("_group", "_count"), "_group").groupBy("_from").agg(largest)
+    alone = alone.join(sizes.select(F.col("_group").alias("_from"), F.col("_pivot").alias("_class")), "_from")
+    queries = stored(alone.select("_class", "_largest._group", F.lit(1).alias("_kind")).unionByName(pivots), "jaccard-first-queries")
+    opened = told.select("_group").unionByName(sizes.filter("_count > 1").select("_group"))
+    wanted = classes.join(opened.unionByName(told.select(F.col("_from").alias("_group"))).distinct(), "_group", "left_semi")
     # Rows of one id and text give a class once a task; equal sets in a cell do no harm.
-    sets = stored(_wanted_texts(marked, wanted).mapInArrow(whole, "_class binary, _tokens binary"), "jaccard-tokens")
-    found = stored(_opened(sets, cells, percent), "jaccard-links")
+    sets = _wanted_texts(marked, wanted.select("_one", "_class")).mapInArrow(whole, "_class binary, _tokens binary")
+    sets = stored(sets, "jaccard-tokens")
+    first = queries.select("_group").unionByName(sizes.filter("_count > 1").select("_group")).distinct()
+    members = classes.join(first, "_group", "left_semi").select("_class", "_group")
+    found = stored(_opened(sets, _cells(members, queries, sized, True), percent), "jaccard-links")
     links = found.filter("NOT _left").select("a", "b")
     away = found.filter("_left").select(F.col("a").alias("_class")).distinct()
     if not away.isEmpty():
         # Members away from their group's pivot are queries to all blocks of the group.
         late = away.join(classes, "_class").select("_class", "_group", F.lit(1).alias("_kind"))
         several = members.join(late.select("_group").distinct(), "_group", "left_semi")
-        links = links.unionByName(_opened(sets, _cells(several, late, sized, False), percent).select("a", "b"))
+        links = stored(links.unionByName(_opened(sets, _cells(several, late, sized, False), percent).select("a", "b")), "jaccard-links")
+    # Then every class with the groups that its own is opened to, but for groups joined with it as a whole.
+    roots = components(links).withColumnRenamed("node", "_class")
+    rooted = classes.select("_class", "_group").join(roots, "_class", "left").withColumn("_root", F.coalesce("root", "_class"))
+    rooted = stored(rooted.select("_class", "_group", "_root"), "jaccard-roots")
+    one_root = F.when(F.min("_root") == F.max("_root"), F.min("_root")).alias("_whole")
+    asking = asking.select(columns).join(rooted.select("_class", "_root"), "_class").join(rooted.groupBy("_group").agg(one_root), "_group")
+    asking = stored(asking.filter(~F.col("_root").eqNullSafe(F.col("_whole"))).select(columns), "jaccard-queries")
+    asked = classes.join(asking.select("_group").distinct(), "_group", "left_semi").select("_class", "_group")
+    more = _opened(sets, _cells(asked, asking, sized, False), percent).select("a", "b")
+    links = stored(links.unionByName(more), "jaccard-all-links")
     rooted = components(links).withColumnRenamed("node", "_class")
     owned = classes.join(rooted, "_class", "left").select("_class", "_first", F.coalesce("root", "_class").alias("_root"))
     least = owned.groupBy("_root").agg(F.min("_first").alias("_component"))
