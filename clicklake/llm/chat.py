@@ -237,15 +237,17 @@ def _quoted(text: Column) -> Column:
 def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results made of ``conversations``: each assistant's turn calls, the next one answers.
 
-    A call needs that of two turns before, and every other pair of calls is listed the wrong
-    way round. What is asked, and by which tool, follows from the length of the text.
+    A call asks for its turn's whole text, needs the call of two turns before, and every other
+    pair of calls is listed the wrong way round. By which tool, and with what else, follows
+    from the length of the text. Turns of users and of the system are results of the turn
+    before them, or of none.
     """
     size = F.char_length(F.coalesce("text", F.lit("")))
     identifier = lambda turn: F.concat_ws("_", F.lit("call"), "conv_id", turn)
     limit = (size % 20).cast("string")
     arguments = F.concat(
         F.lit('{"query": '),
-        _quoted(F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.lit(24))),
+        _quoted(F.coalesce("text", F.lit(""))),
         F.lit(', "limit": '),
         F.when(size % 7 == 0, F.concat(F.lit('"'), limit, F.lit('"'))).otherwise(limit),
         F.when(size % 3 == 0, F.lit(', "deep":true')).otherwise(F.lit("")),
@@ -260,7 +262,7 @@ def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         arguments.alias("arguments"),
         F.when(F.col("turn") >= 2, F.array(identifier(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("needs"),
     )
-    results = turns.filter("role = 'user'").select(
+    results = turns.filter("role IN ('user', 'system')").select(
         "conv_id", identifier(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content")
     )
     return calls, results
@@ -275,14 +277,14 @@ def op1_chat(spark, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH calls AS (
   SELECT conv_id, turn, 'call_' || conv_id || '_' || turn AS call_id, len(coalesce(text, '')) AS n,
-    to_json(substr(coalesce(text, ''), 1, 24)) AS query,
+    to_json(coalesce(text, '')) AS query,
     CASE len(coalesce(text, '')) % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' WHEN 2 THEN 'compute' ELSE 'other' END AS name,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
     CASE WHEN turn >= 2 THEN 'call_' || conv_id || '_' || (turn - 2) END AS need
   FROM conversations WHERE role = 'assistant'),
 results AS (
   SELECT conv_id, 'call_' || conv_id || '_' || (turn - 1) AS call_id, text AS content
-  FROM conversations WHERE role = 'user'),
+  FROM conversations WHERE role IN ('user', 'system')),
 checked AS (
   SELECT *, need IS NOT NULL AND need NOT IN (SELECT call_id FROM calls) AS lost,
     CASE WHEN name = 'other' THEN ['unknown_tool'] WHEN n % 11 = 0 THEN ['invalid_json'] ELSE list_filter([
