@@ -14,6 +14,8 @@ MOST_REPEATS = 3
 BLOCK = 64
 SLOTS_PER_BUCKET = 4096
 GOLDEN = 0.6180339887498949
+# The fraction of 2^26 times the golden ratio: points of large slot numbers lose no digits.
+FAR, FAR_GOLDEN = 2**26, 0.46600689375735134
 # Lengths are added up in parts of this many key values, the first 24 bits of a hash.
 KEYS = 2**24
 
@@ -48,7 +50,8 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
     """Slots dealt to sources in proportion to their targets: ``number``, ``rank``.
 
     Slot t stands at the golden-ratio point frac((t + 1/2) / phi), which is mapped through
-    the cumulative targets; ``rank`` counts the slots of a source from 0. Any run of slots
+    the cumulative targets; it is computed from the upper and lower bits of t apart, so that
+    points stay spread over 10^15 slots; ``rank`` counts the slots of a source from 0. Any run of slots
     has each source close to its share. Points find their source by the cell of [0, 1)
     that both fall into.
     """
@@ -75,7 +78,8 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
     count = spans.select(F.max("_cells")).first()[0]
     if count is None:
         return spark.createDataFrame([], "number long, rank long")
-    point = (F.col("id") + 0.5) * GOLDEN
+    far = F.call_function("div", F.col("id"), F.lit(FAR)) * F.lit(FAR_GOLDEN)
+    point = far - F.floor(far) + (F.col("id") % FAR + 0.5) * GOLDEN
     points = spark.range(slots).withColumn("_point", point - F.floor(point))
     points = points.withColumn("_cell", F.floor(F.col("_point") * count))
     dealt = points.join(cells, "_cell").filter("_low <= _point AND _point < _high")
@@ -83,9 +87,10 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
     return running_sum(dealt, ["number"], "_bucket", ["id"], F.lit(1), "rank").select("number", "rank")
 
 
-def _hex_key(key: Column) -> Column:
-    """A hash in hex as text; rows are shuffled by sorting on it."""
-    return F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+def _hex_key(key: Column, text: Column) -> Column:
+    """A hash in hex as text; rows are shuffled by sorting on it, and those of one key spread."""
+    name = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))
+    return F.md5(name.cast("binary"))
 
 
 def mixed(
@@ -100,8 +105,8 @@ def mixed(
     """How many words of each document the mix takes.
 
     Gives ``key``, ``size``, ``source_size``, ``target`` and ``taken`` (long), a row per
-    row of ``docs``. A source's documents are shuffled by the hash of their key and laid
-    end to end; the words are cut into blocks of ``block``. The slots of the schedule
+    row of ``docs``. A source's documents are shuffled by the hash of their key and text and
+    laid end to end; the words are cut into blocks of ``block``. The slots of the schedule
     that fall to a source take its blocks in turn, again from the first after the last,
     ``most`` times at most. A null or empty text has size 0 and nothing is taken of it;
     null sources are one source, the last; rows that are alike count each; an empty table
@@ -112,7 +117,7 @@ def mixed(
             F.col(key).alias("_id"),
             F.col(source).alias("source"),
             word_count(F.col(text)).alias("size"),
-            _hex_key(F.col(key)).alias("_key"),
+            _hex_key(F.col(key), F.col(text)).alias("_key"),
         ),
         "mixing-sizes",
     )
@@ -159,7 +164,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) k,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')) k,
     CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) size
   FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) source_size FROM sized GROUP BY source),
@@ -179,8 +184,10 @@ spans AS (
     SELECT *, coalesce(sum(target) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING
       AND 1 PRECEDING), 0) / sum(target) OVER () lo FROM sources WHERE target > 0)),
 points AS (
-  SELECT id, (id + 0.5::DOUBLE) * {GOLDEN}::DOUBLE - floor((id + 0.5::DOUBLE) * {GOLDEN}::DOUBLE) u
-  FROM range((SELECT CAST(ceil(sum(size) / {BLOCK}.0) AS BIGINT) FROM sized)) t(id)),
+  SELECT id, p - floor(p) u FROM (
+    SELECT id, f - floor(f) + (id % {FAR} + 0.5::DOUBLE) * {GOLDEN}::DOUBLE p FROM (
+      SELECT id, (id // {FAR}) * {FAR_GOLDEN}::DOUBLE f
+      FROM range((SELECT CAST(ceil(sum(size) / {BLOCK}.0) AS BIGINT) FROM sized)) t(id)))),
 dealt AS (
   SELECT number, source_size, row_number() OVER (PARTITION BY number ORDER BY id) - 1 AS r
   FROM points JOIN spans ON lo <= u AND u < hi),
