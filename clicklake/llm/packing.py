@@ -2,10 +2,11 @@
 
 Documents are cut into pieces of at most the length of a sequence. Partitions of pieces are
 packed by best-fit decreasing, and dual-feasible functions bound how few sequences could
-do. What a partition uses above its tokens' worth of whole sequences is its gap: partitions
-with a gap put their emptiest sequences together with those of others, and the pieces in
-them are packed again; those without give their emptiest sequence only. The rounds end
-when the whole meets the bound of all pieces, or one partition is left.
+do, of each partition and of the whole. What a partition uses above its share of the whole's
+bound is its gap: it opens as many of its emptiest sequences as the gap asks for, however many;
+a partition without a gap opens the emptiest one only. The pieces of open sequences are
+exchanged, in as many tasks as they fill, and packed again, until the whole meets its bound, or
+one task has packed all that was open.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from .common import buckets_for, documents, give_back, rows_of, ship_code, store
 LENGTH = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-PIECES_PER_PART = 16384
-# How many partitions exchange pieces with each other, and how many sequences each opens.
-MERGED, OPENED = 16, 256
+# A row per piece is some 50 bytes: a task holds some 13 MB of them, and up to so many times that
+# when open pieces of partitions are put together.
+PIECES_PER_PART, MERGED = 2**18, 4
+# So many sequences are opened for each one that a partition uses above its bound.
+OPENED_PER_GAP = 32
 TEXT_AT_ONCE = 8 * 2**20
 WORDS_KEPT, WORDS_AT_ONCE = 2**20, 2**15
 
@@ -205,10 +208,11 @@ def lower_bound(counts: np.ndarray, capacity: int) -> float:
 ROUND = "_round int, _part long, _bin long, offset long, _open boolean, _bound double"
 
 
-def _packer(capacity: int, number: int, names: list[str]):
+def _packer(capacity: int, number: int, names: list[str], share: float):
     """Packs the pieces of one partition, tells its bound, and opens its emptiest sequences.
 
-    A packing that meets the bound cannot be bettered within the partition, only by exchange.
+    A packing that meets the bound cannot be bettered within the partition, only by exchange;
+    ``share`` is what the whole's bound allows for each token.
     """
 
     def pack(rows: pa.Table) -> pa.Table:
@@ -226,8 +230,8 @@ def _packer(capacity: int, number: int, names: list[str]):
         offset = np.empty(len(bins), np.int64)
         offset[order] = ends - lengths[order] - np.concatenate([[0], np.cumsum(filled)])[bins[order]]
         is_open = np.zeros(len(filled), bool)
-        gap = len(filled) - -(-int(lengths.sum()) // capacity)
-        emptiest = np.argsort(filled, kind="stable")[: OPENED if gap else 1]
+        gap = len(filled) - int(share * int(lengths.sum()))
+        emptiest = np.argsort(filled, kind="stable")[: max(1, OPENED_PER_GAP * gap)]
         is_open[emptiest[filled[emptiest] < capacity]] = True
         part = rows["_to"][0].as_py()
         made = {
@@ -248,40 +252,51 @@ def packed(cut: DataFrame, capacity: int = LENGTH, per_part: int = PIECES_PER_PA
 
     Offsets are gapless from 0 within each sequence. Other columns stay, but those named
     ``sequence_id`` and ``offset``. Pieces that are alike count each; an empty table gives
-    an empty result. A task holds ``per_part`` pieces, or the ``OPENED`` emptiest sequences
-    of ``MERGED`` partitions; the rounds end when the whole meets its bound.
+    an empty result. A task holds about ``per_part`` pieces, and ``MERGED`` times as many in
+    an exchange at most. The rounds end when the whole meets its bound, when one task has packed all that was still open, or when a round over
+    as many tasks as the one before saved nothing; :func:`certificate` tells how far the
+    whole is from its bound.
     """
     ship_code(cut.sparkSession)
-    names = [name for name in cut.columns if name not in ("sequence_id", "offset")]
-    table = stored(cut.select(*names), "packing-pieces")
-    spark, kinds = cut.sparkSession, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*names).schema)
+    given = [name for name in cut.columns if name not in ("sequence_id", "offset")]
+    # Under names of its own, so that no column of the pieces clashes with those in here.
+    names = [f"c{number}" for number in range(len(given))]
+    names[given.index("length")] = "length"
+    table = stored(cut.select(*[F.col(f"`{a}`").alias(b) for a, b in zip(given, names, strict=True)]), "packing-pieces")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
     counted = table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
     counts = np.zeros(capacity + 1, np.int64)
     for row in counted:
         counts[row["length"]] = row["n"]
     bound = int(np.ceil(lower_bound(counts, capacity) - 1e-6))
+    share = bound / max(int((counts * np.arange(capacity + 1)).sum()), 1)
     parts = buckets_for(int(counts.sum()), per_part)
     hashed = F.pmod(F.xxhash64(*[F.col(f"`{n}`") for n in names], F.monotonically_increasing_id()), F.lit(parts))
     pool, done, number = table.withColumns({"_part": F.lit(0).cast("long"), "_bin": F.lit(0).cast("long"), "_to": hashed}), [], 0
+    used = None
     while True:
-        made = pool.groupBy("_to").applyInArrow(_packer(capacity, number, names), f"{kinds}, {ROUND}")
+        made = pool.groupBy("_to").applyInArrow(_packer(capacity, number, names, share), f"{kinds}, {ROUND}")
         made = stored(made, f"packing-round-{number}")
         sequences = lambda rows: rows.select("_part", "_bin").distinct().count()
         done.append(made.filter(~F.col("_open")))
         left = made.filter("_open")
-        closed = sum(sequences(rows) for rows in done)
-        if parts <= 1 or closed + sequences(left) <= bound:
+        before, used = used, sum(sequences(rows) for rows in done) + sequences(left)
+        now = min(parts, max(-(-parts // MERGED), buckets_for(left.count(), MERGED * per_part)))
+        if parts <= 1 or used <= bound or (before is not None and now == parts and used >= before):
             done.append(left)
             break
-        parts = -(-parts // MERGED)
+        parts = now
         number += 1
-        pool = left.withColumn("_to", F.call_function("div", F.col("_part"), F.lit(MERGED))).select(*names, "_part", "_bin", "_to")
+        # Whole sequences are dealt anew, so that none has to end worse than it was.
+        dealt = F.pmod(F.xxhash64("_part", "_bin", F.lit(number)), F.lit(parts))
+        pool = left.select(*names, "_part", "_bin", dealt.alias("_to"))
     whole = done[0]
     for rows in done[1:]:
         whole = whole.unionByName(rows)
     # Parts are numbered below 2**31 and their sequences below 2**24.
     sequence = F.shiftleft(F.col("_round").cast("long"), 56).bitwiseOR(F.shiftleft("_part", 24)).bitwiseOR(F.col("_bin"))
-    return whole.select(*names, sequence.alias("sequence_id"), "offset")
+    columns = [F.col(f"`{b}`").alias(a) for a, b in zip(given, names, strict=True)]
+    return whole.select(*columns, sequence.alias("sequence_id"), "offset")
 
 
 def certificate(sequences: DataFrame, capacity: int = LENGTH) -> DataFrame:

@@ -3,9 +3,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clicklake.llm import packing
@@ -48,15 +50,11 @@ def test_pieces_are_those_of_the_tokenizer(spark, odd_documents):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(), max_size=4))
 def test_ids_by_words_equal_ids_of_the_whole_text(texts):
-    import pyarrow as pa
-
     ids, starts = packing.word_ids(VOCABULARY)(pa.array(texts, pa.string()))
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [direct(t) for t in texts]
 
 
 def test_special_tokens_and_case_within_words():
-    import pyarrow as pa
-
     texts = ["a<|endoftext|>B <|ENDOFTEXT|> İ H̱ K don't it's 12ab  x", "  <|startoftext|> "]
     ids, starts = packing.word_ids(VOCABULARY)(pa.array(texts))
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [direct(t) for t in texts]
@@ -113,6 +111,36 @@ def test_all_documents_are_packed(spark, sf_dir):
     assert used == packing.certificate(result).first()["bound"]
 
 
+def test_uniform_lengths_end_at_their_bound(spark):
+    """200,000 lengths, which best fit leaves within 0.05 % of the bound; in parts as well."""
+    lengths = np.random.default_rng(7).integers(1, 4097, 200_000)
+    frame = spark.createDataFrame(pa.table({"length": lengths, "doc": np.arange(len(lengths))})).repartition(13)
+    rows = packing.packed(frame, 4096)
+    row = rows.agg(F.sum("length").alias("sum"), F.count_distinct("doc").alias("docs")).first()
+    assert (row["sum"], row["docs"]) == (lengths.sum(), len(lengths))
+    found = packing.certificate(rows, 4096).first()
+    assert found["bound"] <= found["sequences"] <= 1.0005 * found["bound"]
+
+
+def test_two_lengths_in_many_parts_lose_nothing(spark):
+    """Each part has more of one length than it can pair; only an exchange of many sequences mends that."""
+    lengths = np.where(np.random.default_rng(3).random(40_000) < 0.5, 2500, 1596)
+    frame = spark.createDataFrame(pa.table({"length": lengths}))
+    found = packing.certificate(packing.packed(frame, 4096, per_part=2500), 4096).first()
+    together = len(set(packing.best_fit(lengths, 4096).tolist()))
+    assert found["bound"] <= found["sequences"] <= together
+
+
+def test_columns_of_other_uses_stay(spark):
+    columns = "length long, _part string, _bin int, _to string, c0 int, sequence_id string, `a.b` double, _round int, _open boolean, _bound double"
+    rows = [(n % 50 + 1, "p", n, "t", n, "s", 0.5, 1, True, 2.0) for n in range(300)]
+    found = packing.packed(spark.createDataFrame(rows, columns), 100, per_part=60)
+    assert found.columns == ["length", "_part", "_bin", "_to", "c0", "a.b", "_round", "_open", "_bound", "sequence_id", "offset"]
+    kept = sorted(tuple(r)[:9] for r in found.collect())
+    assert kept == sorted((r[0], *r[1:5], *r[6:]) for r in rows)
+    check_sequences(found.collect(), 100)
+
+
 @pytest.mark.parametrize("name", ["odd_documents", "no_documents"])
 def test_odd_documents_are_packed(request, name):
     docs = request.getfixturevalue(name)
