@@ -94,6 +94,21 @@ def names_of(data: np.ndarray, length: int) -> np.ndarray:
             power, span = power * power, span * 2
 
 
+def names_at(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit name of the ``length`` bytes at each of these places.
+
+    Only they are read, eight bytes at a time; the last eight end with the string.
+    """
+    if length < 8 or len(data) < length:
+        return names_of(data, length)[places]
+    words = np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))
+    found = np.zeros(len(places), np.uint64)
+    with np.errstate(over="ignore"):
+        for step in [*range(0, length - 8, 8), length - 8]:
+            found = _mixed(found * np.uint64(0xD6E8FEB86659FD93) + words[places + step])
+    return found
+
+
 def packed_names(names: np.ndarray) -> bytes:
     """Sorted names as compressed differences, byte by byte of all."""
     steps = np.diff(names, prepend=np.uint64(0))
@@ -147,7 +162,7 @@ class Chunk:
         valid = np.flatnonzero(self.starts_of(tuple_length))
         inside = valid - np.repeat(self.starts, np.maximum(self.sizes - tuple_length + 1, 0))
         places = valid[cover[inside % period]]
-        return places, names_of(self.data, tuple_length)[places] >> np.uint64(64 - bits)
+        return places, names_at(self.data, places, tuple_length) >> np.uint64(64 - bits)
 
     def reached(self, places: np.ndarray, length: int) -> np.ndarray:
         """The starts of strings of ``length`` bytes that hold the tuple of one of these places."""
@@ -159,7 +174,7 @@ class Chunk:
 
     def sorted_names(self, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """These places and their names, in the order of names, then of documents; where runs start."""
-        names = names_of(self.data, length)[places]
+        names = names_at(self.data, places, length)
         order = np.argsort(names, kind="stable")
         names, places = names[order], places[order]
         first = np.ones(len(names), bool)
