@@ -1,14 +1,19 @@
 """Secret scans: regular expressions behind an inverted index of trigrams.
 
-Each rule is described by what it must contain: a Boolean query over trigrams in
-conjunctive groups, derived from its literals. Postings of the trigrams that some query
+From each expression a Boolean query over trigrams is derived, in conjunctive groups: of every
+match, the trigrams of one group are in the text. Postings of the trigrams that some query
 names are made of all texts, the queries intersect them, and only candidates are matched
 against the expression. Rules without such trigrams are matched against every text.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import re
 from collections.abc import Sequence
+from re import _constants as kinds_of  # the names of the parts of a parsed expression
+from re import _parser as parser
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -20,14 +25,12 @@ from .common import documents, literal_rows
 class Rule(NamedTuple):
     """One kind of secret.
 
-    ``literals`` are the strings of which a match holds at least one, in lower case; none
-    means that every text is scanned. ``pattern`` is matched leftmost and without overlap;
-    matches whose ``group`` has under ``least`` characters are dropped.
+    ``pattern`` is matched leftmost and without overlap; matches whose ``group`` has under
+    ``least`` characters are dropped.
     """
 
     kind: str
     pattern: str
-    literals: tuple[str, ...] = ()
     group: int = 0
     least: int = 1
 
@@ -37,19 +40,18 @@ BASE = (
     Rule(
         "assign",
         r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        ("password", "passwd", "secret", "token", "apikey", "api_key"),
         group=2,
         least=6,
     ),
-    Rule("access", r"AKIA[A-Z0-9]{16,}", ("akia",)),
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
 # Further kinds, by their published prefixes.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", ("-----begin ",)),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", ("eyj",)),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 RULES = BASE + MORE
 
@@ -68,6 +70,95 @@ PEM_KEY = (
 HIDING = tuple(rule._replace(pattern=PEM_KEY) if rule.kind == "pem" else rule for rule in RULES)
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Strings that a part of an expression stands for are followed up to so many.
+MOST_STRINGS, MOST_CHARACTERS = 64, 8
+
+
+def _lower(text: str) -> str:
+    return text.translate(str.maketrans(UPPER, LOWER))
+
+
+def _best(sets: list[frozenset]) -> frozenset:
+    """Of sets of strings, one of which each match holds, the one that says most; none if no set says anything."""
+    useful = [s for s in sets if s and min(map(len, s)) >= 3]
+    return max(useful, key=lambda s: (min(map(len, s)), -len(s)), default=frozenset())
+
+
+def _characters(items: list) -> frozenset | None:
+    """The characters of a class, if they are few."""
+    found: set[str] = set()
+    for kind, value in items:
+        if kind == kinds_of.LITERAL:
+            found.add(_lower(chr(value)))
+        elif kind == kinds_of.RANGE and value[1] - value[0] < 4 * MOST_CHARACTERS:
+            found |= {_lower(chr(c)) for c in range(value[0], value[1] + 1)}
+        else:
+            return None
+    return frozenset(found) if len(found) <= MOST_CHARACTERS else None
+
+
+def _part(kind, value) -> tuple[frozenset | None, frozenset]:
+    """Of one part of an expression: the strings it matches, if few; and strings of which a match holds one."""
+    none = frozenset()
+    if kind == kinds_of.LITERAL:
+        return frozenset([_lower(chr(value))]), none
+    if kind == kinds_of.IN:
+        return _characters(value), none
+    if kind in (kinds_of.AT, kinds_of.ASSERT, kinds_of.ASSERT_NOT):
+        return frozenset([""]), none
+    if kind == kinds_of.SUBPATTERN:
+        return _parts(value[-1])
+    if kind == kinds_of.ATOMIC_GROUP:
+        return _parts(value)
+    if kind == kinds_of.BRANCH:
+        ways = [_parts(way) for way in value[1]]
+        exact = [strings for strings, _ in ways]
+        whole = frozenset().union(*exact) if None not in exact else None
+        held = [_best([strings or none, inside]) for strings, inside in ways]
+        inside = frozenset().union(*held) if all(held) else none
+        return (whole if whole is not None and len(whole) <= MOST_STRINGS else None), inside
+    if kind in (kinds_of.MAX_REPEAT, kinds_of.MIN_REPEAT, kinds_of.POSSESSIVE_REPEAT):
+        least, most, repeated = value
+        strings, inside = _parts(repeated)
+        if most == 1 and strings is not None:
+            return (strings | {""} if least == 0 else strings), none
+        if least == 0:
+            return None, none
+        if strings is not None and least == most and len(strings) ** least <= MOST_STRINGS:
+            return frozenset("".join(row) for row in itertools.product(strings, repeat=least)), none
+        return None, _best([strings or none, inside])
+    return None, none
+
+
+def _parts(parts) -> tuple[frozenset | None, frozenset]:
+    """The same of parts in a row: neighbours of few strings are put together."""
+    held, row, whole = [], frozenset([""]), True
+    for kind, value in parts:
+        strings, inside = _part(kind, value)
+        if strings is not None and len(row) * len(strings) <= MOST_STRINGS:
+            row = frozenset(a + b for a in row for b in strings)
+            continue
+        held += [row, inside]
+        row, whole = (strings if strings is not None else frozenset([""])), False
+    return (row, frozenset()) if whole else (None, _best([*held, row]))
+
+
+@functools.cache
+def literals(pattern: str) -> frozenset:
+    """Strings of which every match of an expression holds at least one, ASCII letters in lower case.
+
+    None is told if there are none of three characters, or if the expression has parts that
+    are not known here; its rule then scans every text.
+    """
+    try:
+        parsed = parser.parse(pattern.replace(r"\z", r"\Z"))
+    except re.error:
+        return frozenset()
+    strings, inside = _parts(parsed)
+    return _best([strings or frozenset(), inside])
+
+
 def trigrams(literal: str) -> list[str]:
     """The trigrams of a literal; one of under three characters has none."""
     return sorted({literal[i : i + 3] for i in range(len(literal) - 2)})
@@ -76,10 +167,15 @@ def trigrams(literal: str) -> list[str]:
 def trigram_query(rule: Rule) -> list[list[str]]:
     """The Boolean query of a rule: one of the groups must be there whole.
 
-    An empty query means that no trigram is mandatory.
+    An empty query means that no trigram is mandatory. A group that holds all of another one
+    adds nothing and is left out.
     """
-    groups = [trigrams(literal) for literal in rule.literals]
-    return groups if all(groups) else []
+    groups = sorted({frozenset(trigrams(literal)) for literal in literals(rule.pattern)}, key=lambda g: (len(g), sorted(g)))
+    least: list[frozenset] = []
+    for group in groups:
+        if not any(other <= group for other in least):
+            least.append(group)
+    return [sorted(group) for group in least]
 
 
 def postings(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,7 +216,7 @@ def candidates(index: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 
 def _ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(text, UPPER, LOWER)
 
 
 def _spans(text: Column, rule: Rule, number: int) -> Column:

@@ -3,6 +3,8 @@ import re
 
 import duckdb
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from clicklake.llm import secrets
 
@@ -90,3 +92,32 @@ def test_odd_documents(odd_documents, no_documents, renamed):
     for r in rows:
         assert [tuple(s) for s in r["_spans"]] == base_spans(r["text"] or "")
     assert secrets.scanned(no_documents).count() == 0
+
+
+def test_queries_are_derived_from_the_expressions():
+    words = {rule.kind: secrets.literals(rule.pattern) for rule in secrets.RULES}
+    assert {w.rstrip("\"'") for w in words["assign"]} == {"password", "passwd", "secret", "token", "apikey", "api_key"}
+    assert words["access"] == {"akia"} and words["hex"] == frozenset() and words["pem"] == {"private key-----"}
+    assert words["github"] == {f"gh{c}_" for c in "pousr"} and words["slack"] == {f"xox{c}-" for c in "abprs"}
+    assert words["jwt"] == {".eyj"}
+    groups = {rule.kind: secrets.trigram_query(rule) for rule in secrets.RULES}
+    assert len(groups["assign"]) == 6 and groups["hex"] == [] and groups["access"] == [["aki", "kia"]]
+    assert secrets.literals("(") == secrets.literals(r"\w+") == secrets.literals("ab|abcd") == frozenset()
+
+
+PIECES = st.deferred(
+    lambda: st.sampled_from(["a", "bc", "KEY", "Token_", "x-y", r"\.", "[ab]", "[a-z]", "[^q]", ".", r"\d", "é"])
+    | st.lists(PIECES, min_size=1, max_size=4).map("".join)
+    | st.lists(PIECES, min_size=1, max_size=3).map(lambda ways: f"(?:{'|'.join(ways)})")
+    | st.tuples(PIECES, st.sampled_from(["?", "*", "+", "{2}", "{1,3}", "++", "*+", "+?"])).map(lambda p: f"(?:{p[0]}){p[1]}")
+)
+
+
+@settings(max_examples=200, deadline=None)
+@given(PIECES, st.booleans(), st.data())
+def test_every_match_satisfies_its_query(pattern, fold, data):
+    pattern = f"(?i:{pattern})" if fold else pattern
+    query = secrets.trigram_query(secrets.Rule("k", pattern))
+    match = data.draw(st.from_regex(re.compile(pattern.replace("++", "+").replace("*+", "*"), re.ASCII), fullmatch=True))
+    text = secrets._lower(match)
+    assert not query or any(all(t in text for t in group) for group in query), (pattern, match, query)
