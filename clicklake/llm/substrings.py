@@ -109,6 +109,12 @@ def names_at(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
     return found
 
 
+def distinct_of(names: np.ndarray) -> np.ndarray:
+    """Distinct names in order; sorting is faster here than the hash table of ``np.unique``."""
+    names = np.sort(names)
+    return names[np.concatenate([[True], names[1:] != names[:-1]])] if len(names) else names
+
+
 def packed_names(names: np.ndarray) -> bytes:
     """Sorted names as compressed differences, byte by byte of all."""
     steps = np.diff(names, prepend=np.uint64(0))
@@ -127,6 +133,12 @@ def range_ends(names: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(names, edges), [len(names)]])
 
 
+def _steps(starts: np.ndarray, counts: np.ndarray, step: int) -> np.ndarray:
+    """So many places from each start, ``step`` apart."""
+    counts = counts.astype(np.int64)
+    return np.repeat(starts - step * (np.cumsum(counts) - counts), counts) + step * np.arange(counts.sum())
+
+
 class Chunk:
     """The texts of a chunk, end to end, in the order of their documents."""
 
@@ -147,39 +159,37 @@ class Chunk:
 
     def starts_of(self, length: int) -> np.ndarray:
         """Which places have ``length`` bytes of their document after them."""
-        change = np.zeros(len(self.data) + 1, np.int32)
-        long = self.sizes >= length
-        change[self.starts[long]] += 1
-        change[self.ends[long] - length + 1] -= 1
-        return np.cumsum(change[:-1]) > 0
+        found = np.ones(len(self.data), bool)
+        last = np.minimum(self.sizes, length - 1)
+        found[_steps(self.ends - last, last, 1)] = False
+        return found
 
     def sampled(self, length: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Sampled places, by their place in their document, and the names of their tuples."""
         period = period_for(length)
         tuple_length = length - period + 1
-        cover = np.zeros(period, bool)
-        cover[list(difference_cover(period))] = True
-        valid = np.flatnonzero(self.starts_of(tuple_length))
-        inside = valid - np.repeat(self.starts, np.maximum(self.sizes - tuple_length + 1, 0))
-        places = valid[cover[inside % period]]
+        room = self.sizes - tuple_length
+        some = [_steps(self.starts + c, np.maximum((room - c) // period + 1, 0), period) for c in difference_cover(period)]
+        places = np.sort(np.concatenate(some))
         return places, names_at(self.data, places, tuple_length) >> np.uint64(64 - bits)
 
     def reached(self, places: np.ndarray, length: int) -> np.ndarray:
         """The starts of strings of ``length`` bytes that hold the tuple of one of these places."""
         reach = length - (length - period_for(length) + 1) + 1
         change = np.zeros(len(self.data) + reach + 1, np.int32)
-        np.add.at(change, places + 1, -1)
+        change[places + 1] -= 1  # places differ
         np.add.at(change, np.maximum(places - reach + 1, 0), 1)
-        return np.flatnonzero((np.cumsum(change[: len(self.data)]) > 0) & self.starts_of(length))
+        return np.flatnonzero((np.cumsum(change[: len(self.data)], dtype=np.int32) > 0) & self.starts_of(length))
 
-    def sorted_names(self, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """These places and their names, in the order of names, then of documents; where runs start."""
+    def sorted_names(self, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """These places and their names, in the order of names; where runs start, and the first place of each."""
         names = names_at(self.data, places, length)
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
         names, places = names[order], places[order]
         first = np.ones(len(names), bool)
         first[1:] = names[1:] != names[:-1]
-        return places, names, np.flatnonzero(first)
+        starts = np.flatnonzero(first)
+        return places, names, starts, np.minimum.reduceat(places, starts) if len(starts) else places
 
     def document_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, places, "right")
@@ -227,7 +237,7 @@ class Search:
     def tuples(self, rows: pa.Table) -> pa.Table:
         """Sends the sorted distinct names of a chunk's sampled tuples to their ranges."""
         chunk = Chunk(rows)
-        names = np.unique(chunk.sampled(self.length, self.bits)[1])
+        names = distinct_of(chunk.sampled(self.length, self.bits)[1])
         ends, out = range_ends(names, self.bits, self.ranges), []
         for number, (a, b) in enumerate(itertools.pairwise(ends)):
             if b > a:
@@ -238,7 +248,7 @@ class Search:
         """Marks, for each chunk, the names of a range that another chunk has too."""
         lists = [unpacked_names(b) for b in rows["_names"].to_pylist()]
         whole = np.sort(np.concatenate(lists))
-        twice = np.unique(whole[1:][whole[1:] == whole[:-1]])
+        twice = distinct_of(whole[1:][whole[1:] == whole[:-1]])
         out = []
         for chunk, names in zip(rows["_chunk"].to_pylist(), lists, strict=True):
             place = np.minimum(np.searchsorted(twice, names), max(len(twice) - 1, 0))
@@ -263,8 +273,8 @@ class Search:
             return _send([])
         chunk = Chunk(rows)
         outside, _, _ = self._open(chunk, answers)
-        places, names, first = chunk.sorted_names(chunk.reached(outside, self.length), self.length)
-        documents_, names = chunk.document_of(places[first]), names[first]
+        _, names, first, earliest = chunk.sorted_names(chunk.reached(outside, self.length), self.length)
+        documents_, names = chunk.document_of(earliest), names[first]
         ends, out = range_ends(names, 64, self.ranges), []
         for number, (a, b) in enumerate(itertools.pairwise(ends)):
             if b > a:
@@ -301,18 +311,18 @@ class Search:
             chunk = Chunk(rows)
             outside, inside, flags = self._open(chunk, answers)
             change = np.zeros(len(chunk.data) + self.length + 1, np.int32)
-            places, names, first = chunk.sorted_names(chunk.reached(outside, self.length), self.length)
+            places, names, first, _ = chunk.sorted_names(chunk.reached(outside, self.length), self.length)
             earlier = _shared(names[first], flags[2], 64, self.ranges)
             run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(names))))
             np.add.at(change, places[earlier[run]] if len(first) else places, 1)
             np.add.at(change, (places[earlier[run]] if len(first) else places) + self.length, -1)
-            places, names, first = chunk.sorted_names(chunk.reached(inside, self.length), self.length)
+            places, names, first, earliest = chunk.sorted_names(chunk.reached(inside, self.length), self.length)
             rank = chunk.rank[chunk.document_of(places)] if len(places) else places
-            run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(names))))
-            later = places[rank > rank[first][run]] if len(first) else places
+            least = chunk.rank[chunk.document_of(earliest)] if len(places) else places
+            later = places[rank > np.repeat(least, np.diff(np.append(first, len(names))))] if len(first) else places
             np.add.at(change, later, 1)
             np.add.at(change, later + self.length, -1)
-            gone = np.cumsum(change[: len(chunk.data)]) > 0
+            gone = np.cumsum(change[: len(chunk.data)], dtype=np.int32) > 0
             removed, spans, digests, texts = [], [], [], []
             for a, b in zip(chunk.starts, chunk.ends, strict=True):
                 part = gone[a:b]
