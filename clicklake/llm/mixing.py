@@ -15,7 +15,7 @@ BLOCK = 64
 SLOTS_PER_BUCKET = 4096
 GOLDEN = 0.6180339887498949
 # The fraction of 2^26 times the golden ratio: points of large slot numbers lose no digits.
-FAR, FAR_GOLDEN = 2**26, 0.46600689375735134
+FAR, FAR_GOLDEN = 2**26, 0.8983942233824622
 # Lengths are added up in parts of this many key values, the first 24 bits of a hash.
 KEYS = 2**24
 

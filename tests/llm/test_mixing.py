@@ -1,8 +1,11 @@
+import math
 import re
 from collections import defaultdict
+from decimal import Decimal, localcontext
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from clicklake.llm import mixing
 
@@ -79,3 +82,25 @@ def test_odd_documents(odd_documents, no_documents, spark):
     assert mixing.mixed(no_documents).count() == 0
     empty = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert sorted(map(tuple, mixing.mixed(empty).collect())) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+
+
+def test_rows_of_one_key_are_spread(spark):
+    """A third of the ids are null: no bucket of the hash has over twice the mean."""
+    rows = spark.range(30000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    bucket = F.floor(F.conv(F.substring(mixing._hex_key(F.col("doc_id"), F.col("text")), 1, 6), 16, 10).cast("long") * 10 / mixing.KEYS)
+    counts = [r["count"] for r in rows.groupBy(bucket.alias("b")).count().collect()]
+    assert len(counts) == 10 and max(counts) < 2 * sum(counts) / 10
+
+
+def test_points_of_far_slots_stay_spread(spark):
+    """Points equal those of exact arithmetic, also where a product of doubles has lost its digits."""
+    with localcontext() as exact_to:
+        exact_to.prec = 50
+        golden = (Decimal(5).sqrt() - 1) / 2
+    assert abs(Decimal(mixing.FAR_GOLDEN) - (golden * mixing.FAR) % 1) < Decimal("1e-15")
+    for slot in (0, 5, 2**26 - 1, 2**26, 10**11 + 7, 10**13 + 1):
+        far = (slot // mixing.FAR) * mixing.FAR_GOLDEN
+        point = far - math.floor(far) + (slot % mixing.FAR + 0.5) * mixing.GOLDEN
+        exact = (slot + Decimal("0.5")) * golden % 1
+        apart = abs(Decimal(point % 1) - exact)
+        assert min(apart, 1 - apart) < Decimal("1e-7")
