@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, ship_code
+from .common import documents, ship_code, stored
 
 LENGTH = 50
 PERIODS = (31, 21, 13, 7, 3)
@@ -43,6 +43,8 @@ CHUNKS_PER_RANGE = 2
 # Names of sampled tuples have so many bits more than it takes to count them.
 SPARE_BITS = 12
 KEY_BYTES = 16
+# Keys that all tasks are told how far to spread: some MB at any size of the table.
+MOST_HEAVY = 100_000
 
 
 @functools.cache
@@ -346,7 +348,8 @@ def _placed(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int, int]:
 
     A document's key is the smallest name of its strings of ``KEY_BYTES`` bytes, so similar
     documents mostly share one, and its chunk. A key with over half a chunk of text is spread
-    over as many chunks as it fills; there are at most two such keys per chunk.
+    over as many chunks as it fills. The ``MOST_HEAVY`` largest of such keys are told to all
+    tasks, and those beyond are joined.
     """
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +367,15 @@ def _placed(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int, int]:
     chunks = max(1, -(-total // chunk_bytes))
     heavy = keyed.groupBy("_key").agg(F.sum(size).alias("_bytes")).filter(F.col("_bytes") > chunk_bytes // 2)
     heavy = heavy.select(F.col("_key").alias("_heavy"), F.ceil(F.col("_bytes") / chunk_bytes * 2).alias("_parts"))
-    told = keyed.join(F.broadcast(heavy), F.col("_key") == F.col("_heavy"), "left")
+    heavy = stored(heavy, "substrings-heavy")
+    heaviest = heavy.orderBy(F.desc("_parts"), "_heavy").limit(MOST_HEAVY)
+    of_key = F.col("_key") == F.col("_heavy")
+    told = keyed.join(F.broadcast(heaviest), of_key, "left")
+    if heavy.count() > MOST_HEAVY:
+        # None of the others has more than that part of all text, so they can be joined by key.
+        others = heavy.join(heaviest.select("_heavy"), "_heavy", "left_anti")
+        rest = told.filter("_parts IS NULL").drop("_heavy", "_parts").join(others, of_key, "left")
+        told = told.filter("_parts IS NOT NULL").unionByName(rest)
     salt = F.pmod(F.xxhash64("_id", "_body"), F.coalesce("_parts", F.lit(1)))
     chunk = F.pmod(F.xxhash64("_key", salt), F.lit(chunks)).cast("long")
     return told.select("_id", "_body", chunk.alias("_chunk")).repartition(chunks, "_chunk"), chunks, total

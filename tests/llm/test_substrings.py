@@ -56,6 +56,15 @@ def test_passages_at_all_offsets(spark, chunk_bytes):
     assert found(spark, rows, chunk_bytes=chunk_bytes) == brute_force(rows, 50)
 
 
+@pytest.mark.parametrize("told", [0, 2, 1000])
+def test_heavy_keys_beyond_those_that_are_told(spark, monkeypatch, told):
+    monkeypatch.setattr(substrings, "MOST_HEAVY", told)
+    generator = random.Random(5)
+    passages = ["".join(generator.choice("abcdefgh") for _ in range(90)) for _ in range(6)]
+    rows = [(n, passages[n % 6] + str(n) * (n % 4)) for n in range(60)] + [(None, passages[0]), (3, passages[1]), (99, None)]
+    assert found(spark, rows, chunk_bytes=400) == brute_force(rows, 50)
+
+
 @pytest.mark.parametrize("length", [3, 20, 27, 46])
 def test_other_lengths(spark, length):
     generator = random.Random(length)
