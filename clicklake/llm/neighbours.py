@@ -22,7 +22,7 @@ PREFIX = 96
 # Fitting: vectors at most, queries at most, vectors a pivot at least, and the part of true
 # neighbours that the reranked share must hold.
 SAMPLE, SAMPLE_QUERIES, ROWS_PER_PIVOT, REACH = 4096, 256, 4, 0.95
-BLOCK, QUERY_BLOCK = 16384, 4096
+BLOCK, QUERY_BLOCK = 16384, 16384
 # Vectors that are held against all pivots at once.
 ORDERED_AT_ONCE = 2048
 

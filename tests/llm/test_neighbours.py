@@ -81,3 +81,28 @@ def test_vectors_of_each_length_are_searched(spark):
         if query == 80:
             assert found[query] == expected[query]
         assert max(s for _, s in found[query]) == max(s for _, s in expected[query])
+
+
+def test_the_nearest_share_with_all_ties():
+    distances = np.array([5, 1, 3, 3, 9, 3, 2], np.int32)
+    assert neighbours.nearest_share(distances, 0.4, 1).tolist() == [1, 2, 3, 5, 6]
+    assert neighbours.nearest_share(distances, 0.1, 2).tolist() == [1, 6]
+    assert neighbours.nearest_share(distances, 0.1, 20).tolist() == list(range(7))
+    assert neighbours.nearest_share(distances[:0], 0.1, 20).tolist() == []
+
+
+def test_the_fitted_share_finds_neighbours_with_little_reranked():
+    generator = np.random.default_rng(3)
+    vectors = generator.normal(size=(4000, 16))
+    length = float(np.linalg.norm(vectors, axis=1).max())
+    index = neighbours.fit(vectors[:2000], length, len(vectors), 20, neighbours.PIVOTS, neighbours.PREFIX)
+    assert index["share"] < 0.1
+    lifted = neighbours._lifted(vectors, length)
+    files = neighbours.InvertedFiles(neighbours.prefixes(lifted, index["pivots"], index["prefix"]), len(index["pivots"]))
+    queries = vectors[2000:2100]
+    orders = neighbours.prefixes(np.hstack([queries, np.zeros((100, 1))]), index["pivots"], index["prefix"])
+    hits = 0
+    for query, order in zip(queries, orders, strict=True):
+        near = neighbours.nearest_share(files.footrule(order), index["share"], 20)
+        hits += len(set(near.tolist()) & set(np.argsort(-(vectors @ query), kind="stable")[:20].tolist()))
+    assert hits >= 0.9 * 20 * 100
