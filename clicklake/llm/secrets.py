@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, literal_rows
+from .common import documents, literal_rows, stored
 
 
 class Rule(NamedTuple):
@@ -70,6 +70,9 @@ PEM_KEY = (
 HIDING = tuple(rule._replace(pattern=PEM_KEY) if rule.kind == "pem" else rule for rule in RULES)
 
 
+# Candidates that go to every task, as bytes of their keys and kinds; of more, texts move to them.
+MOST_TOLD = 16 * 2**20
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Strings that a part of an expression stands for are followed up to so many.
 MOST_STRINGS, MOST_CHARACTERS = 64, 8
@@ -219,6 +222,18 @@ def _ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def _told(rows: DataFrame, key: str, listed: DataFrame, most: int) -> DataFrame:
+    """The rows with the ``_kinds`` of their key, null where it is no candidate.
+
+    Candidates of up to ``most`` bytes go to every task, and no text moves. Of more, rows and
+    candidates meet by a sort-merge join.
+    """
+    size = F.octet_length(F.struct("_key", "_kinds").cast("string")) + 32
+    few = listed.agg(F.coalesce(F.sum(size), F.lit(0)) <= most).first()[0]
+    near = F.broadcast(listed) if few else listed.hint("merge")
+    return rows.join(near, F.col("_row")[key].eqNullSafe(F.col("_key")), "left")
+
+
 def _spans(text: Column, rule: Rule, number: int) -> Column:
     """All matches of a rule as an array of (start, kind, end), in code points.
 
@@ -249,18 +264,25 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
     return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(f"array<{span}>"))
 
 
-def scanned(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scanned(
+    docs: DataFrame,
+    rules: Sequence[Rule] = RULES,
+    key: str = "doc_id",
+    text: str = "text",
+    most_told: int = MOST_TOLD,
+) -> DataFrame:
     """Every row with ``_spans``: its secrets as an array of (start, kind, end), sorted.
 
     ``kind`` is the number of the rule; places count code points of the whole text, the end
     is exclusive. A null text counts as empty and has none. Rows of equal keys, null ones
     too, are candidates together, and each is matched by its own text. An empty table gives
-    an empty result. All columns are kept, but one named ``_spans`` is replaced.
+    an empty result. All columns are kept, but one named ``_spans`` is replaced. Candidates
+    are listed at once, in a table of the shared folder.
     """
-    listed = candidates(postings(docs, rules, key, text), rules)
+    listed = stored(candidates(postings(docs, rules, key, text), rules), "secrets-candidates")
     # The columns travel in one struct, so that no name of theirs clashes with those in here.
     packed = docs.select(F.struct("*").alias("_row"))
-    told = packed.join(listed, F.col("_row")[key].eqNullSafe(F.col("_key")), "left")
+    told = _told(packed, key, listed, most_told)
     body = F.coalesce(F.col("_row")[text], F.lit(""))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     found = []

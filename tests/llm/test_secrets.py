@@ -84,6 +84,14 @@ def test_redaction(spark):
     assert rows == {1: "x [secret] y", 2: None, 3: "é[secret]z"}
 
 
+def test_texts_stay_where_they_are_read(spark, odd_documents):
+    few, many = secrets.scanned(odd_documents), secrets.scanned(odd_documents, most_told=0)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(few) and "SortMergeJoin" not in plan(few)
+    assert "SortMergeJoin" in plan(many) and "BroadcastHashJoin" not in plan(many)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
 @pytest.mark.parametrize("renamed", ["_spans", "_key", "_kinds", "_text", "trigram"])
 def test_odd_documents(odd_documents, no_documents, renamed):
     docs = odd_documents.withColumnRenamed("kind", renamed)
