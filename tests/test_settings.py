@@ -1,9 +1,11 @@
 from pathlib import Path
 from types import SimpleNamespace
+from unittest import mock
 
 import pytest
 
 from clicklake.sources.events import read_events
+from clicklake.sources import lake
 from clicklake.sources.lake import shared_base, shared_folder
 from clicklake.streaming.sinks import sink_options
 from clicklake.sources.settings import kafka_options, session_conf, table_format
@@ -89,6 +91,46 @@ def test_shared_folder_comes_from_the_session(spark):
     assert Path(first).parent.is_dir()
 
 
+def kept_in(spark, folder):
+    """A new path of the shared folder, with this as the session's setting."""
+    kind, told = type(spark.conf), type(spark.conf).get
+    setting = lambda self, name, *more: str(folder) if name == "spark.checkpoint.dir" else told(self, name, *more)
+    with mock.patch.object(kind, "get", setting):
+        return Path(shared_folder(spark, "table"))
+
+
+def test_shared_folder_next_to_one_of_another_user(spark, tmp_path):
+    (tmp_path / "clicklake").write_text("not mine")
+    found = kept_in(spark, tmp_path)
+    spark.range(3).write.parquet(str(found))
+    assert found.is_relative_to(tmp_path) and spark.read.parquet(str(found)).count() == 3
+
+
+def test_a_base_that_cannot_be_written_is_passed_over(spark, tmp_path):
+    (tmp_path / "file").write_text("no folder")
+    found = kept_in(spark, tmp_path / "file")
+    spark.range(3).write.parquet(str(found))
+    assert not found.is_relative_to(tmp_path) and spark.read.parquet(str(found)).count() == 3
+
+
+def test_standalone_cluster_may_have_a_local_looking_folder():
+    assert shared_base(session("file:///tmp/shared", master="spark://host:7077")) == "file:///tmp/shared"
+
+
+def test_cluster_without_the_setting_uses_the_warehouse():
+    only = SimpleNamespace(get=lambda name, default: {"spark.sql.warehouse.dir": "file:///w"}.get(name, default))
+    cluster = session(None, master="local-cluster[2,1,1024]")
+    cluster.conf = only
+    assert shared_base(cluster) == "file:///w"
+
+
+def test_folder_that_tasks_do_not_write_to_is_refused(spark, tmp_path):
+    with mock.patch.object(lake, "_is_local", lambda _: False):
+        assert lake._usable(spark, str(tmp_path / "seen"))
+        with mock.patch.object(lake, "_all_write_to", lambda *_: False), pytest.raises(ValueError, match="one folder"):
+            lake._session_folder((str(tmp_path),), "unseen", spark)
+
+
 def test_log_store_is_a_choice():
     assert "spark.delta.logStore.class" not in session_conf({"TABLE_FORMAT": "delta"})
     assert session_conf({"TABLE_FORMAT": "delta", "DELTA_LOG_STORE": "x.Y"})["spark.delta.logStore.class"] == "x.Y"
