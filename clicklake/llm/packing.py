@@ -11,8 +11,10 @@ one task has packed all that was open.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,18 +47,20 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # Spark's tasks share the cores out already; threads of each task only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
 
     def forget(self) -> None:
-        self.words = pa.array([], pa.large_string())
+        self.words: dict[str, int] = {}
         self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, words: pa.Array) -> None:
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+    def _learn(self, words: list[str]) -> None:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(lengths.sum()))
-        self.words = pa.concat_arrays([self.words, words])
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum()))
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
         self.ids = np.concatenate([self.ids, flat])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
 
@@ -64,12 +68,12 @@ class WordIds:
         """Where the ids of distinct words are; new words are learnt."""
         if len(self.words) > WORDS_KEPT:
             self.forget()
-        known = pc.index_in(words, value_set=self.words)
-        places = known.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        names = words.to_numpy(zero_copy_only=False)
+        places = np.fromiter(map(self.words.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(places < 0)
         places[new] = len(self.words) + np.arange(len(new))
         for start in range(0, len(new), WORDS_AT_ONCE):
-            self._learn(words.take(pa.array(new[start : start + WORDS_AT_ONCE])))
+            self._learn(names[new[start : start + WORDS_AT_ONCE]].tolist())
         return places
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,3 +1,4 @@
+import os
 import zlib
 from collections import defaultdict
 
@@ -54,6 +55,27 @@ def test_ids_by_words_equal_ids_of_the_whole_text(texts):
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [direct(t) for t in texts]
 
 
+def test_learnt_words_are_looked_up_one_by_one(monkeypatch):
+    """Neither encoded again, nor put into a new table of all words for each batch; one thread a task."""
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    words = packing.WordIds(packing.default_vocabulary())
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    texts = pa.array(["the cat's 12 hats", None, "Été THE"])
+    first, _ = words(texts)
+    monkeypatch.setattr(words, "_learn", None)
+    monkeypatch.setattr(packing.pc, "index_in", None)
+    again, _ = words(texts)
+    assert again.tolist() == first.tolist()
+
+
+def test_forgotten_words_are_learnt_anew(monkeypatch):
+    words, kept = (packing.WordIds(packing.default_vocabulary()) for _ in range(2))
+    texts = [pa.array([text]) for text in ("one two three", "four one", "three five two one")]
+    whole = [kept(text)[0].tolist() for text in texts]
+    monkeypatch.setattr(packing, "WORDS_KEPT", 1)
+    assert [words(text)[0].tolist() for text in texts] == whole
+
+
 def test_special_tokens_and_case_within_words():
     texts = ["a<|endoftext|>B <|ENDOFTEXT|> İ H̱ K don't it's 12ab  x", "  <|startoftext|> "]
     ids, starts = packing.word_ids(VOCABULARY)(pa.array(texts))
