@@ -13,6 +13,7 @@ pytestmark = pytest.mark.skipif(not TABLES, reason="the test tables are not here
 WRITING = [
     "client_partitions",
     "dead_letters_json",
+    "delivered_rows",
 ]
 
 
