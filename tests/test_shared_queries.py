@@ -14,6 +14,7 @@ WRITING = [
     "client_partitions",
     "dead_letters_json",
     "delivered_rows",
+    "flagship",
 ]
 
 
