@@ -15,6 +15,7 @@ WRITING = [
     "dead_letters_json",
     "delivered_rows",
     "flagship",
+    "keyed_messages",
 ]
 
 
