@@ -16,6 +16,7 @@ WRITING = [
     "delivered_rows",
     "flagship",
     "keyed_messages",
+    "keyed_order",
 ]
 
 
