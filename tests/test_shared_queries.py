@@ -17,6 +17,7 @@ WRITING = [
     "flagship",
     "keyed_messages",
     "keyed_order",
+    "letter_times",
 ]
 
 
