@@ -18,6 +18,7 @@ WRITING = [
     "keyed_messages",
     "keyed_order",
     "letter_times",
+    "letters_read_once",
 ]
 
 
