@@ -19,6 +19,7 @@ WRITING = [
     "keyed_order",
     "letter_times",
     "letters_read_once",
+    "messages_from_latest",
 ]
 
 
