@@ -20,6 +20,7 @@ WRITING = [
     "letter_times",
     "letters_read_once",
     "messages_from_latest",
+    "one_day",
 ]
 
 
