@@ -21,6 +21,7 @@ WRITING = [
     "letters_read_once",
     "messages_from_latest",
     "one_day",
+    "produced_letters",
 ]
 
 
