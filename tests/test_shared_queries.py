@@ -22,6 +22,7 @@ WRITING = [
     "messages_from_latest",
     "one_day",
     "produced_letters",
+    "run_events",
 ]
 
 
