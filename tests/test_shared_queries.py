@@ -23,6 +23,7 @@ WRITING = [
     "one_day",
     "produced_letters",
     "run_events",
+    "produced_messages",
 ]
 
 
