@@ -24,6 +24,7 @@ WRITING = [
     "produced_letters",
     "run_events",
     "produced_messages",
+    "run_log",
 ]
 
 
