@@ -25,6 +25,7 @@ WRITING = [
     "run_events",
     "produced_messages",
     "run_log",
+    "run_times",
 ]
 
 
