@@ -26,6 +26,7 @@ WRITING = [
     "produced_messages",
     "run_log",
     "run_times",
+    "stream_accounts",
 ]
 
 
