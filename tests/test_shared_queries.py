@@ -27,6 +27,7 @@ WRITING = [
     "run_log",
     "run_times",
     "stream_accounts",
+    "running_total_of_each_event",
 ]
 
 
