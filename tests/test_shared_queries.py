@@ -28,6 +28,7 @@ WRITING = [
     "run_times",
     "stream_accounts",
     "running_total_of_each_event",
+    "stream_append",
 ]
 
 
