@@ -29,6 +29,7 @@ WRITING = [
     "stream_accounts",
     "running_total_of_each_event",
     "stream_append",
+    "stream_bounded_by_bytes",
 ]
 
 
