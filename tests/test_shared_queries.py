@@ -30,6 +30,7 @@ WRITING = [
     "running_total_of_each_event",
     "stream_append",
     "stream_bounded_by_bytes",
+    "stream_dead_letters",
 ]
 
 
