@@ -31,6 +31,7 @@ WRITING = [
     "stream_append",
     "stream_bounded_by_bytes",
     "stream_dead_letters",
+    "stream_dropped_rows",
 ]
 
 
