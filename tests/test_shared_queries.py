@@ -32,6 +32,7 @@ WRITING = [
     "stream_bounded_by_bytes",
     "stream_dead_letters",
     "stream_dropped_rows",
+    "stream_evolution",
 ]
 
 
